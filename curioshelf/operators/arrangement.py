@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from curioshelf.operators.prices import latest
 from curioshelf.operators.ranking import grouped_rank
+from curioshelf.session import settled
 
 COLUMN = ["deck_id", "section_id", "column_id"]
 SECTION = ["deck_id", "section_id"]
@@ -196,25 +197,13 @@ def deck_reconcile(
 # -- placing and removing ---------------------------------------------------------------------
 
 
-def deck_place(
-    placements: DataFrame,
-    columns: DataFrame,
-    copies: DataFrame,
-    decks: DataFrame,
-    requests: DataFrame,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Put copies into columns; returns the new placements, columns and copies.
-
-    ``requests``: copy_id, deck_id, section_id, column_id, index, seq.  No section means the first
-    one, no column the first of the section; what does not exist is made.  ``index`` counts in the
-    column as it is once all placed copies have been lifted out, is clamped to it, and NULL means
-    append.  Copies for the same index follow each other by ``seq``.  The last request for a copy
-    wins.  A copy or deck of someone else is left alone.
-    """
+def resolve_places(
+    columns: DataFrame, copies: DataFrame, decks: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """The column that each valid request leads to; see :func:`deck_place`."""
     owners = copies.select("copy_id", "owner")
     asked = _with_deck_owner(latest(requests, "copy_id", "seq"), decks).join(owners, "copy_id")
     valid = asked.filter(F.col("owner") == F.col("deck_owner")).drop("owner", "deck_owner")
-
     section_first = _first_columns(columns, SECTION).select(
         *SECTION, F.col("first_section").alias("_section"), F.col("first_column").alias("_column")
     )
@@ -222,15 +211,13 @@ def deck_place(
         columns.filter(F.col("column_id").isNotNull()).select(*COLUMN).withColumn("_there", F.lit(1))
     )
     named = F.col("section_id").isNotNull()
-    target_section = F.when(named, F.coalesce("_section", F.lit(MADE_SECTION))).otherwise(
-        F.coalesce("first_section", F.lit(MADE_SECTION))
-    )
+    target_section = F.when(named, F.col("_section")).otherwise(F.col("first_section"))
     target_column = (
         F.when(~named, F.col("first_column"))
         .when(F.col("column_id").isNull(), F.col("_column"))
         .when(F.col("_there").isNotNull(), F.col("column_id"))
     )
-    placed = (
+    return (
         valid.join(_first_columns(columns, ["deck_id"]), "deck_id", "left")
         .join(section_first, SECTION, "left")
         .join(exact, COLUMN, "left")
@@ -239,41 +226,78 @@ def deck_place(
             "seq",
             "index",
             "deck_id",
-            target_section.alias("section_id"),
+            F.coalesce(target_section, F.lit(MADE_SECTION)).alias("section_id"),
             F.coalesce(target_column, F.lit(MADE_COLUMN)).alias("column_id"),
         )
     )
 
+
+def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:
+    """Placements with the resolved requests carried out.  Columns that gain a copy are numbered
+    afresh from 0; the others keep their positions."""
     base = placements.select(*PLACEMENT).join(placed, "copy_id", "left_anti").select(*PLACEMENT)
     touched = placed.select(*COLUMN).distinct()
-    old = grouped_rank(
+    ranked = grouped_rank(
         base.join(touched, COLUMN, "left_semi"), COLUMN, [("pos", "asc"), ("copy_id", "asc")], "_rn"
-    ).select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_key"), F.lit(0).alias("_seq"))
-    length = base.join(touched, COLUMN, "left_semi").groupBy(*COLUMN).agg(F.count("*").alias("_n"))
-    at = F.least(F.greatest(F.col("index"), F.lit(0)), F.col("_n"))
-    new = (
-        placed.join(length, COLUMN, "left")
-        .withColumn("_n", F.coalesce("_n", F.lit(0)))
-        .select(
-            *COLUMN,
-            "copy_id",
-            # NULL index: least() would ignore it, so it is sent to the end explicitly.
-            (2 * F.when(F.col("index").isNull(), F.col("_n")).otherwise(at)).alias("_key"),
-            F.col("seq").alias("_seq"),
-        )
+    )
+    # Old copies take the odd keys and new ones the even keys between them.  The old ones are read
+    # several times below, so their ranking is settled here.
+    old = settled(
+        ranked.select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_key"), F.lit(0).alias("_seq"))
+    )
+    length = old.groupBy(*COLUMN).agg(F.count("*").alias("_n"))
+    end = F.coalesce("_n", F.lit(0))
+    at = F.least(F.greatest(F.col("index"), F.lit(0)), end)
+    new = placed.join(length, COLUMN, "left").select(
+        *COLUMN,
+        "copy_id",
+        (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_key"),
+        F.col("seq").alias("_seq"),
     )
     order = [("_key", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
     merged = grouped_rank(old.unionByName(new), COLUMN, order, "_rn").select(
         *COLUMN, (F.col("_rn") - 1).alias("pos"), "copy_id"
     )
     untouched = base.join(touched, COLUMN, "left_anti").select(*PLACEMENT)
+    return untouched.unionByName(merged)
+
+
+def place_columns(columns: DataFrame, placed: DataFrame) -> DataFrame:
+    """Columns including those that the resolved requests need."""
+    return _ensure_columns(columns, placed)
+
+
+def place_copies(copies: DataFrame, placed: DataFrame) -> DataFrame:
+    """Copies pointing at the deck that the resolved requests put them in."""
     moved = placed.select("copy_id", F.col("deck_id").alias("_deck"))
-    new_copies = (
+    return (
         copies.join(moved, "copy_id", "left")
         .withColumn("deck_id", F.coalesce("_deck", "deck_id"))
         .select(*copies.columns)
     )
-    return untouched.unionByName(merged), _ensure_columns(columns, placed), new_copies
+
+
+def deck_place(
+    placements: DataFrame,
+    columns: DataFrame,
+    copies: DataFrame,
+    decks: DataFrame,
+    requests: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Put copies into columns; returns the new placements, columns and copies.
+
+    ``requests``: copy_id, deck_id, section_id, column_id, index, seq.  No section means the first
+    one, no column the first of the section; what does not exist is made.  ``index`` counts in the
+    column as it is once all placed copies have been lifted out, is clamped to it, and NULL means
+    append.  Copies for the same index follow each other by ``seq``.  The last request for a copy
+    wins.  A copy or deck of someone else is left alone.
+    """
+    placed = settled(resolve_places(columns, copies, decks, requests))
+    return (
+        place_rows(placements, placed),
+        place_columns(columns, placed),
+        place_copies(copies, placed),
+    )
 
 
 def deck_pull(placements: DataFrame, decks: DataFrame, ids: DataFrame) -> DataFrame:

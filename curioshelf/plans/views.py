@@ -8,14 +8,13 @@ are planted on purpose.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curioshelf.functions.colors import WUBRG
+from curioshelf.session import scratch
 
 NOW = "2024-01-31 00:00:00"
 
@@ -145,23 +144,34 @@ VIEWS = {
  union all
  select CAST(id AS STRING), lang, layout, cmc + 1, name || ' (again)', type_line, 'white',
  collector_number, 'missing', rarity, upper(set_code), set_code, mana_cost, power,
- false, false, false, 2 from cards where usd > 1000""",
+ false, false, false, 2 from cards where cmc >= 5""",
 }
 
-def with_views(sql: str) -> str:
-    """Put the definitions of the views a query uses in front of it."""
+# Views that a deployment would keep as tables.  They are written once per session and source
+# folder, so that what a query costs is the query and not the making of its inputs.
+STORED = ["copies", "placements", "layout"]
+
+
+def views_in(sql: str, definitions: dict[str, str] = VIEWS) -> list[str]:
+    """Names of the views a query uses, directly or not, each after those it depends on."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name in VIEWS:
+        for name in definitions:
             if re.search(rf"(?i)\b(?:from|join)\s+{name}\b", text) and name not in needed:
-                visit(VIEWS[name])
+                visit(definitions[name])
                 needed.append(name)
 
     visit(sql)
+    return needed
+
+
+def with_views(sql: str, definitions: dict[str, str] = VIEWS) -> str:
+    """Put the definitions of the views a query uses in front of it."""
+    needed = views_in(sql, definitions)
     if not needed:
         return sql
-    given = ",\n".join(f"{name} as ({VIEWS[name]})" for name in needed)
+    given = ",\n".join(f"{name} as ({definitions[name]})" for name in needed)
     joiner = ",\n" if sql.lstrip().lower().startswith("with ") else "\n"
     rest = sql.lstrip()[5:] if joiner == ",\n" else sql
     return f"with {given}{joiner}{rest}"
@@ -180,13 +190,39 @@ def color_array(mask: str):
 class Views:
     """The views as DataFrames with the library's column names."""
 
+    # Where the stored views of a session and source folder are.
+    _paths: dict[tuple[str, str, str], str] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def sql(self, text: str) -> DataFrame:
-        text = with_views(text)
+    def _run(self, text: str) -> DataFrame:
         return self.spark.sql(re.sub(r"@(\w+)", rf"parquet.`{self.sf_dir}/\1.parquet`", text))
 
+    def _store(self, name: str) -> None:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._paths:
+            path = f"{scratch(self.spark)}/{name}"
+            made = self._run(with_views(f"select * from {name}", self._definitions(name)))
+            made.write.parquet(path)
+            self._paths[key] = path
+
+    def _definitions(self, being_stored: str | None = None) -> dict[str, str]:
+        """View definitions, with those stored so far read from their files."""
+        app = self.spark.sparkContext.applicationId
+        return {
+            name: f"select * from parquet.`{self._paths[app, self.sf_dir, name]}`"
+            if name != being_stored and (app, self.sf_dir, name) in self._paths
+            else text
+            for name, text in VIEWS.items()
+        }
+
+    def sql(self, text: str) -> DataFrame:
+        for name in STORED:
+            if name in views_in(text):
+                self._store(name)
+        return self._run(with_views(text, self._definitions()))
+
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
@@ -231,10 +267,3 @@ class Views:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         return self.view(name)
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder path in the cluster's shared folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/curioshelf-{uuid.uuid4().hex}"

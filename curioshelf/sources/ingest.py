@@ -16,7 +16,7 @@ from curioshelf.sources.schema import (
     REQUIRED_IN_PART,
 )
 
-POINTER = "_current"
+POINTER = "CURRENT"
 # Type lines that mark a record as no playable card.
 NOT_A_CARD = ["Card", "Card // Card"]
 
