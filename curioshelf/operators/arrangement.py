@@ -243,7 +243,7 @@ def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:
     # Old copies take the odd keys and new ones the even keys between them.  The old ones are read
     # several times below, so their ranking is settled here.
     old = settled(
-        ranked.select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_key"), F.lit(0).alias("_seq"))
+        ranked.select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_gap"), F.lit(0).alias("_seq"))
     )
     length = old.groupBy(*COLUMN).agg(F.count("*").alias("_n"))
     end = F.coalesce("_n", F.lit(0))
@@ -251,10 +251,10 @@ def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:
     new = placed.join(length, COLUMN, "left").select(
         *COLUMN,
         "copy_id",
-        (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_key"),
+        (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_gap"),
         F.col("seq").alias("_seq"),
     )
-    order = [("_key", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
+    order = [("_gap", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
     merged = grouped_rank(old.unionByName(new), COLUMN, order, "_rn").select(
         *COLUMN, (F.col("_rn") - 1).alias("pos"), "copy_id"
     )

@@ -42,9 +42,9 @@ def assign_pages(
     df: DataFrame, order: str = "name", direction: str = "asc", page_len: int = 100
 ) -> DataFrame:
     """Every row with its place in the order (``row_no``) and its ``page``."""
-    keyed = df.withColumn("_key", sort_key(order, direction))
-    ranked = grouped_rank(keyed, [], [("_key", direction), ("id", "asc")], "row_no")
-    return ranked.drop("_key").withColumn("page", F.ceil(F.col("row_no") / page_len).cast("bigint"))
+    keyed = df.withColumn("_sort", sort_key(order, direction))
+    ranked = grouped_rank(keyed, [], [("_sort", direction), ("id", "asc")], "row_no")
+    return ranked.drop("_sort").withColumn("page", F.ceil(F.col("row_no") / page_len).cast("bigint"))
 
 
 def merge_pages_dedupe(*pages: DataFrame) -> DataFrame:

@@ -19,15 +19,32 @@ MAX_SLICES = 4095
 SAMPLES_PER_SLICE = 8
 
 
-def _precedes(a: list[Column], b: list[Column], directions: list[str]) -> Column:
-    """Lexicographic "a sorts strictly before b", with NULL lowest."""
-    before, tied = [], F.lit(True)
-    for x, y, direction in zip(a, b, directions):
-        low, high = (x, y) if direction == "asc" else (y, x)
-        less = (low.isNull() & high.isNotNull()) | F.coalesce(low < high, F.lit(False))
-        before.append(tied & less)
-        tied = tied & x.eqNullSafe(y)
-    return reduce(lambda p, q: p | q, before)
+def _reversed(column: Column, kind: str) -> Column:
+    """A value that sorts the other way round, NULL aside."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.bitwise_not(column)
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return -column
+    if kind == "boolean":
+        return ~column
+    if kind == "date":
+        return -F.unix_date(column)
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.bitwise_not(F.unix_micros(column.cast("timestamp")))
+    if kind == "string":
+        # Complemented bytes; the end mark puts a text after its own continuations.
+        flipped = F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210")
+        return F.concat(flipped, F.lit("G"))
+    raise TypeError(f"cannot sort {kind} in descending order")
+
+
+def _key(df: DataFrame, order: list[tuple[str, str]]) -> Column:
+    """The sort key as one struct whose ascending order is ``order``."""
+    kinds, parts = dict(df.dtypes), []
+    for name, direction in order:
+        column = F.col(name)
+        parts += [column] if direction == "asc" else [column.isNull(), _reversed(column, kinds[name])]
+    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
 
 
 def slice_count(df: DataFrame) -> int:
@@ -35,41 +52,42 @@ def slice_count(df: DataFrame) -> int:
     return max(2, min(MAX_SLICES, wanted))
 
 
-def _cut_points(df: DataFrame, fields: list[str], directions: list[str], slices: int) -> Column:
-    """Sorted array of at most ``slices`` key structs, as a lazily computed scalar."""
-    key = F.struct(*fields)
+def _cut_points(df: DataFrame, key: Column, slices: int) -> Column:
+    """Sorted array of at most ``slices`` keys, as a lazily computed scalar.
+
+    The number of rows sets how many key hashes the sample skips, so no task sends more than its
+    share of a sample of fixed size; the limit only makes that size certain.
+    """
+    wanted = slices * SAMPLES_PER_SLICE
+    stride = F.greatest(F.floor(df.agg(F.count(F.lit(1))).scalar() / wanted), F.lit(1))
+    key_hash = F.xxhash64("k")
     sample = (
         df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(slices * SAMPLES_PER_SLICE)
+        .filter(F.pmod(key_hash, stride) == 0)
+        .orderBy(key_hash, "k")
+        .limit(2 * wanted)
     )
+    in_order = sample.agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    step = F.greatest(F.ceil(F.size("ks") / slices), F.lit(1))
+    spaced = F.filter("ks", lambda _, i: (i + 1) % step == 0)
+    return in_order.select(spaced.alias("cuts")).scalar()
 
-    def compare(a, b):
-        left, right = [a[f] for f in fields], [b[f] for f in fields]
-        return (
-            F.when(_precedes(left, right, directions), -1)
-            .when(_precedes(right, left, directions), 1)
-            .otherwise(0)
-        )
-
-    in_order = F.array_sort(F.collect_list("k"), compare)
-    spaced = F.filter(in_order, lambda _, i: i % SAMPLES_PER_SLICE == SAMPLES_PER_SLICE - 1)
-    return sample.agg(spaced.alias("cuts")).scalar()
 
+def _with_slice(df: DataFrame, key: Column, slices: int) -> DataFrame:
+    """Add ``_slice``: how many cut points the row sorts at or after.
 
-def _slice_of(cuts: Column, fields: list[str], directions: list[str], slices: int) -> Column:
-    """How many cut points a row sorts at or after, by binary search."""
-    steps = [1 << b for b in reversed(range(slices.bit_length()))]
-
-    def probe(found, step):
-        at = found + step
-        cut = F.get(cuts, at - 1)
-        own = [F.col(f) for f in fields]
-        inside = (at <= F.size(cuts)) & ~_precedes(own, [cut[f] for f in fields], directions)
-        return F.when(inside, at).otherwise(found)
-
-    # The coalesce only tells the optimizer that the result is never NULL.
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe), F.lit(0))
+    A binary search, one projection per step, so that all of it is compiled code.  Beyond the last
+    cut point the array gives NULL, which does not compare.
+    """
+    own = df.columns
+    found = df.withColumn("_cuts", _cut_points(df, key, slices)).withColumn("_key", key)
+    found = found.withColumn("_slice0", F.lit(0))
+    steps = slices.bit_length()
+    for i in range(steps):
+        step, at = 1 << (steps - 1 - i), F.col(f"_slice{i}")
+        beyond = F.get(F.col("_cuts"), at + (step - 1)) <= F.col("_key")
+        found = found.withColumn(f"_slice{i + 1}", at + F.when(beyond, step).otherwise(0))
+    return found.select(*own, F.col(f"_slice{steps}").alias("_slice"))
 
 
 def grouped_rank(
@@ -85,12 +103,8 @@ def grouped_rank(
     identify a row.  Group columns must not be NULL.
     """
     slices = slices or slice_count(df)
-    fields = list(group) + [c for c, _ in order]
-    directions = ["asc"] * len(group) + [d for _, d in order]
-    cut_array = _cut_points(df, fields, directions, slices)
-    sliced = df.withColumn("_cuts", cut_array).withColumn(
-        "_slice", _slice_of(F.col("_cuts"), fields, directions, slices)
-    ).drop("_cuts")
+    key = _key(df, [(g, "asc") for g in group] + order)
+    sliced = _with_slice(df, key, slices)
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = (

@@ -8,6 +8,7 @@ are planted on purpose.
 from __future__ import annotations
 
 import re
+import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,32 +191,39 @@ def color_array(mask: str):
 class Views:
     """The views as DataFrames with the library's column names."""
 
-    # Where the stored views of a session and source folder are.
-    _paths: dict[tuple[str, str, str], str] = {}
+    # Temporary views of the stored views, by session, source folder and name.
+    _stored: dict[tuple[str, str, str], str] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _source(self, table: str) -> str:
+        """Name of the temporary view of a source table, whose files are looked up only once."""
+        name = f"curioshelf_{zlib.crc32(self.sf_dir.encode())}_{table}"
+        if not self.spark.catalog.tableExists(name):
+            source = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            source.createOrReplaceTempView(name)
+        return name
+
     def _run(self, text: str) -> DataFrame:
-        return self.spark.sql(re.sub(r"@(\w+)", rf"parquet.`{self.sf_dir}/\1.parquet`", text))
+        return self.spark.sql(re.sub(r"@(\w+)", lambda m: self._source(m[1]), text))
+
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.sf_dir, name
 
     def _store(self, name: str) -> None:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in self._paths:
+        if self._key(name) not in self._stored:
             path = f"{scratch(self.spark)}/{name}"
-            made = self._run(with_views(f"select * from {name}", self._definitions(name)))
-            made.write.parquet(path)
-            self._paths[key] = path
+            made = self._run(with_views(f"select * from {name}", self._definitions()))
+            made.hint("rebalance").write.parquet(path)
+            view = f"{self._source('part')}_{name}"
+            self.spark.read.parquet(path).createOrReplaceTempView(view)
+            self._stored[self._key(name)] = view
 
-    def _definitions(self, being_stored: str | None = None) -> dict[str, str]:
+    def _definitions(self) -> dict[str, str]:
         """View definitions, with those stored so far read from their files."""
-        app = self.spark.sparkContext.applicationId
-        return {
-            name: f"select * from parquet.`{self._paths[app, self.sf_dir, name]}`"
-            if name != being_stored and (app, self.sf_dir, name) in self._paths
-            else text
-            for name, text in VIEWS.items()
-        }
+        stored = {n: self._stored.get(self._key(n)) for n in VIEWS}
+        return {n: f"select * from {stored[n]}" if stored[n] else text for n, text in VIEWS.items()}
 
     def sql(self, text: str) -> DataFrame:
         for name in STORED:
