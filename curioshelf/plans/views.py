@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,7 +151,7 @@ VIEWS = {
 
 # Views that a deployment would keep as tables.  They are written once per session and source
 # folder, so that what a query costs is the query and not the making of its inputs.
-STORED = ["copies", "placements", "layout"]
+STORED = ["copies", "placements", "layout", "collections", "price_cache", "fx_rates"]
 
 
 def views_in(sql: str, definitions: dict[str, str] = VIEWS) -> list[str]:
@@ -211,14 +212,18 @@ class Views:
     def _key(self, name: str) -> tuple[str, str, str]:
         return self.spark.sparkContext.applicationId, self.sf_dir, name
 
-    def _store(self, name: str) -> None:
+    def _keep(self, name: str, make: Callable[[], DataFrame]) -> str:
+        """Temporary view of a table that is written when first asked for."""
         if self._key(name) not in self._stored:
             path = f"{scratch(self.spark)}/{name}"
-            made = self._run(with_views(f"select * from {name}", self._definitions()))
-            made.hint("rebalance").write.parquet(path)
+            make().hint("rebalance").write.parquet(path)
             view = f"{self._source('part')}_{name}"
             self.spark.read.parquet(path).createOrReplaceTempView(view)
             self._stored[self._key(name)] = view
+        return self._stored[self._key(name)]
+
+    def _make(self, name: str) -> DataFrame:
+        return self._run(with_views(f"select * from {name}", self._definitions()))
 
     def _definitions(self) -> dict[str, str]:
         """View definitions, with those stored so far read from their files."""
@@ -228,13 +233,17 @@ class Views:
     def sql(self, text: str) -> DataFrame:
         for name in STORED:
             if name in views_in(text):
-                self._store(name)
+                self._keep(name, lambda name=name: self._make(name))
         return self._run(with_views(text, self._definitions()))
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
     def _cards(self, name: str) -> DataFrame:
+        """Catalogue records with arrays and the library's column names, kept as a table."""
+        return self.spark.table(self._keep(f"{name}_table", lambda: self._card_records(name)))
+
+    def _card_records(self, name: str) -> DataFrame:
         return (
             self.view(name)
             .withColumn("colors", color_array("color_mask"))
