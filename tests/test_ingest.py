@@ -1,0 +1,165 @@
+import json
+
+import pytest
+
+from curioshelf.operators.prices import price_upsert
+from curioshelf.sources import ingest
+from curioshelf.sources.schema import REQUIRED
+from curioshelf.streaming import streams
+from tests.helpers import rows
+
+COMPLETE = {
+    "id": "a",
+    "lang": "en",
+    "layout": "normal",
+    "cmc": 2,
+    "name": "Plain",
+    "type_line": "Artifact",
+    "border_color": "black",
+    "collector_number": "1",
+    "image_status": "ok",
+    "rarity": "common",
+    "set_name": "Test",
+    "set": "tst",
+    "not_in_schema": {"x": 1},
+}
+
+
+def record(**changes):
+    return {k: v for k, v in {**COMPLETE, **changes}.items() if v is not None}
+
+
+RECORDS = [
+    record(),
+    record(id="b", variation=True),
+    record(id="c", digital=True, oversized=True),
+    record(id="d", type_line=None),
+    record(id="e", type_line=""),
+    record(id="f", type_line="Card // Card"),
+    record(id="a", name="Again"),
+    record(id="g", rarity=None),
+    record(id="h", set=""),
+    record(id="i", card_faces=[{"name": "x"}, {"power": "1"}]),
+    record(id="j", card_faces=[{"name": "x", "image_uris": {"png": "u"}}], colors=["R"]),
+    record(id="k", all_parts=[{"id": "1", "component": "token", "name": "n", "type_line": "t"}]),
+    record(id="l", cmc=None),
+]
+
+
+@pytest.fixture
+def folder(tmp_path):
+    path = tmp_path / "cards"
+    path.mkdir()
+    (path / "one.json").write_text("\n".join(json.dumps(r) for r in RECORDS))
+    return str(path)
+
+
+def imported(records):
+    return ingest.catalog_dedupe(ingest.catalog_schema_enforce(ingest.catalog_import_filter(records)))
+
+
+def test_import(spark, folder):
+    records = ingest.catalog_read_json(spark, folder)
+    assert "not_in_schema" not in records.columns
+    assert rows(ingest.catalog_import_filter(records), "id") == [
+        (i,) for i in ["a", "a", "g", "h", "i", "j", "k", "l"]
+    ]
+    assert rows(imported(records), "id", "name") == [("a", "Plain"), ("j", "Plain")]
+    assert "variation" not in imported(records).columns
+
+
+def test_an_array_file_is_read_the_same(spark, folder, tmp_path):
+    path = tmp_path / "array.json"
+    path.write_text(json.dumps(RECORDS, indent=1))
+    as_array = ingest.catalog_read_json(spark, str(path), array=True)
+    lines = ingest.catalog_read_json(spark, folder)
+    assert rows(as_array.drop("seq")) == rows(lines.drop("seq"))
+    assert rows(imported(as_array)) == rows(imported(lines))
+
+
+def test_report_adds_up(spark, folder):
+    records = ingest.catalog_read_json(spark, folder)
+    report = dict(rows(ingest.catalog_import_report(records)))
+    assert report == {
+        "variation": 1,
+        "digital": 1,
+        "no type_line": 2,
+        "not a card": 1,
+        "missing rarity": 1,
+        "missing set": 1,
+        "missing cmc": 1,
+        "incomplete face": 1,
+        "incomplete part": 1,
+        "imported": 2,
+        "duplicate": 1,
+    }
+    assert sum(report.values()) == len(RECORDS)
+    assert report["imported"] == imported(records).count()
+
+
+@pytest.mark.parametrize("field", REQUIRED)
+def test_every_required_field_is_required(spark, tmp_path, field):
+    (tmp_path / "r.json").write_text(json.dumps(record(**{field: None})))
+    records = ingest.catalog_read_json(spark, str(tmp_path / "r.json"))
+    assert ingest.catalog_schema_enforce(records).count() == 0
+
+
+def test_overwrite_switches_snapshots(spark, tmp_path):
+    path = str(tmp_path / "catalogue")
+    first = ingest.catalog_overwrite(spark.range(3), path)
+    assert ingest.catalog_current(spark, path).count() == 3
+    ingest.catalog_overwrite(ingest.catalog_current(spark, path).filter("id > 0"), path)
+    assert rows(ingest.catalog_current(spark, path)) == [(1,), (2,)]
+    assert spark.read.parquet(first).count() == 3
+
+
+def test_refresh_and_lookup(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    updates = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "id string, v int, seq int")
+    fresh = ingest.catalog_refresh(base, updates)
+    assert rows(fresh) == [("a", 1), ("b", 4), ("c", 5)]
+    assert rows(ingest.catalog_lookup(fresh, ["c", "zz"])) == [("c", 5)]
+    assert rows(ingest.catalog_lookup(fresh, base.select("id").unionByName(base.select("id")))) == [("a", 1), ("b", 4)]
+
+
+def test_stream_imports_each_card_once(spark, tmp_path):
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+
+    def run():
+        streams.ingest_stream(spark, str(source), sink, checkpoint, 1).awaitTermination()
+        return rows(spark.read.parquet(sink), "id", "name")
+
+    (source / "1.json").write_text("\n".join(json.dumps(r) for r in RECORDS))
+    assert run() == [("a", "Plain"), ("j", "Plain")]
+    (source / "2.json").write_text("\n".join(json.dumps(r) for r in [record(name="Later"), record(id="m")]))
+    assert run() == [("a", "Plain"), ("j", "Plain"), ("m", "Plain")]
+    assert run() == [("a", "Plain"), ("j", "Plain"), ("m", "Plain")]
+
+
+def test_a_repeated_batch_stores_nothing_twice(spark, tmp_path):
+    """A batch that runs again, as after a failure, replaces what its first run wrote."""
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    source.mkdir()
+    (source / "1.json").write_text(json.dumps(record()))
+    streams.ingest_stream(spark, str(source), sink, str(checkpoint), 1).awaitTermination()
+    for committed in (checkpoint / "commits").glob("*0*"):
+        committed.unlink()
+    streams.ingest_stream(spark, str(source), sink, str(checkpoint), 1).awaitTermination()
+    assert rows(spark.read.parquet(sink), "id") == [("a",)]
+
+
+def test_price_stream(spark, tmp_path):
+    source, sink, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    log = spark.sql(
+        "select concat('c', id % 3) card_id, cast(id as string) usd,"
+        " timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) updated_at from range(20)"
+    )
+    log.repartition(4).write.parquet(source)
+    updates = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.price_upsert_stream(updates, sink, state).awaitTermination()
+    expected = rows(price_upsert(log.limit(0), log))
+    assert rows(streams.stored_prices(spark, sink)) == expected and len(expected) == 3
+    streams.compact_prices(spark, sink, str(tmp_path / "short"))
+    assert rows(streams.stored_prices(spark, str(tmp_path / "short"))) == expected
+    assert spark.read.parquet(str(tmp_path / "short")).count() == 3
