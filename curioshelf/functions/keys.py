@@ -55,7 +55,7 @@ def notes_key() -> Column:
 
 def tags_key(tags: str = "tags") -> Column:
     """Tags regardless of their order; missing tags are the same as none."""
-    return F.coalesce(F.array_join(F.array_sort(tags), ","), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(tags), ","), F.lit(""))
 
 
 def collector_key(number: str = "collector_number") -> list[Column]:

@@ -79,11 +79,11 @@ def deck_assemble(columns: DataFrame, placements: DataFrame, max_cards: int = 10
     # Partitioned once by document, which serves all three levels of nesting below.
     parts = ranked.withColumn("part", F.floor((F.col("_rn") - 1) / max_cards).cast("bigint"))
     parts = parts.repartition("deck_id", "part")
-    in_order = lambda *fields: F.array_sort(F.collect_list(F.struct(*fields)))
+    in_order = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
     listed = parts.groupBy(
         "deck_id", "part", "section_pos", "section_id", "section_name", "column_pos", "column_id"
     ).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("copy_id").isNotNull(), F.struct("_rn", "copy_id")))
         )["copy_id"].alias("cards")
     )
@@ -91,7 +91,7 @@ def deck_assemble(columns: DataFrame, placements: DataFrame, max_cards: int = 10
         F.col("column_id").isNotNull(), F.struct("column_pos", F.col("column_id").alias("id"), "cards")
     )
     sections = listed.groupBy("deck_id", "part", "section_pos", "section_id", "section_name").agg(
-        F.array_sort(F.collect_list(column)).alias("cs")
+        F.sort_array(F.collect_list(column)).alias("cs")
     )
     bare = F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["cards"].alias("cards")))
     section = ["section_pos", F.col("section_id").alias("id"), F.col("section_name").alias("name")]

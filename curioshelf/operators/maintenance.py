@@ -54,6 +54,8 @@ def copies_create(requests: DataFrame, collections: DataFrame, decks: DataFrame)
     last = F.least(first + (CREATE_BLOCK - 1), F.col("quantity"))
     return (
         valid.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks)))
+        # The blocks of one large request are made by many tasks.
+        .repartition("request_id", "_block")
         .withColumn("_n", F.explode(F.sequence(first, last)))
         .select(
             F.concat_ws("-", "request_id", "_n").alias("copy_id"),

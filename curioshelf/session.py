@@ -11,11 +11,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings the operators are written for: adaptive plans, and splitting of skewed look-up
-    joins even where that costs a later aggregation one more exchange."""
+    """Settings the operators are written for: adaptive plans, splitting of skewed look-up joins
+    even where that costs a later aggregation one more exchange, and broadcasting a look-up side
+    whose size, once it has been measured at run time, is small next to an executor."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "128m")
     return spark
 
 

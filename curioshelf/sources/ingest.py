@@ -27,9 +27,17 @@ def catalog_read_json(spark: SparkSession, path: str, array: bool = False) -> Da
     An array file is read by one task, so convert large ones to JSON lines or Parquet once.  Fields
     that the schema does not name are dropped.  The record's place in the input is kept in ``seq``.
     """
-    reader = spark.read.schema(IMPORT).option("multiLine", array)
-    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return reader.json(path).withColumn("seq", place)
+    records = spark.read.schema(IMPORT).option("multiLine", array).json(path)
+    return records.withColumn("seq", record_place())
+
+
+def record_place() -> Column:
+    """File, block of the file, and place in the block that a record was read from."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
 
 
 def _missing(field: str) -> Column:

@@ -38,19 +38,23 @@ def ingest_stream(
         spark.readStream.schema(IMPORT)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
-        .withColumn("_file", F.input_file_name())
+        .select("*", "_metadata.file_path", "_metadata.file_block_start")
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        place = F.struct("_file", F.monotonically_increasing_id().alias("at"))
+        place = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("at"))
         good = catalog_schema_enforce(
             catalog_import_filter(batch.withColumn("seq", place)), required
         )
-        fresh = catalog_dedupe(good)
+        cards = catalog_dedupe(good).persist()
         earlier = _ids_before(batch.sparkSession, sink, batch_id)
+        fresh = cards
         if earlier is not None:
-            fresh = fresh.join(earlier, "id", "left_anti")
+            # The small batch is sent to the large store, not the store to the batch.
+            known = earlier.join(cards.select("id"), "id", "left_semi")
+            fresh = cards.join(known, "id", "left_anti")
         fresh.select(*CARD.names).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        cards.unpersist()
 
     return (
         records.writeStream.option("checkpointLocation", checkpoint)
