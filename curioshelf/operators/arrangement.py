@@ -71,8 +71,11 @@ def deck_assemble(columns: DataFrame, placements: DataFrame, max_cards: int = 10
     filled = placements.join(columns, COLUMN)
     held = placements.select(*COLUMN).distinct()
     empty = columns.join(held, COLUMN, "left_anti")
-    rows = filled.unionByName(empty, allowMissingColumns=True).select(
-        *LAYOUT, F.coalesce("pos", F.lit(0)).alias("pos"), "copy_id"
+    # Settled, since ranking reads the rows several times.
+    rows = settled(
+        filled.unionByName(empty, allowMissingColumns=True).select(
+            *LAYOUT, F.coalesce("pos", F.lit(0)).alias("pos"), "copy_id"
+        )
     )
     order = [(c, "asc") for c in ("section_pos", "section_id", "column_pos", "column_id", "pos")]
     ranked = grouped_rank(rows, ["deck_id"], order + [("copy_id", "asc")], "_rn")
@@ -237,22 +240,23 @@ def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:
     afresh from 0; the others keep their positions."""
     base = placements.select(*PLACEMENT).join(placed, "copy_id", "left_anti").select(*PLACEMENT)
     touched = placed.select(*COLUMN).distinct()
-    ranked = grouped_rank(
-        base.join(touched, COLUMN, "left_semi"), COLUMN, [("pos", "asc"), ("copy_id", "asc")], "_rn"
-    )
-    # Old copies take the odd keys and new ones the even keys between them.  The old ones are read
-    # several times below, so their ranking is settled here.
+    # Ranking reads its input several times, so what is ranked is settled first.
+    held = settled(base.join(touched, COLUMN, "left_semi"))
+    ranked = grouped_rank(held, COLUMN, [("pos", "asc"), ("copy_id", "asc")], "_rn")
+    # Old copies take the odd keys and new ones the even keys between them.
     old = settled(
         ranked.select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_gap"), F.lit(0).alias("_seq"))
     )
     length = old.groupBy(*COLUMN).agg(F.count("*").alias("_n"))
     end = F.coalesce("_n", F.lit(0))
     at = F.least(F.greatest(F.col("index"), F.lit(0)), end)
-    new = placed.join(length, COLUMN, "left").select(
-        *COLUMN,
-        "copy_id",
-        (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_gap"),
-        F.col("seq").alias("_seq"),
+    new = settled(
+        placed.join(length, COLUMN, "left").select(
+            *COLUMN,
+            "copy_id",
+            (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_gap"),
+            F.col("seq").alias("_seq"),
+        )
     )
     order = [("_gap", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
     merged = grouped_rank(old.unionByName(new), COLUMN, order, "_rn").select(
@@ -393,7 +397,7 @@ def _reorder(items: DataFrame, scope: list[str], item: str, pos: str, orders: Da
         "_place", F.coalesce("_place", F.lit(-1))
     )
     order = [("_place", "asc"), (pos, "asc"), (item, "asc")]
-    return grouped_rank(placed, scope, order, "_rn").select(
+    return grouped_rank(settled(placed), scope, order, "_rn").select(
         *scope, item, (F.col("_rn") - 1).cast("int").alias("_pos")
     )
 

@@ -109,6 +109,15 @@ def card_locations(
     )
 
 
+def scan_matches(batches: DataFrame) -> DataFrame:
+    """Scan results as flat rows (detected, rank, card_id), best match first by ``rank``; a detected
+    card without matches keeps one row."""
+    detected = batches.select(F.explode("cards").alias("d"))
+    return detected.select(
+        F.col("d.id").alias("detected"), F.posexplode_outer("d.matches").alias("rank", "m")
+    ).select("detected", "rank", F.col("m.card_id").alias("card_id"))
+
+
 def scan_enrich(scans: DataFrame, cards: DataFrame) -> DataFrame:
     """Ranked candidates of each detected card with their catalogue row, best first.
 

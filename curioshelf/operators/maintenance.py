@@ -9,6 +9,7 @@ from curioshelf.functions.keys import notes_key, tags_key
 from curioshelf.operators.arrangement import LAYOUT, MADE_COLUMN, MADE_SECTION, MAIN_SECTION, deck_pull
 from curioshelf.operators.prices import latest
 from curioshelf.operators.ranking import grouped_rank
+from curioshelf.session import settled
 
 # Copies made for one request are spread over rows of this many before they are expanded.
 CREATE_BLOCK = 1000
@@ -117,7 +118,8 @@ def remove_group(copies: DataFrame, requests: DataFrame) -> DataFrame:
         .groupBy(_group_id().alias("_group"))
         .agg(F.sum("quantity").alias("_wanted"))
     )
-    candidates = (
+    # Settled, since ranking reads the candidates several times.
+    candidates = settled(
         copies.filter(F.col("collection_id").isNotNull())
         .select("copy_id", _group_id().alias("_group"))
         .join(wanted, "_group")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curioshelf.operators.ranking import grouped_rank
+from curioshelf.session import settled
 
 # How long a cached row stays fresh, how many cards one refresh may ask for, the base
 # currency, and the price fields.
@@ -67,7 +68,8 @@ def price_resolve(ids: DataFrame, cache: DataFrame, now) -> DataFrame:
 
 def price_batches(ids: DataFrame, size: int = REFRESH_BATCH) -> DataFrame:
     """Refresh list in consecutive batches of at most ``size`` ids, numbered from 0."""
-    ranked = grouped_rank(ids.select("card_id").distinct(), [], [("card_id", "asc")], "_rn")
+    distinct = settled(ids.select("card_id").distinct())
+    ranked = grouped_rank(distinct, [], [("card_id", "asc")], "_rn")
     return ranked.select(
         "card_id", F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch")
     )

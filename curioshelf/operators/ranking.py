@@ -100,7 +100,8 @@ def grouped_rank(
     """Add ``name``: the 1-based place of each row in its group.
 
     ``order`` is a list of (column, "asc" | "desc"); together with the group columns it must
-    identify a row.  Group columns must not be NULL.
+    identify a row.  Group columns must not be NULL.  ``df`` is read four times (row count, sample,
+    slice sizes, rows), so settle it first if it is more than a scan.
     """
     slices = slices or slice_count(df)
     key = _key(df, [(g, "asc") for g in group] + order)

@@ -87,6 +87,43 @@ REQUIRED = [
 REQUIRED_IN_PART = ["id", "component", "name", "type_line", "uri"]
 REQUIRED_IN_FACE = ["name"]
 
+# The other tables, in the column names that the operators use.
+COPY = _struct(
+    {
+        "copy_id": STRING,
+        "owner": STRING,
+        "card_id": STRING,
+        "collection_id": STRING,
+        "deck_id": STRING,
+        "notes": STRING,
+        "tags": STRINGS,
+        "created_at": T.TimestampType(),
+        "updated_at": T.TimestampType(),
+    }
+)
+COLLECTION = _struct(
+    {
+        "id": STRING,
+        "name": STRING,
+        "description": STRING,
+        "is_active": T.BooleanType(),
+        "owner": STRING,
+        "updated_at": T.TimestampType(),
+    }
+)
+DECK_COLUMN = _struct({"id": STRING, "cards": STRINGS})
+DECK_SECTION = _struct({"id": STRING, "name": STRING, "columns": T.ArrayType(DECK_COLUMN)})
+DECK = T.StructType(COLLECTION.fields).add("sections", T.ArrayType(DECK_SECTION))
+TAG = _struct({"label": STRING})
+PRICES = _struct(dict.fromkeys(["usd", "usd_foil", "usd_etched", "eur", "eur_foil", "tix"], STRING))
+PRICE = _struct({"card_id": STRING, "prices": PRICES, "updated_at": T.TimestampType()})
+RATE = _struct(
+    {"base": STRING, "target": STRING, "rate": T.DoubleType(), "updated_at": T.TimestampType()}
+)
+SCAN_MATCH = _struct({"card_id": STRING})
+SCANNED = _struct({"id": STRING, "url": STRING, "matches": T.ArrayType(SCAN_MATCH)})
+SCAN = _struct({"count": T.LongType(), "cards": T.ArrayType(SCANNED)})
+
 # What the import reads: the stored fields and the flags it filters by.
 IMPORT_FLAGS = ["variation", "digital", "oversized"]
 IMPORT = T.StructType(

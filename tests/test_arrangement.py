@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curioshelf.operators import arrangement as A
+from curioshelf.sources.schema import DECK
 from tests.helpers import copies_of, rows
 
 COLUMNS = (
@@ -71,10 +72,12 @@ def test_assemble_then_explode_gives_the_arrangement_back(spark, columns, max_ca
 
 
 def test_explode_keeps_empty_columns(spark):
-    kind = "deck_id string, sections array<struct<id string, name string, columns array<struct<id string, cards array<string>>>>>"
-    decks = spark.createDataFrame(
-        [("d", [("s", "Main", [("a", ["p1", "p2"]), ("b", [])]), ("t", "Side", [])]), ("e", [])], kind
-    )
+    documents = [
+        {"id": "d", "sections": [("s", "Main", [("a", ["p1", "p2"]), ("b", [])]), ("t", "Side", [])]},
+        {"id": "e", "sections": []},
+    ]
+    decks = spark.createDataFrame([tuple(d.get(f) for f in DECK.names) for d in documents], DECK)
+    decks = decks.withColumnRenamed("id", "deck_id")
     flat = A.deck_explode(decks)
     assert rows(flat, "deck_id", "section_id", "column_id", "pos", "copy_id") == sorted(
         [

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from curioshelf.functions import predicates as P
 from curioshelf.operators import joins, rollups, searches
+from curioshelf.sources.schema import SCAN
 from tests.helpers import cards_of, column, copies_of, rows
 
 
@@ -91,6 +92,12 @@ def test_scan_keeps_order_and_empty_results(spark, cards):
     assert rows(joins.scan_best_match(scans, cards)) == [("s1", "c3"), ("s2", None)]
 
 
+def test_scan_results_become_rows(spark):
+    found = [("s1", "u", [("c2",), ("c1",)]), ("s2", "u", [])]
+    batches = spark.createDataFrame([(2, found), (0, [])], SCAN)
+    assert rows(joins.scan_matches(batches)) == [("s1", 0, "c2"), ("s1", 1, "c1"), ("s2", None, None)]
+
+
 def test_tags(spark, copies):
     library = spark.createDataFrame([("a",)], "label string")
     assert sorted(column(joins.tag_vocabulary(copies), "label")) == ["a", "b"]

@@ -110,7 +110,7 @@ def test_most_of_a_hot_group_is_removed(spark, copies):
 
 def test_saved_searches_spread_a_hot_key(spark):
     """Every card has the same language, rarity and colours; the join keys still differ."""
-    cards = cards_of(spark, {}).drop("id").crossJoin(spark.range(4000).select(F.col("id").cast("string").alias("id")))
+    cards = cards_of(spark, *[{"id": str(i)} for i in range(4000)])
     stored = spark.createDataFrame(
         [(1, "en", 0, None, None, ["R"], None), (2, None, None, 9, None, None, None)],
         "search_id int, lang string, rarity_min int, cmc_min int, cmc_max int, colors array<string>, name_part string",
