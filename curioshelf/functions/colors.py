@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,12 +65,17 @@ def as_colors(colors: str | list[str]) -> list[str]:
     return list(dict.fromkeys(c for one in colors for c in color_names(one)))
 
 
-def color_key(colors: Column) -> Column:
-    """The colours of a card as one word in canonical order ('' when it has none)."""
-    return F.concat_ws("", *[F.when(F.array_contains(colors, c), F.lit(c)) for c in WUBRG])
+def color_mask(colors: Column) -> Column:
+    """The colours of a card as bits in canonical order, 0 when it has none."""
+    bits = [F.when(F.array_contains(colors, c), 1 << i).otherwise(0) for i, c in enumerate(WUBRG)]
+    return reduce(add, bits)
+
+
+def _word(mask: int) -> str:
+    return "".join(c for i, c in enumerate(WUBRG) if mask & (1 << i))
 
 
 def combination_rank(colors: Column) -> Column:
     """Zero-based place of a colour set among all combinations."""
-    places = F.array(*[F.lit(c) for c in COMBINATIONS])
-    return (F.array_position(places, color_key(colors)) - 1).cast("int")
+    places = [COMBINATIONS.index(_word(mask)) for mask in range(1 << len(WUBRG))]
+    return F.get(F.array(*[F.lit(p) for p in places]), color_mask(colors))
