@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -22,8 +23,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
-    return spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="spark-")
+    """The cluster's shared folder.  Only a session on one machine may go without: it gets a local
+    folder, the same one throughout.  On a cluster a missing setting is an error."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+        if "folder" not in _local:
+            _local["folder"] = tempfile.mkdtemp(prefix="spark-")
+        folder = _local["folder"]
+    return folder
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,3 +48,10 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and written as a table in the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
