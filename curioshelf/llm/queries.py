@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curioshelf.session import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +50,117 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curioshelf.llm.ngram_join import ngram_join
 
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm import secrets
+
+    scanned = kept(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    scored = secrets.score(scanned, secrets.train(secrets.samples(scanned)))
+    count = lambda kind: F.size(f"_{kind}").cast("long").alias(f"n_{kind}")
+    return scored.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.listed("_base"), 256).alias("base_sha256"),
+        secrets.listed("_spans").alias("spans"),
+    )
+
+
+PLANTED_CONVERSATION = -7
+PLANTED_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op10_chat_formatting",
+    f"""
+    with rows as (select conv_id, turn, coalesce(role, '') r, role, coalesce(text, '') t from conversations
+      union all values ({PLANTED_CONVERSATION}, 0, 'user', 'user', '{PLANTED_TEXT}'), ({PLANTED_CONVERSATION}, 1, 'assistant', 'assistant', '{PLANTED_TEXT}')),
+    esc as (select *, length(replace(replace(replace(t, '\\', '\\b'), '<', '\\l'), '#', '\\h')) nt,
+      length(replace(replace(replace(replace(r, '\\', '\\b'), '<', '\\l'), '#', '\\h'), ':', '\\c')) nr from rows)
+    select conv_id, count(*) n_turns,
+      sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, role, t)) turns_sha256,
+      coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint loss_chars,
+      sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '')) loss_sha256,
+      sum(nr + nt + 15)::bigint formatted_chars
+    from esc group by conv_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm import chat
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(PLANTED_CONVERSATION, n, role, PLANTED_TEXT) for n, role in enumerate(("user", "assistant"))]
+    planted = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.format_chats(chat.as_events(given.unionByName(planted))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("trained", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(
+    "op8_topk_nra",
+    """
+    with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) e from embeddings
+      where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+    from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op4_bottom_k_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_file")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from curioshelf.llm.token_files import token_file
+
+    return token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def held_out(parts: int, left: int) -> F.Column:
+    """Whether a row is kept from training: by the checksum of its doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == left
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm import toxicity
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(~held_out(4, 2)))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op5_line_crf_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm import line_crf
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.train(documents, labels.where(~held_out(5, 0)))
+    scored = line_crf.score(documents, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))

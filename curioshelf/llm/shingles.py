@@ -22,6 +22,10 @@ _LENGTH = np.uint64(0xA0761D6478BD642F)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Parts words at all ASCII characters but letters and digits.
+LETTERS = np.zeros(256, bool)
+LETTERS[:128] = True
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 
@@ -65,12 +69,15 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, words before each row, start and end byte of each word)."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hash of each word, words before each row, start and end byte of each word, hashes of each
+    word's first bytes, for each number in ``prefixes``).  ``gaps``: by byte, whether it parts words."""
     none = np.zeros(0, np.int64)
     if not len(data):
-        return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none
-    inside = ~_SPACE[data]
+        return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none, [none.astype(np.uint64) for _ in prefixes]
+    inside = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
@@ -79,14 +86,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     power, inverse = _power_tables(len(data))
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_LOWER[data] * power, dtype=np.uint64)))
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+
+    def hashed(to):
+        return mix((sums[to] - sums[starts]) * inverse[starts] + (to - starts).astype(np.uint64) * _LENGTH)
+
+    heads = [hashed(np.minimum(starts + p, ends)) for p in prefixes]
+    return hashed(ends), np.searchsorted(starts, offsets), starts, ends, heads
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in row order."""
     for _, rows, data, offsets in chunks(texts):
-        words, bounds, _, _ = word_hashes(data, offsets)
+        words, bounds, *_ = word_hashes(data, offsets)
         n = len(words) - WIDTH + 1
         if n > 0:
             full = np.zeros(n, np.uint64)
