@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curioshelf.llm.shingles import chunks, word_hashes
 
@@ -203,20 +204,21 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     return fit(np.array([len(x) for x in lengths]), np.concatenate(lengths), features, quality)
 
 
-def score(documents: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for every row of ``documents``: the chance that its quality is 1.
+def score(documents: DataFrame, model: Model | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of every row of ``documents`` and quality_score: the chance that its quality is 1.
 
     Null texts, empty ones and those without a word score 0; without a model every other text scores
     1.  Repeated rows are scored each, other columns are not looked at."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(batch.num_columns - 1)
             if model is None:
                 found = np.array([float(bool(t and t.strip())) for t in texts.to_pylist()])
             else:
                 found = scores_of(model, texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "quality_score"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    given = documents.select(*columns, F.col("text").alias("scored_text"))
+    schema = T.StructType([*documents.select(*columns).schema.fields, T.StructField("quality_score", T.DoubleType())])
+    return given.mapInArrow(run, schema)

@@ -20,10 +20,9 @@ No link is lost: a pair in one list either is in one component or is counted.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,8 @@ from curioshelf.llm.components import components
 from curioshelf.llm.shingles import mix, shingle_sets
 from curioshelf.session import kept
 
-FRAGMENT_SHINGLES = 3_000_000
+FRAGMENT_SHINGLES = 4_000_000
+PARTS = 8
 SHORT_LIST = 32
 BLOCK = 256
 STARS = 2
@@ -60,43 +60,40 @@ def set_ids(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
 
 
-def _cut(documents: DataFrame, bits: int) -> DataFrame:
-    """One row per fragment and run of documents: nodes, set sizes, shingles per node, shingles."""
-    shift = np.uint64(64 - bits)
+def _cut(documents: DataFrame, fragments: int) -> DataFrame:
+    """One row per fragment and run of documents: nodes, shingles of each node, shingles."""
+    edges = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            seen, nodes, sizes, sets, held = set(), [], [], [], 0
+            seen, nodes, sets, held = set(), [], [], 0
             for found in shingle_sets(batch.column(0)):
                 if len(found) and (node := _set_id(found)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    sizes.append(len(found))
                     sets.append(found)
                     held += len(found)
                 if held > 1 << 20:
-                    yield packed(nodes, sizes, sets)
-                    nodes, sizes, sets, held = [], [], [], 0
+                    yield packed(nodes, sets)
+                    nodes, sets, held = [], [], 0
             if nodes:
-                yield packed(nodes, sizes, sets)
+                yield packed(nodes, sets)
 
-    def packed(nodes, sizes, sets):
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << shift).astype(np.uint64)
+    def packed(nodes, sets):
         cuts = np.array([np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets])
         counts = np.diff(cuts, axis=1)
-        nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
-        rows = []
-        for f in range(1 << bits):
+        nodes, rows = np.array(nodes, np.int64), []
+        for f in range(fragments):
             own = np.flatnonzero(counts[:, f])
             if len(own):
                 tokens = np.concatenate([sets[i][cuts[i, f] : cuts[i, f + 1]] for i in own])
-                rows.append((f, nodes[own].tobytes(), sizes[own].astype(np.int32).tobytes(), counts[own, f].astype(np.int32).tobytes(), tokens.tobytes()))
+                rows.append((f, nodes[own].tobytes(), counts[own, f].astype(np.int32).tobytes(), tokens.tobytes()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))],
-            ["frag", "nodes", "sizes", "counts", "tokens"],
+            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 4))],
+            ["frag", "nodes", "counts", "tokens"],
         )
 
-    return documents.select("text").mapInArrow(run, "frag int, nodes binary, sizes binary, counts binary, tokens binary")
+    return documents.select("text").mapInArrow(run, "frag int, nodes binary, counts binary, tokens binary")
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -107,12 +104,13 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     """Of one fragment: for each node its shingles that other nodes have too, by rank, and the
     number of nodes that have each."""
     joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    nodes, sizes, counts, tokens = joined("nodes", np.int64), joined("sizes", np.int32), joined("counts", np.int32), joined("tokens", np.uint64)
+    nodes, counts, tokens = joined("nodes", np.int64), joined("counts", np.int32), joined("tokens", np.uint64)
     frag = table["frag"][0].as_py()
     first = np.zeros(len(nodes), bool)
     first[np.unique(nodes, return_index=True)[1]] = True
-    keep = np.repeat(first, counts)
-    nodes, sizes, counts, tokens = nodes[first], sizes[first], counts[first], tokens[keep]
+    if not first.all():
+        tokens = tokens[np.repeat(first, counts)]
+        nodes, counts = nodes[first], counts[first]
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -129,7 +127,6 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "node": pa.array(nodes[own]),
-            "n": pa.array(sizes[own]),
             "frag": pa.array(np.full(int(own.sum()), frag, np.int32)),
             "ranks": _lists(ranks, left[own]),
             "often": _lists(often[ranks], left[own]),
@@ -137,7 +134,7 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     )
 
 
-SEGMENT = "node long, n int, frag int, ranks array<int>, often array<int>"
+SEGMENT = "node long, frag int, ranks array<int>, often array<int>"
 
 
 def _close(a: str, b: str, percent: int) -> F.Column:
@@ -145,14 +142,15 @@ def _close(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, na, b, nb) that are similar: partial overlaps by fragment,
     summed per pair."""
-    left = segments.select(F.col("node").alias("a"), "frag", F.col("ranks").alias("ra"))
-    right = segments.select(F.col("node").alias("b"), "frag", F.col("ranks").alias("rb"))
-    parts = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ra", "rb")).alias("part"))
-    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return total.where(F.col("both") * 100 >= (F.col("na").cast("long") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    left = sets.select(F.col("node").alias("a"), F.col("parts").alias("xa"))
+    right = sets.select(F.col("node").alias("b"), F.col("parts").alias("xb"))
+    parts = F.zip_with("xa", "xb", lambda x, y: F.size(F.array_intersect(x, y)))
+    total = F.aggregate(parts, F.lit(0), lambda acc, part: acc + part).cast("long")
+    met = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", total.alias("both"))
+    return met.where(F.col("both") * 100 >= (F.col("na").cast("long") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
 def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -161,10 +159,10 @@ def _with_roots(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _stars(postings: DataFrame, seed: int, percent: int) -> DataFrame:
     """Pairs of each list's leader with those of its nodes that are in another component."""
-    key = F.xxhash64("node", F.pmod(F.xxhash64("frag", "rank"), F.lit(LEADERS)), F.lit(seed))
-    leaders = postings.groupBy("frag", "rank").agg(F.min(F.struct(key.alias("key"), "node", "n", "root")).alias("lead"))
-    leaders = leaders.select("frag", "rank", F.col("lead.node").alias("l"), F.col("lead.n").alias("nl"), F.col("lead.root").alias("lroot"))
-    found = postings.join(leaders, ["frag", "rank"]).where((F.col("root") != F.col("lroot")) & _close("n", "nl", percent))
+    key = F.xxhash64("node", F.pmod(F.xxhash64("shingle"), F.lit(LEADERS)), F.lit(seed))
+    leaders = postings.groupBy("shingle").agg(F.min(F.struct(key.alias("key"), "node", "n", "root")).alias("lead"))
+    leaders = leaders.select("shingle", F.col("lead.node").alias("l"), F.col("lead.n").alias("nl"), F.col("lead.root").alias("lroot"))
+    found = postings.join(leaders, "shingle").where((F.col("root") != F.col("lroot")) & _close("n", "nl", percent))
     swap = F.col("node") < F.col("l")
     return found.select(
         F.when(swap, F.col("node")).otherwise(F.col("l")).alias("a"),
@@ -177,57 +175,46 @@ def _stars(postings: DataFrame, seed: int, percent: int) -> DataFrame:
 def _short(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in short lists, unless their places in it rule them out: at the
     first common shingle no more can be shared than what follows it in either set."""
-    side = lambda x: postings.select("frag", "rank", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x), F.col("place").alias("p" + x))
+    side = lambda x: postings.select("shingle", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x), F.col("place").alias("p" + x))
     most = F.least(F.expr("na - pa"), F.expr("nb - pb")).cast("long")
     enough = most * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
-    met = side("a").join(side("b"), ["frag", "rank"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", percent) & enough)
+    met = side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", percent) & enough)
     return met.select("a", "na", "b", "nb").distinct()
 
 
-def _tile_counts(table: pa.Table) -> pa.Table:
-    """Partial overlaps of one tile in one fragment, packed: place of the pair, count."""
-    node, side = table["node"].to_numpy(), table["side"].to_numpy()
-    sides = []
-    for k in (0, 1):
-        rows = np.flatnonzero(side == k)
-        names, index = np.unique(node[rows], return_inverse=True)
-        lists = table["ranks"].combine_chunks().take(pa.array(rows))
-        tokens, owners = lists.flatten().to_numpy(), np.repeat(index, lists.value_lengths().to_numpy())
-        order = np.argsort(tokens, kind="stable")
-        sides.append((tokens[order], owners[order], len(names)))
-    (ta, oa, _), (tb, ob, nb) = sides
-    low, high = np.searchsorted(tb, ta), np.searchsorted(tb, ta, "right")
-    met = high - low
-    places, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bounds = np.concatenate(([0], np.cumsum(met)))
-    at = 0
-    while at < len(ta):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 4_000_000, "right")) - 1)
-        own = np.repeat(np.arange(at, to), met[at:to])
-        other = np.arange(len(own)) - np.repeat(bounds[at:to] - bounds[at], met[at:to]) + low[own]
-        key, number = np.unique(oa[own] * nb + ob[other], return_counts=True)
-        places, counts = np.concatenate((places, key)), np.concatenate((counts, number))
-        at = to
-    places, back = np.unique(places, return_inverse=True)
-    counts = np.bincount(back, weights=counts, minlength=len(places)).astype(np.int32)
-    return pa.table({"tile": [table["tile"][0].as_py()], "places": [places.astype(np.int32).tobytes()], "counts": [counts.tobytes()]}, schema=pa.schema([("tile", pa.string()), ("places", pa.binary()), ("counts", pa.binary())]))
-
-
 def _tile_links(percent: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums the parts of one tile and gives links that join up what is similar and in different
-        components: no more than there are nodes."""
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(left) or not len(right):
-            return none
-        node, n, root, side = (right[c].to_numpy() for c in ("node", "n", "root", "side"))
-        (na, ia), (nb, ib) = (np.unique(node[side == k], return_index=True) for k in (0, 1))
-        sa, sb, ra, rb = n[side == 0][ia], n[side == 1][ib], root[side == 0][ia], root[side == 1][ib]
-        total = np.zeros(len(na) * len(nb), np.int64)
-        for p, c in zip(left["places"].to_pylist(), left["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(p, np.int32)] += np.frombuffer(c, np.int32)
-        both = total.reshape(len(na), len(nb))
-        fit = (both * 100 >= (sa[:, None].astype(np.int64) + sb[None] - both) * percent) & (ra[:, None] != rb[None])
+    def overlaps(table: pa.Table, rows: list[np.ndarray]) -> np.ndarray:
+        """Overlaps of the nodes of both sides: partial counts by fragment, added up."""
+        total = np.zeros(len(rows[0]) * len(rows[1]), np.int64)
+        parts = table["parts"].combine_chunks()
+        for part in range(PARTS):
+            sides = []
+            for own in rows:
+                lists = pc.list_element(parts.take(pa.array(own)), part)
+                tokens, owners = lists.flatten().to_numpy(), np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy())
+                order = np.argsort(tokens, kind="stable")
+                sides.append((tokens[order], owners[order]))
+            (ta, oa), (tb, ob) = sides
+            low = np.searchsorted(tb, ta)
+            met = np.searchsorted(tb, ta, "right") - low
+            bounds = np.concatenate(([0], np.cumsum(met)))
+            at = 0
+            while at < len(ta):
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 2_000_000, "right")) - 1)
+                own = np.repeat(np.arange(at, to), met[at:to])
+                other = np.arange(len(own)) - np.repeat(bounds[at:to] - bounds[at], met[at:to]) + low[own]
+                total += np.bincount(oa[own] * len(rows[1]) + ob[other], minlength=len(total))
+                at = to
+        return total.reshape(len(rows[0]), len(rows[1]))
+
+    def run(table: pa.Table) -> pa.Table:
+        """Links of one tile that join up what is similar and in different components: no more than
+        there are nodes."""
+        node, n, root, side = (table[c].to_numpy() for c in ("node", "n", "root", "side"))
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        both = overlaps(table, rows)
+        (ra, rb), (sa, sb) = (root[r] for r in rows), (n[r].astype(np.int64) for r in rows)
+        fit = (both * 100 >= (sa[:, None] + sb[None] - both) * percent) & (ra[:, None] != rb[None])
         up: dict[int, int] = {}
 
         def top(x):
@@ -240,34 +227,27 @@ def _tile_links(percent: int):
             x, y = top(int(ra[i])), top(int(rb[j]))
             if x != y:
                 up[max(x, y)] = min(x, y)
-                out.append((int(na[i]), int(nb[j])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())}) if out else none
+                out.append((int(node[rows[0][i]]), int(node[rows[1][j]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def _tiles(postings: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _tiles(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components in long lists, tile by tile."""
-    heads = postings.groupBy("frag", "rank").agg(F.min("node").alias("b"))
-    group = components(postings.join(heads, ["frag", "rank"]).select(F.col("node").alias("a"), "b"))
-    group = group.withColumnRenamed("root", "cluster")
+    heads = postings.groupBy("shingle").agg(F.min("node").alias("b"))
+    group = components(postings.join(heads, "shingle").select(F.col("node").alias("a"), "b")).withColumnRenamed("root", "cluster")
     blocks = group.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = kept(
-        postings.select("node", "n", "root").distinct().join(group, "node").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    )
-    held = postings.join(placed.select("node", "cluster", "block"), "node").select("frag", "rank", "cluster", "block").distinct()
-    other = held.select("frag", "rank", F.col("block").alias("block2"))
-    tiles = held.join(other, ["frag", "rank"]).where("block <= block2").select("cluster", "block", "block2").distinct()
+    placed = postings.select("node", "n", "root").distinct().join(group, "node").join(blocks, "cluster")
+    placed = kept(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    held = postings.join(placed.select("node", "cluster", "block"), "node").select("shingle", "cluster", "block").distinct()
+    other = held.select("shingle", F.col("block").alias("block2"))
+    tiles = held.join(other, "shingle").where("block <= block2").select("cluster", "block", "block2").distinct()
     name = F.concat_ws(" ", "cluster", "block", "block2").alias("tile")
     first = tiles.select("cluster", "block", name, F.lit(0).alias("side"))
     second = tiles.select("cluster", F.col("block2").alias("block"), name, F.lit(1).alias("side"))
-    members = kept(first.unionByName(second).join(placed, ["cluster", "block"]).select("tile", "side", "node", "n", "root"))
-    parts = members.select("tile", "side", "node").join(segments.select("node", "frag", "ranks"), "node")
-    # Every node of a tile has a row in each of its fragments, so that places mean the same in all.
-    full = parts.select("tile", "frag").distinct().join(members.select("tile", "side", "node"), "tile")
-    full = full.join(parts, ["tile", "frag", "side", "node"], "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
-    counts = full.groupBy("tile", "frag").applyInArrow(_tile_counts, "tile string, places binary, counts binary")
-    return counts.groupBy("tile").cogroup(members.groupBy("tile")).applyInArrow(_tile_links(percent), "a long, b long")
+    members = first.unionByName(second).join(placed, ["cluster", "block"]).join(sets.select("node", "parts"), "node")
+    return members.select("tile", "side", "node", "n", "root", "parts").groupBy("tile").applyInArrow(_tile_links(percent), "a long, b long")
 
 
 def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -281,32 +261,35 @@ def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
     """
     docs = kept(set_ids(documents))
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, total / FRAGMENT_SHINGLES))))
-    segments = kept(_cut(documents, bits).groupBy("frag").applyInArrow(_count_fragment, SEGMENT))
+    segments = _cut(documents, max(PARTS, -(-total // FRAGMENT_SHINGLES))).groupBy("frag").applyInArrow(_count_fragment, SEGMENT)
+    shared = segments.groupBy("node").agg(F.collect_list(F.struct("frag", "ranks", "often")).alias("held"), F.sum(F.size("ranks")).alias("common"))
 
     # How many of a set's first shingles have to be looked at; its lone ones are the first of all.
-    lone = F.col("n") - F.sum(F.size("ranks"))
-    alive = segments.groupBy("node", "n").agg(lone.alias("lone")).withColumn("prefix", (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int"))
-    segments = kept(segments.join(alive.where("lone < prefix"), ["node", "n"]))
-    flat = F.flatten(F.collect_list(F.expr("zip_with(often, ranks, (o, r) -> struct(o, frag, r as rank))")))
-    places = segments.groupBy("node", "n", "lone", "prefix").agg(F.array_sort(flat).alias("shared"))
-    postings = places.select("node", "n", "lone", F.posexplode(F.expr("slice(shared, 1, prefix - lone)")))
-    postings = postings.select("node", "n", "col.frag", "col.rank", (F.col("lone") + F.col("pos")).alias("place"))
-    lists = postings.groupBy("frag", "rank").agg(F.count("*").alias("length"))
-    postings = kept(postings.join(lists.where("length > 1"), ["frag", "rank"]))
-    segments = segments.select("node", "frag", "ranks")
+    sizes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"))
+    lone, prefix = F.col("n") - F.col("common"), (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+    alive = shared.join(sizes, "node").withColumn("lone", lone).withColumn("prefix", prefix).where("lone < prefix")
+    # A shingle's name: fragment and rank in it.
+    names = "zip_with(s.often, s.ranks, (o, r) -> struct(o as often, shiftleft(cast(s.frag as bigint), 32) + r as shingle))"
+    alive = alive.withColumn("order", F.array_sort(F.flatten(F.expr(f"transform(held, s -> {names})"))))
+    parts = f"transform(sequence(0, {PARTS - 1}), p -> transform(filter(order, x -> pmod(shiftright(x.shingle, 32), {PARTS}) = p), x -> x.shingle))"
+    first = F.expr("transform(slice(order, 1, cast(prefix - lone as int)), x -> x.shingle)")
+    sets = kept(alive.select("node", "n", "lone", first.alias("first"), F.expr(parts).alias("parts")))
+    postings = sets.select("node", "n", "lone", F.posexplode("first").alias("pos", "shingle"))
+    postings = postings.select("node", "n", "shingle", (F.col("lone") + F.col("pos")).alias("place"))
+    lists = postings.groupBy("shingle").agg(F.count("*").alias("length"))
+    postings = kept(postings.join(lists.where("length > 1"), "shingle"))
 
     links, rooted = None, postings.withColumn("root", F.col("node"))
     for seed in range(STARS):
-        found = kept(_overlaps(_stars(rooted, seed, percent), segments, percent))
+        found = kept(_overlaps(_stars(rooted, seed, percent), sets, percent))
         links = found if links is None else links.unionByName(found)
         rooted = kept(_with_roots(postings, components(links)))
-    mixed = rooted.groupBy("frag", "rank").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("frag", "rank")
-    rooted = kept(rooted.join(mixed, ["frag", "rank"], "left_semi"))
-    links = links.unionByName(_overlaps(_short(rooted.where(F.col("length") <= SHORT_LIST), percent), segments, percent))
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    rooted = kept(rooted.join(mixed, "shingle", "left_semi"))
+    links = links.unionByName(_overlaps(_short(rooted.where(F.col("length") <= SHORT_LIST), percent), sets, percent))
     long = rooted.where(F.col("length") > SHORT_LIST)
     if not long.isEmpty():
-        links = links.unionByName(_tiles(long, segments, percent))
+        links = links.unionByName(_tiles(long, sets, percent))
     roots = components(links)
 
     known = docs.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -36,11 +36,11 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
     with recursive words as materialized (select doc_id, {WORDS} w from documents),
     sets as materialized (
       select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) s from words),
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from words),
     flat as materialized (select doc_id, len(s) n, unnest(s) g from sets),
-    pairs as (select x.doc_id a, y.doc_id b, x.n na, y.n nb, count(*) both
+    pairs as (select x.doc_id a, y.doc_id b, x.n na, y.n nb, count(*) met
       from flat x join flat y on x.g = y.g and x.doc_id <> y.doc_id group by all),
-    links as materialized (select a, b from pairs where 100 * both >= 75 * (na + nb - both)),
+    links as materialized (select a, b from pairs where 100 * met >= 75 * (na + nb - met)),
     reach(id, root) as (select doc_id, doc_id from sets union select r.id, l.b from reach r join links l on l.a = r.root)
     select doc_id, len(s)::bigint n_shingles, root component_id
     from sets join (select id, min(root) root from reach group by id) on id = doc_id
@@ -110,9 +110,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op8_topk_nra",
     """
-    with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) e from embeddings
-      where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint score
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint score
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
     select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
     from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
@@ -153,7 +153,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(documents, labels.where(~held_out(4, 2)))
     scored = toxicity.score(documents, model)
-    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    score = F.col("toxicity_score")
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 @query("op5_line_crf_quality")
@@ -163,4 +164,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = line_crf.train(documents, labels.where(~held_out(5, 0)))
     scored = line_crf.score(documents, model)
-    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), score.alias("score"), (score >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm.packing import as_items, pack
+
+    return pack(as_items(table(spark, sf_dir, "documents")))
+
+
+@query("op2_piece_lattice")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from curioshelf.llm.piece_lattice import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curioshelf.llm.shingles import LETTERS, chunks, mix, word_hashes
 
@@ -214,15 +215,16 @@ def _scores(model: Model):
             z = _patterns(texts.to_pylist()) @ model.weights[width:] + model.intercept
             for at, row, place, count in _found(texts, model.terms):
                 np.add.at(z, at + row, np.log1p(count) * model.weights[place])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names[:-1], "score"])
+            score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], [*batch.schema.names[:-1], "toxicity_score"])
 
     return run
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of ``documents``: the chance that the text is toxic.
+def score(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of every row of ``documents`` and toxicity_score: the chance that its text is toxic.
 
     Null and empty texts score low, each repeated row is scored, other columns are not looked at."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_scores(model), f"doc_id {kind}, score double")
-
+    given = documents.select(*columns, F.col("text").alias("scored_text"))
+    schema = T.StructType([*documents.select(*columns).schema.fields, T.StructField("toxicity_score", T.DoubleType())])
+    return given.mapInArrow(_scores(model), schema)
