@@ -30,7 +30,8 @@ from curioshelf.llm.components import components
 from curioshelf.llm.shingles import mix, shingle_sets
 from curioshelf.session import kept
 
-FRAGMENT_SHINGLES = 4_000_000
+FRAGMENT_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 8_000_000
 PARTS = 8
 SHORT_LIST = 32
 BLOCK = 256
@@ -66,7 +67,7 @@ def _cut(documents: DataFrame, fragments: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            seen, nodes, sets, held = set(), [], [], 0
+            seen, nodes, sets, held = set(), [], [], 0  # a set is sent once per batch
             for found in shingle_sets(batch.column(0)):
                 if len(found) and (node := _set_id(found)) not in seen:
                     seen.add(node)
@@ -82,35 +83,49 @@ def _cut(documents: DataFrame, fragments: int) -> DataFrame:
     def packed(nodes, sets):
         cuts = np.array([np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets])
         counts = np.diff(cuts, axis=1)
-        nodes, rows = np.array(nodes, np.int64), []
+        nodes, sizes, rows = np.array(nodes, np.int64), counts.sum(1).astype(np.int32), []
         for f in range(fragments):
             own = np.flatnonzero(counts[:, f])
             if len(own):
                 tokens = np.concatenate([sets[i][cuts[i, f] : cuts[i, f + 1]] for i in own])
-                rows.append((f, nodes[own].tobytes(), counts[own, f].astype(np.int32).tobytes(), tokens.tobytes()))
+                rows.append((f, nodes[own].tobytes(), sizes[own].tobytes(), counts[own, f].astype(np.int32).tobytes(), tokens.tobytes()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 4))],
-            ["frag", "nodes", "counts", "tokens"],
+            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))],
+            ["frag", "nodes", "sizes", "counts", "tokens"],
         )
 
-    return documents.select("text").mapInArrow(run, "frag int, nodes binary, counts binary, tokens binary")
+    return documents.select("text").mapInArrow(run, "frag int, nodes binary, sizes binary, counts binary, tokens binary")
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(c for c in table[name].to_pylist()), kind)
 
 
-def _count_fragment(table: pa.Table) -> pa.Table:
-    """Of one fragment: for each node its shingles that other nodes have too, by rank, and the
-    number of nodes that have each."""
-    joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    nodes, counts, tokens = joined("nodes", np.int64), joined("counts", np.int32), joined("tokens", np.uint64)
-    frag = table["frag"][0].as_py()
+def _count_fragment(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one fragment: for each node its shingles that other nodes have too, by rank, and the
+        number of nodes that have each; packed by bucket of nodes."""
+        frag = table["frag"][0].as_py()
+        rows = []
+        for bucket, (nodes, sizes, counts, ranks, often) in enumerate(_shared(table, buckets)):
+            if len(nodes):
+                rows.append((bucket, frag, nodes.tobytes(), sizes.tobytes(), counts.astype(np.int32).tobytes(), ranks.tobytes(), often.astype(np.int32).tobytes()))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        out = pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "frag", "nodes", "sizes", "counts", "ranks", "often"])
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
+def _shared(table: pa.Table, buckets: int):
+    nodes, sizes, counts = _joined(table, "nodes", np.int64), _joined(table, "sizes", np.int32), _joined(table, "counts", np.int32)
+    tokens = _joined(table, "tokens", np.uint64)
     first = np.zeros(len(nodes), bool)
     first[np.unique(nodes, return_index=True)[1]] = True
     if not first.all():
         tokens = tokens[np.repeat(first, counts)]
-        nodes, counts = nodes[first], counts[first]
+        nodes, sizes, counts = nodes[first], sizes[first], counts[first]
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -121,20 +136,54 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     ranks = np.empty(len(rank), np.int32)
     ranks[order] = rank
     shared = often[ranks] > 1
-    owner = np.repeat(np.arange(len(nodes)), counts)[shared]
+    owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)[shared]
+    ranks, often = ranks[shared], often[ranks[shared]]
     left = np.bincount(owner, minlength=len(nodes))
-    own, ranks = left > 0, ranks[shared]
-    return pa.table(
-        {
-            "node": pa.array(nodes[own]),
-            "frag": pa.array(np.full(int(own.sum()), frag, np.int32)),
-            "ranks": _lists(ranks, left[own]),
-            "often": _lists(often[ranks], left[own]),
-        }
-    )
+    place = np.where(left > 0, (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), -1)
+    for bucket in range(buckets):
+        own = place == bucket
+        mine = own[owner]
+        yield nodes[own], sizes[own], left[own], ranks[mine], often[mine]
 
 
-SEGMENT = "node long, frag int, ranks array<int>, often array<int>"
+SEGMENT = "bucket int, frag int, nodes binary, sizes binary, counts binary, ranks binary, often binary"
+SETS = "node long, n int, lone int, first array<long>, parts array<array<long>>"
+
+
+def _gather(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket of nodes: the sets that can be similar to another at all.
+
+        lone: shingles of no other set, the first in order; first: what else of the set's first
+        shingles is to be looked at; parts: all shared shingles, by fragment."""
+        nodes, sizes, counts = _joined(table, "nodes", np.int64), _joined(table, "sizes", np.int32), _joined(table, "counts", np.int32)
+        blocks = np.array([len(c) // 4 for c in table["ranks"].to_pylist()])
+        names = np.repeat(table["frag"].to_numpy().astype(np.int64) << 32, blocks) | _joined(table, "ranks", np.int32)
+        known, index = np.unique(nodes, return_inverse=True)
+        n = np.zeros(len(known), np.int32)
+        n[index] = sizes
+        lone = (n - np.bincount(index, weights=counts, minlength=len(known))).astype(np.int32)
+        prefix = n - -(-n.astype(np.int64) * percent // 100) + 1
+        alive = lone < prefix
+        owner = np.repeat(index, counts)
+        keep = alive[owner]
+        owner, names, often = owner[keep], names[keep], _joined(table, "often", np.int32)[keep]
+        order = np.lexsort((names, often, owner))
+        owner, names = owner[order], names[order]
+        out: dict[str, list] = {"first": [], "parts": []}
+        ends = np.cumsum(np.bincount(owner, minlength=len(known))) if len(known) else np.zeros(0, np.int64)
+        for k in np.flatnonzero(alive):
+            own = names[(ends[k - 1] if k else 0) : ends[k]]
+            part = (own >> 32) % PARTS
+            out["first"].append(own[: prefix[k] - lone[k]])
+            out["parts"].append([own[part == p] for p in range(PARTS)])
+        found = {"node": pa.array(known[alive]), "n": pa.array(n[alive]), "lone": pa.array(lone[alive])}
+        found |= {"first": pa.array(out["first"], pa.list_(pa.int64())), "parts": pa.array(out["parts"], pa.list_(pa.list_(pa.int64())))}
+        result = pa.table(found)
+        pa.default_memory_pool().release_unused()
+        return result
+
+    return run
 
 
 def _close(a: str, b: str, percent: int) -> F.Column:
@@ -261,19 +310,10 @@ def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
     """
     docs = kept(set_ids(documents))
     total = docs.agg(F.sum("n_shingles")).first()[0] or 0
-    segments = _cut(documents, max(PARTS, -(-total // FRAGMENT_SHINGLES))).groupBy("frag").applyInArrow(_count_fragment, SEGMENT)
-    shared = segments.groupBy("node").agg(F.collect_list(F.struct("frag", "ranks", "often")).alias("held"), F.sum(F.size("ranks")).alias("common"))
-
-    # How many of a set's first shingles have to be looked at; its lone ones are the first of all.
-    sizes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"))
-    lone, prefix = F.col("n") - F.col("common"), (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
-    alive = shared.join(sizes, "node").withColumn("lone", lone).withColumn("prefix", prefix).where("lone < prefix")
-    # A shingle's name: fragment and rank in it.
-    names = "zip_with(s.often, s.ranks, (o, r) -> struct(o as often, shiftleft(cast(s.frag as bigint), 32) + r as shingle))"
-    alive = alive.withColumn("order", F.array_sort(F.flatten(F.expr(f"transform(held, s -> {names})"))))
-    parts = f"transform(sequence(0, {PARTS - 1}), p -> transform(filter(order, x -> pmod(shiftright(x.shingle, 32), {PARTS}) = p), x -> x.shingle))"
-    first = F.expr("transform(slice(order, 1, cast(prefix - lone as int)), x -> x.shingle)")
-    sets = kept(alive.select("node", "n", "lone", first.alias("first"), F.expr(parts).alias("parts")))
+    segments = _cut(documents, max(PARTS, -(-total // FRAGMENT_SHINGLES)))
+    buckets = max(PARTS, -(-total // BUCKET_SHINGLES))
+    shared = segments.groupBy("frag").applyInArrow(_count_fragment(buckets), SEGMENT)
+    sets = kept(shared.groupBy("bucket").applyInArrow(_gather(percent), SETS))
     postings = sets.select("node", "n", "lone", F.posexplode("first").alias("pos", "shingle"))
     postings = postings.select("node", "n", "shingle", (F.col("lone") + F.col("pos")).alias("place"))
     lists = postings.groupBy("shingle").agg(F.count("*").alias("length"))

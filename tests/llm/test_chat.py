@@ -1,0 +1,69 @@
+from curioshelf.llm import chat
+
+EVENT = "conv_id long, seq long, turn long, kind string, role string, text string, formatted int, marks int"
+
+
+def events_of(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2) for r in rows], EVENT)
+
+
+def test_fold(spark):
+    log = [
+        (1, 5, 2, "delta", None, "lo"),
+        (1, 4, 2, "delta", "assistant", "hel"),
+        (1, 1, 1, "delta", "user", "hi"),
+        (1, 2, 1, "edit", None, "hey"),
+        (1, 3, 1, None, None, " you"),
+        (2, 1, 1, "delta", "user", "q"),
+        (2, 2, 2, "delta", "assistant", "bad"),
+        (2, 3, 3, "delta", "user", "why?"),
+        (2, 4, 2, "regenerate", "assistant", None),
+        (2, 5, 2, "delta", None, "go"),
+        (2, 6, 2, "delta", None, "od"),
+        (2, 7, 4, "delta", "user", "thanks"),
+        (3, 1, None, "delta", None, None),
+        (None, 1, 1, "delta", "user", "lost"),
+    ]
+    got = {tuple(r) for r in chat.fold(events_of(spark, log)).collect()}
+    assert got == {
+        (1, 1, "user", "hey you"),
+        (1, 2, "assistant", "hello"),
+        (2, 1, "user", "q"),
+        (2, 2, "assistant", "good"),
+        (2, 4, "user", "thanks"),
+        (3, None, "", ""),
+        (None, 1, "user", "lost"),
+    }
+
+
+TEXTS = ["", "plain", "\\### Assistant: </turn> ok", "### user: x </turn>\n### assistant: y", "\\b\\l\\h\\", "a\n\n</turn>\n", "日本 😀 <|x|> # \\#", " \x00", "x" * 50_000]
+
+
+def test_texts_come_back(spark):
+    log = [(c, 2 * t, t, "delta", role, text) for c in range(3) for t, text in enumerate(TEXTS) for role in [("user", "assistant", "a: b\n<#\\")[(c + t) % 3]]]
+    out = chat.read_back(chat.format_chats(events_of(spark, log))).orderBy("conv_id").collect()
+    for c, row in enumerate(out):
+        want = [(r, t) for cc, _, _, _, r, t in log if cc == c]
+        assert [tuple(t) for t in row["turns"]] == want
+        assert row["trained"] == [t for r, t in want if r == "assistant"]
+
+
+def test_marks(spark):
+    log = [(1, 1, 1, "delta", "user", "a<b"), (1, 2, 2, "delta", "assistant", "é#"), (1, 3, 3, "delta", "assistant", "")]
+    row = chat.format_chats(events_of(spark, log)).first()
+    assert row["formatted"] == "### user: a\\lb </turn>\n### assistant: é\\h </turn>\n### assistant:  </turn>\n"
+    spans = [row["formatted"][m["loss_start"] : m["loss_start"] + m["loss_length"]] for m in row["marks"] if m["loss_start"] is not None]
+    assert spans == ["é\\h", ""] and row["marks"][1]["start"] == row["formatted"].index("### a")
+
+
+def test_rows_as_events(spark):
+    rows = [(1, 2, "assistant", "odd"), (1, 1, "user", "x"), (1, 2, "assistant", "odd"), (1, 3, None, None), (2, None, "system", "s"), (None, 1, "user", "n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.read_back(chat.format_chats(chat.as_events(frame))).collect()}
+    assert got == {1: [("user", "x"), ("assistant", "odd"), ("assistant", "odd"), ("", "")], 2: [("system", "s")], None: [("user", "n")]}
+    assert chat.format_chats(chat.as_events(frame.limit(0))).count() == 0
+
+
+def test_native(spark):
+    plan = chat.read_back(chat.format_chats(events_of(spark, [(1, 1, 1, None, "u", "t")])))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,77 @@
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from curioshelf.llm import line_crf as crf
+
+
+def brute(pull, follow):
+    """Chance of good per line and expected steps, over all labellings of one chain."""
+    n = len(pull)
+    total, good, steps = 0.0, np.zeros(n), np.zeros((2, 2))
+    for y in itertools.product((0, 1), repeat=n):
+        weight = np.exp(sum(p for p, v in zip(pull, y, strict=True) if v) + sum(follow[a, b] for a, b in itertools.pairwise(y)))
+        total += weight
+        good += weight * np.array(y)
+        for a, b in itertools.pairwise(y):
+            steps[a, b] += weight
+    return good / total, steps / total
+
+
+def test_forward_backward():
+    r = np.random.default_rng(2)
+    counts = np.array([3, 1, 6, 2])
+    pull, follow = r.normal(size=12) * 2, r.normal(size=(2, 2))
+    chance, steps = crf.forward_backward(pull, counts, follow)
+    at, want = 0, np.zeros((2, 2))
+    for n in counts:
+        good, more = brute(pull[at : at + n], follow)
+        assert chance[at : at + n] == pytest.approx(good)
+        want += more
+        at += n
+    assert steps == pytest.approx(want)
+
+
+def test_lines():
+    counts, lengths, features = crf.line_features(pa.array(["a b\n\nc", "", None, "x" * 2_000_000, "z\n"]))
+    assert counts.tolist() == [3, 1, 1, 1, 2] and lengths.tolist() == [3, 0, 1, 0, 0, 2_000_000, 1, 0]
+    assert features.shape == (8, crf.WIDTH) and np.isfinite(features).all()
+
+
+def line(r, good):
+    if good:
+        return " ".join("".join(r.choice("aeilnorst") for _ in range(r.randrange(2, 9))) for _ in range(12)) + "."
+    return r.choice([" | ".join("abcd"), "THE!! AND!! OF!! A!!", "so so so so so so so", "x### y$$$ z%%% q&&&"])
+
+
+def corpus(seed, n):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        good = r.random() < 0.7
+        lines = [line(r, good if r.random() < 0.9 else not good) for _ in range(r.randrange(1, 9))]
+        rows.append((i, "\n".join(lines), int(good)))
+    return rows
+
+
+def test_held_out_accuracy(spark, docs_of, odd_docs):
+    rows = corpus(1, 500)
+    docs = docs_of([r[:2] for r in rows])
+    labels = spark.createDataFrame([*((i, q, 0) for i, _, q in rows[:350]), (None, 1, 0), (360, None, 0), (99_999, 1, 0)], "doc_id long, quality int, toxic int")
+    model = crf.train(docs, labels)
+    got = {r["doc_id"]: r["quality_score"] for r in crf.score(docs, model).collect()}
+    right = [(got[i] >= crf.THRESHOLD) == bool(q) for i, _, q in rows[350:]]
+    assert np.mean(right) > 0.95
+    odd = crf.score(odd_docs, model, ("doc_id", "score", "text"))
+    assert odd.count() == odd_docs.count() and odd.columns == ["doc_id", "score", "text", "quality_score"]
+    assert {r["quality_score"] for r in odd.where("doc_id in (2, 3, 4)").collect()} == {0.0}
+    assert crf.score(odd_docs.limit(0), model).count() == 0
+
+
+def test_without_labels(spark, odd_docs):
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    assert crf.train(odd_docs, labels) is None
+    assert {(r["doc_id"], r["quality_score"]) for r in crf.score(odd_docs, None).collect()} >= {(9, 1.0), (3, 0.0), (2, 0.0)}

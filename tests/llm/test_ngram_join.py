@@ -1,0 +1,78 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from curioshelf.llm import ngram_join as join
+
+
+def shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} - {()}
+
+
+def brute(rows, percent=75):
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[top(i)] = min(doc, least.get(top(i), doc))
+    return Counter((doc, len(sets[i]), least.get(top(i), doc)) for i, (doc, _) in enumerate(rows))
+
+
+def edited(words, r, rate):
+    return " ".join(w if r.random() > rate else f"x{r.randrange(10**6)}" for w in words)
+
+
+def corpus(seed, groups, copies, rate, common=12):
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(common)]
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{r.randrange(60)}" for _ in range(r.randrange(3, 120))]
+        for _ in range(copies):
+            texts.append(edited(base + passage * r.randrange(2), r, rate))
+        texts.append(" ".join(base).upper())
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed, groups, copies, rate", [(1, 12, 4, 0.02), (2, 3, 40, 0.015), (3, 30, 1, 0.01)])
+def test_same_as_brute_force(docs_of, seed, groups, copies, rate):
+    rows = corpus(seed, groups, copies, rate)
+    got = join.ngram_join(docs_of(rows))
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+
+
+def test_tiles_lose_no_link(docs_of, monkeypatch):
+    monkeypatch.setattr(join, "SHORT_LIST", 3)
+    monkeypatch.setattr(join, "BLOCK", 8)
+    monkeypatch.setattr(join, "STARS", 1)
+    rows = corpus(5, 2, 45, 0.03)
+    got = join.ngram_join(docs_of(rows))
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+    assert len({c for _, _, c in map(tuple, got.collect())}) > 2
+
+
+def test_odd_rows(odd_docs):
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert Counter(map(tuple, join.ngram_join(odd_docs).collect())) == brute(rows)
+
+
+def test_empty_table(docs_of, spark):
+    assert join.ngram_join(docs_of([(1, "a")]).limit(0)).count() == 0
+    assert join.ngram_join(docs_of([None, ""])).collect() == [(0, 0, 0), (1, 0, 1)]
