@@ -53,6 +53,11 @@ def notes_key() -> Column:
     return F.coalesce(F.col("notes"), F.lit(""))
 
 
+def tag_set(tags: str = "tags") -> Column:
+    """Tags regardless of their order, as an array; missing tags are the same as none."""
+    return F.coalesce(F.sort_array(tags), F.array().cast("array<string>"))
+
+
 def tags_key(tags: str = "tags") -> Column:
     """Tags regardless of their order; missing tags are the same as none."""
     return F.coalesce(F.array_join(F.sort_array(tags), ","), F.lit(""))

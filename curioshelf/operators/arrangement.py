@@ -13,7 +13,7 @@ deck, however large, has to fit in one row or one task:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curioshelf.operators.prices import latest
@@ -31,6 +31,8 @@ NEW_SECTION = "New Section"
 # Ids of the section and column that are made when a deck has nowhere to put a copy.
 MADE_SECTION = "main"
 MADE_COLUMN = "main"
+# Start of the id of one that is made because the named one does not exist.
+MADE = "made:"
 
 
 # -- nested and flat --------------------------------------------------------------------------
@@ -71,11 +73,8 @@ def deck_assemble(columns: DataFrame, placements: DataFrame, max_cards: int = 10
     filled = placements.join(columns, COLUMN)
     held = placements.select(*COLUMN).distinct()
     empty = columns.join(held, COLUMN, "left_anti")
-    # Settled, since ranking reads the rows several times.
-    rows = settled(
-        filled.unionByName(empty, allowMissingColumns=True).select(
-            *LAYOUT, F.coalesce("pos", F.lit(0)).alias("pos"), "copy_id"
-        )
+    rows = filled.unionByName(empty, allowMissingColumns=True).select(
+        *LAYOUT, F.coalesce("pos", F.lit(0)).alias("pos"), "copy_id"
     )
     order = [(c, "asc") for c in ("section_pos", "section_id", "column_pos", "column_id", "pos")]
     ranked = grouped_rank(rows, ["deck_id"], order + [("copy_id", "asc")], "_rn")
@@ -205,8 +204,8 @@ def resolve_places(
 ) -> DataFrame:
     """The column that each valid request leads to; see :func:`deck_place`."""
     owners = copies.select("copy_id", "owner")
-    asked = _with_deck_owner(latest(requests, "copy_id", "seq"), decks).join(owners, "copy_id")
-    valid = asked.filter(F.col("owner") == F.col("deck_owner")).drop("owner", "deck_owner")
+    asked = _with_deck_owner(requests, decks).join(owners, "copy_id")
+    valid = latest(asked.filter(F.col("owner") == F.col("deck_owner")), "copy_id", "seq").drop("owner", "deck_owner")
     section_first = _first_columns(columns, SECTION).select(
         *SECTION, F.col("first_section").alias("_section"), F.col("first_column").alias("_column")
     )
@@ -229,36 +228,52 @@ def resolve_places(
             "seq",
             "index",
             "deck_id",
-            F.coalesce(target_section, F.lit(MADE_SECTION)).alias("section_id"),
-            F.coalesce(target_column, F.lit(MADE_COLUMN)).alias("column_id"),
+            F.coalesce(target_section, _made("section_id"), F.lit(MADE_SECTION)).alias("section_id"),
+            F.coalesce(target_column, F.when(named, _made("column_id")), F.lit(MADE_COLUMN)).alias("column_id"),
         )
     )
 
 
+def _made(asked: str) -> Column:
+    """Id of the section or column that is made for one that was asked for and does not exist."""
+    return F.concat(F.lit(MADE), F.col(asked).cast("string"))
+
+
+def _runs(placed: DataFrame) -> DataFrame:
+    """Requests with ``_start`` and ``_first``: index and seq of the first of their run.  A run is a
+    drop of several copies: neighbouring requests of a column whose indices rise by one."""
+    in_turn = Window.partitionBy(*COLUMN).orderBy("seq", "copy_id")
+    rows = placed.withColumn("_at", F.when(F.col("index").isNotNull(), F.greatest("index", F.lit(0))))
+    rows = rows.withColumn("_before", F.lag("_at").over(in_turn))
+    goes_on = F.coalesce(F.col("_before") + 1 == F.col("_at"), F.lit(False))
+    begun = F.max(F.when(~goes_on, F.struct("seq", "copy_id", "_at")))
+    return rows.withColumn("_run", begun.over(in_turn.rowsBetween(Window.unboundedPreceding, 0))).select(
+        *placed.columns, F.col("_run._at").alias("_start"), F.col("_run.seq").alias("_first")
+    )
+
+
 def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:
     """Placements with the resolved requests carried out.  Columns that gain a copy are numbered
     afresh from 0; the others keep their positions."""
     base = placements.select(*PLACEMENT).join(placed, "copy_id", "left_anti").select(*PLACEMENT)
     touched = placed.select(*COLUMN).distinct()
-    # Ranking reads its input several times, so what is ranked is settled first.
-    held = settled(base.join(touched, COLUMN, "left_semi"))
-    ranked = grouped_rank(held, COLUMN, [("pos", "asc"), ("copy_id", "asc")], "_rn")
+    held = base.join(touched, COLUMN, "left_semi")
     # Old copies take the odd keys and new ones the even keys between them.
-    old = settled(
-        ranked.select(*COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_gap"), F.lit(0).alias("_seq"))
+    old = grouped_rank(held, COLUMN, [("pos", "asc"), ("copy_id", "asc")], "_rn").select(
+        *COLUMN, "copy_id", (2 * F.col("_rn") - 1).alias("_gap"), F.lit(0).alias("_turn"), F.lit(0).alias("_seq")
     )
     length = old.groupBy(*COLUMN).agg(F.count("*").alias("_n"))
     end = F.coalesce("_n", F.lit(0))
-    at = F.least(F.greatest(F.col("index"), F.lit(0)), end)
-    new = settled(
-        placed.join(length, COLUMN, "left").select(
-            *COLUMN,
-            "copy_id",
-            (2 * F.when(F.col("index").isNull(), end).otherwise(at)).alias("_gap"),
-            F.col("seq").alias("_seq"),
-        )
-    )
-    order = [("_gap", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
+    inside = F.col("_start") <= end
+    # Of runs dropped at one place the later pushes the earlier on; beyond the end they queue up.
+    new = _runs(placed).join(length, COLUMN, "left").select(
+        *COLUMN,
+        "copy_id",
+        (2 * F.when(inside, F.col("_start")).otherwise(end)).alias("_gap"),
+        F.when(inside, -F.col("_first")).otherwise(F.lit(0)).alias("_turn"),
+        F.col("seq").alias("_seq"),
+    )
+    order = [("_gap", "asc"), ("_turn", "asc"), ("_seq", "asc"), ("copy_id", "asc")]
     merged = grouped_rank(old.unionByName(new), COLUMN, order, "_rn").select(
         *COLUMN, (F.col("_rn") - 1).alias("pos"), "copy_id"
     )
@@ -291,10 +306,12 @@ def deck_place(
     """Put copies into columns; returns the new placements, columns and copies.
 
     ``requests``: copy_id, deck_id, section_id, column_id, index, seq.  No section means the first
-    one, no column the first of the section; what does not exist is made.  ``index`` counts in the
-    column as it is once all placed copies have been lifted out, is clamped to it, and NULL means
-    append.  Copies for the same index follow each other by ``seq``.  The last request for a copy
-    wins.  A copy or deck of someone else is left alone.
+    one, no column the first of the section; what does not exist is made, under an id of its own.
+    Neighbouring requests of a column whose indices rise by one are one drop of several copies and
+    stay together.  A drop's ``index`` counts in the column as it is once all placed copies have been
+    lifted out, is clamped to it, and NULL means append.  Of two drops at the same index the later
+    comes first; beyond the end they follow each other.  The last valid request for a copy wins; one
+    for a copy or deck of someone else is no valid one.
     """
     placed = settled(resolve_places(columns, copies, decks, requests))
     return (
@@ -397,7 +414,7 @@ def _reorder(items: DataFrame, scope: list[str], item: str, pos: str, orders: Da
         "_place", F.coalesce("_place", F.lit(-1))
     )
     order = [("_place", "asc"), (pos, "asc"), (item, "asc")]
-    return grouped_rank(settled(placed), scope, order, "_rn").select(
+    return grouped_rank(placed, scope, order, "_rn").select(
         *scope, item, (F.col("_rn") - 1).cast("int").alias("_pos")
     )
 

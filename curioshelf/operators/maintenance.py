@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curioshelf.functions.keys import notes_key, tags_key
+from curioshelf.functions.keys import notes_key, tag_set
 from curioshelf.operators.arrangement import LAYOUT, MADE_COLUMN, MADE_SECTION, MAIN_SECTION, deck_pull
-from curioshelf.operators.prices import latest
 from curioshelf.operators.ranking import grouped_rank
-from curioshelf.session import settled
 
 # Copies made for one request are spread over rows of this many before they are expanded.
 CREATE_BLOCK = 1000
@@ -20,6 +20,12 @@ def _owned(table: DataFrame, key: str) -> DataFrame:
     return table.select("owner", F.col("id").alias(key), F.lit(1).alias(f"_{key}"))
 
 
+def _last_given(column: str) -> Column:
+    """The value of the last change, by seq, that gives one."""
+    given = F.when(F.col(column).isNotNull(), F.col("seq"))
+    return F.max_by(column, given).alias(f"_{column}")
+
+
 # -- copies -----------------------------------------------------------------------------------
 
 
@@ -74,15 +80,14 @@ def copies_update(copies: DataFrame, changes: DataFrame, collections: DataFrame)
     """Set notes, tags or collection of an owner's copies; NULL leaves a field as it is and the deck
     is kept.  A change whose target collection is not the owner's is dropped as a whole.
 
-    ``changes``: owner, copy_id, notes, tags, collection_id, seq; the last one per copy counts.
+    ``changes``: owner, copy_id, notes, tags, collection_id, seq.  Each field takes its last given
+    value.
     """
     checked = changes.join(
         _owned(collections, "collection_id"), ["owner", "collection_id"], "left"
     ).filter(F.col("collection_id").isNull() | F.col("_collection_id").isNotNull())
     fields = ["notes", "tags", "collection_id"]
-    fresh = latest(checked, ["owner", "copy_id"], "seq").select(
-        "owner", "copy_id", *[F.col(f).alias(f"_{f}") for f in fields]
-    )
+    fresh = checked.groupBy("owner", "copy_id").agg(*[_last_given(f) for f in fields])
     changed = copies.join(fresh, ["owner", "copy_id"], "left")
     for f in fields:
         changed = changed.withColumn(f, F.coalesce(f"_{f}", f))
@@ -97,17 +102,21 @@ def copies_delete(
     return copies.join(gone, ["owner", "copy_id"], "left_anti"), deck_pull(placements, decks, gone)
 
 
-GROUP = ["owner", "collection_id", "card_id", "deck_id", "notes", "tags"]
+# What a display row shows; notes and tags as far as they differ to the eye.
+GROUP = ["_owner", "_collection", "_card", "_deck", "_notes", "_tags"]
 
 
-def _group_id() -> Column:
-    """The group of a copy or a request as one non-NULL text; NULL parts are told apart."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in GROUP[:4]]
-    return F.concat_ws("\x01", *parts, notes_key(), tags_key())
+def _group() -> list[Column]:
+    """The display row of a copy or a request, as typed columns."""
+    values = [F.col("owner"), F.col("collection_id"), F.col("card_id"), F.col("deck_id"), notes_key(), tag_set()]
+    return [v.alias(g) for v, g in zip(values, GROUP, strict=True)]
 
 
-def remove_group(copies: DataFrame, requests: DataFrame) -> DataFrame:
-    """Delete up to ``quantity`` copies of a display row, lowest copy ids first.
+def remove_group(
+    copies: DataFrame, placements: DataFrame, decks: DataFrame, requests: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Delete up to ``quantity`` copies of a display row, lowest copy ids first, and pull them out of
+    their owner's decks.  Returns the new copies and placements.
 
     ``requests``: owner, collection_id, card_id, deck_id, notes, tags, quantity; no deck means the
     loose copies.  Requests for the same row add up; one without a positive quantity is ignored.
@@ -115,17 +124,17 @@ def remove_group(copies: DataFrame, requests: DataFrame) -> DataFrame:
     wanted = (
         requests.filter(F.col("collection_id").isNotNull() & F.col("card_id").isNotNull())
         .filter(F.col("quantity") >= 1)
-        .groupBy(_group_id().alias("_group"))
+        .groupBy(*_group())
         .agg(F.sum("quantity").alias("_wanted"))
     )
-    # Settled, since ranking reads the candidates several times.
-    candidates = settled(
-        copies.filter(F.col("collection_id").isNotNull())
-        .select("copy_id", _group_id().alias("_group"))
-        .join(wanted, "_group")
-    )
-    ranked = grouped_rank(candidates, ["_group"], [("copy_id", "asc")], "_rn")
-    return copies.join(ranked.filter(F.col("_rn") <= F.col("_wanted")), "copy_id", "left_anti")
+    asked = wanted.select(*[F.col(g).alias(f"{g}2") for g in GROUP], "_wanted")
+    same = reduce(lambda p, q: p & q, [F.col(g).eqNullSafe(F.col(f"{g}2")) for g in GROUP])
+    some = copies.filter(F.col("collection_id").isNotNull()).select("copy_id", *_group())
+    candidates = some.join(asked, same).select("copy_id", *GROUP, "_wanted")
+    ranked = grouped_rank(candidates, GROUP, [("copy_id", "asc")], "_rn")
+    gone = ranked.filter(F.col("_rn") <= F.col("_wanted")).select(F.col("_owner").alias("owner"), "copy_id")
+    left = copies.join(gone, ["owner", "copy_id"], "left_anti").select(*copies.columns)
+    return left, deck_pull(placements, decks, gone)
 
 
 def bulk_move(
@@ -201,11 +210,12 @@ def delete_collection(
 
 
 def delete_deck(
-    decks: DataFrame, copies: DataFrame, ids: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Delete decks: their ephemeral copies go too, the others lose their deck.  ``ids``: owner, id.
+    decks: DataFrame, copies: DataFrame, columns: DataFrame, placements: DataFrame, ids: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Delete decks with their columns and placements: their ephemeral copies go too, the others lose
+    their deck.  ``ids``: owner, id.
 
-    Returns the new decks and copies.
+    Returns the new decks, copies, columns and placements.
     """
     gone = decks.join(ids, ["owner", "id"], "left_semi")
     marked = copies.join(
@@ -214,11 +224,14 @@ def delete_deck(
         "left",
     )
     kept = marked.filter(F.col("_gone").isNull() | F.col("collection_id").isNotNull())
+    names = gone.select(F.col("id").alias("deck_id"))
     return (
         decks.join(gone, ["owner", "id"], "left_anti"),
         kept.withColumn("deck_id", F.when(F.col("_gone").isNull(), F.col("deck_id"))).select(
             *copies.columns
         ),
+        columns.join(names, "deck_id", "left_anti").select(*columns.columns),
+        placements.join(names, "deck_id", "left_anti").select(*placements.columns),
     )
 
 
@@ -278,8 +291,7 @@ def entity_update(table: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes``: owner, id, name, description, seq.  Each field takes its last given value.
     """
-    by_seq = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}")
-    fresh = changes.groupBy("owner", "id").agg(by_seq("name"), by_seq("description"))
+    fresh = changes.groupBy("owner", "id").agg(_last_given("name"), _last_given("description"))
     return (
         table.join(fresh, ["owner", "id"], "left")
         .withColumn("name", F.coalesce("_name", "name"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from curioshelf.functions.keys import ordered, sort_key
 from curioshelf.operators.ranking import grouped_rank
 
-# A page this deep or shallower is a top-k; further in, rows are numbered in a distributed way so
-# that the rows before the page never gather in one place.
+# Up to here Spark's own top-k, which gathers the rows before the page, is the shorter way to the
+# same rows; further in only sort keys are numbered, in a distributed way.
 TOP_K_ROWS = 100_000
 
 
@@ -22,8 +22,12 @@ def page(
     sort = [ordered(sort_key(order, direction), direction), F.col("id").asc()]
     if page * page_len <= TOP_K_ROWS:
         return df.orderBy(*sort).offset((page - 1) * page_len).limit(page_len)
-    paged = assign_pages(df, order, direction, page_len)
-    return paged.filter(F.col("page") == page).drop("page", "row_no").orderBy(*sort)
+    keys = df.select("id", sort_key(order, direction).alias("_sort"))
+    place = grouped_rank(keys, [], [("_sort", direction), ("id", "asc")], "_place")
+    first = (page - 1) * page_len
+    inside = place.filter((F.col("_place") > first) & (F.col("_place") <= first + page_len))
+    # At most ``page_len`` ids.
+    return df.join(F.broadcast(inside.select("id")), "id", "left_semi").orderBy(*sort)
 
 
 def page_info(df: DataFrame, page: int = 1, page_len: int = 100) -> DataFrame:

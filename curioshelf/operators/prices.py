@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curioshelf.operators.ranking import grouped_rank
-from curioshelf.session import settled
 
 # How long a cached row stays fresh, how many cards one refresh may ask for, the base
 # currency, and the price fields.
@@ -26,10 +25,13 @@ def is_fresh(updated_at: Column, now: str | Column) -> Column:
 
 
 def latest(versions: DataFrame, key: str | list[str], *order: str) -> DataFrame:
-    """The newest row per key.  The rank filter is applied on the map side too, so a key with very
-    many versions sends one row per task."""
+    """The newest row per key; of equally new ones always the same, by a hash of their other columns.
+    The rank filter is applied on the map side too, so a key with very many versions sends one row
+    per task."""
     keys = [key] if isinstance(key, str) else key
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    rest = [c for c, kind in versions.dtypes if c not in (*keys, *order) and "map<" not in kind]
+    ties = [F.xxhash64(*rest).desc()] if rest else []
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order], *ties)
     return (
         versions.withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") == 1)
@@ -68,7 +70,7 @@ def price_resolve(ids: DataFrame, cache: DataFrame, now) -> DataFrame:
 
 def price_batches(ids: DataFrame, size: int = REFRESH_BATCH) -> DataFrame:
     """Refresh list in consecutive batches of at most ``size`` ids, numbered from 0."""
-    distinct = settled(ids.select("card_id").distinct())
+    distinct = ids.select("card_id").distinct()
     ranked = grouped_rank(distinct, [], [("card_id", "asc")], "_rn")
     return ranked.select(
         "card_id", F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch")
@@ -112,18 +114,30 @@ def fx_resolve(requests: DataFrame, rates: DataFrame, now) -> DataFrame:
     )
 
 
-def price_convert(prices: DataFrame, rates: DataFrame) -> DataFrame:
-    """Price in each requested currency, rounded half up to cents.  ``prices`` has usd and target,
-    ``rates`` has target and rate."""
+def price_convert(prices: DataFrame, rates: DataFrame, now) -> DataFrame:
+    """Price in each requested currency, rounded half up to cents; NULL without a fresh rate.
+
+    ``prices`` has usd and target, in any case; the base currency needs no rate.  ``rates`` has
+    base, target, rate and updated_at.
+    """
     amount = F.col("usd").cast("decimal(12,2)") * F.col("rate").cast("decimal(18,6)")
-    return prices.join(rates.select("target", "rate"), "target", "left").withColumn(
-        "amount", F.round(amount, 2).cast("decimal(18,2)")
-    )
+    return fx_resolve(prices, rates, now).withColumn("amount", F.round(amount, 2).cast("decimal(18,2)"))
+
+
+def collection_value_in(
+    copies: DataFrame, prices: DataFrame, rates: DataFrame, targets: DataFrame, now
+) -> DataFrame:
+    """:func:`collection_value` in the currency of each owner (``targets``: owner, target), as
+    ``amount``; NULL without a fresh rate."""
+    value = collection_value(copies, prices)
+    asked = value.join(targets.select("owner", "target"), "owner", "left")
+    amount = F.col("value") * F.col("rate").cast("decimal(18,6)")
+    return fx_resolve(asked, rates, now).withColumn("amount", F.round(amount, 2).cast("decimal(28,2)"))
 
 
 def collection_value(copies: DataFrame, prices: DataFrame) -> DataFrame:
-    """Value, copies and priced copies per owner.  Copies are counted per card before the price
-    join, so a card that everyone owns is one row per owner."""
+    """Value in the base currency, copies and priced copies per owner.  Copies are counted per card
+    before the price join, so a card that everyone owns is one row per owner."""
     held = copies.groupBy("owner", "card_id").agg(F.count(F.lit(1)).alias("n"))
     priced = held.join(
         prices.select("card_id", F.col("usd").cast("decimal(12,2)").alias("usd")), "card_id", "left"

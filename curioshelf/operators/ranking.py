@@ -1,93 +1,20 @@
 """Row numbers that stay distributed when one group holds most of the rows.
 
-A window numbers a group in a single task.  Here the rows are first cut, in sort order, into many
-similar slices; each slice is numbered on its own and then shifted by the number of rows in the
-slices before it.  The cut points come from a sample of sort keys whose size is fixed, chosen by
-key hash, so every part of the plan, and every retry of a task, sees the same cut points.
+A window numbers a group in a single task.  Here the rows are dealt out in ranges of (group, order),
+so that a large group is many ranges; each range is numbered on its own and shifted by the rows of
+its group in the ranges before.  The ranges are kept in the shared folder, so every later step and
+every retry of a task sees the same ones.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curioshelf.functions.keys import ordered
-
-MAX_SLICES = 4095
-SAMPLES_PER_SLICE = 8
-
-
-def _reversed(column: Column, kind: str) -> Column:
-    """A value that sorts the other way round, NULL aside."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.bitwise_not(column)
-    if kind in ("float", "double") or kind.startswith("decimal"):
-        return -column
-    if kind == "boolean":
-        return ~column
-    if kind == "date":
-        return -F.unix_date(column)
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.bitwise_not(F.unix_micros(column.cast("timestamp")))
-    if kind == "string":
-        # Complemented bytes; the end mark puts a text after its own continuations.
-        flipped = F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210")
-        return F.concat(flipped, F.lit("G"))
-    raise TypeError(f"cannot sort {kind} in descending order")
-
-
-def _key(df: DataFrame, order: list[tuple[str, str]]) -> Column:
-    """The sort key as one struct whose ascending order is ``order``."""
-    kinds, parts = dict(df.dtypes), []
-    for name, direction in order:
-        column = F.col(name)
-        parts += [column] if direction == "asc" else [column.isNull(), _reversed(column, kinds[name])]
-    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
-
-
-def slice_count(df: DataFrame) -> int:
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_SLICES, wanted))
-
-
-def _cut_points(df: DataFrame, key: Column, slices: int) -> Column:
-    """Sorted array of at most ``slices`` keys, as a lazily computed scalar.
-
-    The number of rows sets how many key hashes the sample skips, so no task sends more than its
-    share of a sample of fixed size; the limit only makes that size certain.
-    """
-    wanted = slices * SAMPLES_PER_SLICE
-    stride = F.greatest(F.floor(df.agg(F.count(F.lit(1))).scalar() / wanted), F.lit(1))
-    key_hash = F.xxhash64("k")
-    sample = (
-        df.select(key.alias("k"))
-        .filter(F.pmod(key_hash, stride) == 0)
-        .orderBy(key_hash, "k")
-        .limit(2 * wanted)
-    )
-    in_order = sample.agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    step = F.greatest(F.ceil(F.size("ks") / slices), F.lit(1))
-    spaced = F.filter("ks", lambda _, i: (i + 1) % step == 0)
-    return in_order.select(spaced.alias("cuts")).scalar()
-
-
-def _with_slice(df: DataFrame, key: Column, slices: int) -> DataFrame:
-    """Add ``_slice``: how many cut points the row sorts at or after.
-
-    A binary search, one projection per step, so that all of it is compiled code.  Beyond the last
-    cut point the array gives NULL, which does not compare.
-    """
-    own = df.columns
-    found = df.withColumn("_cuts", _cut_points(df, key, slices)).withColumn("_key", key)
-    found = found.withColumn("_slice0", F.lit(0))
-    steps = slices.bit_length()
-    for i in range(steps):
-        step, at = 1 << (steps - 1 - i), F.col(f"_slice{i}")
-        beyond = F.get(F.col("_cuts"), at + (step - 1)) <= F.col("_key")
-        found = found.withColumn(f"_slice{i + 1}", at + F.when(beyond, step).otherwise(0))
-    return found.select(*own, F.col(f"_slice{steps}").alias("_slice"))
+from curioshelf.session import settled
 
 
 def grouped_rank(
@@ -95,32 +22,26 @@ def grouped_rank(
     group: list[str],
     order: list[tuple[str, str]],
     name: str,
-    slices: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the 1-based place of each row in its group.
 
     ``order`` is a list of (column, "asc" | "desc"); together with the group columns it must
-    identify a row.  Group columns must not be NULL.  ``df`` is read four times (row count, sample,
-    slice sizes, rows), so settle it first if it is more than a scan.
+    identify a row.  NULL and NaN are placed as in any sort, NULL group columns form a group.  The
+    number of ranges is that of shuffle partitions, as for any other shuffle, unless it is given.
+    ``df`` is read once.
     """
-    slices = slices or slice_count(df)
-    key = _key(df, [(g, "asc") for g in group] + order)
-    sliced = _with_slice(df, key, slices)
-    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sort = [ordered(F.col(c), d) for c, d in order]
+    spread = [*[F.col(g).asc() for g in group], *sort]
+    ranged = df.repartitionByRange(ranges, *spread) if ranges else df.repartitionByRange(*spread)
+    sliced = settled(ranged.withColumn("_slice", F.spark_partition_id()))
+    by_group = Window.partitionBy(*(group or [F.lit(0)]))
     earlier = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        sliced.groupBy(*group, "_slice")
-        .count()
-        .select(
-            *[F.col(g).alias(f"_{g}") for g in group],
-            F.col("_slice").alias("_at"),
-            F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"),
-        )
-    )
-    in_slice = Window.partitionBy(*group, "_slice").orderBy(
-        *[ordered(F.col(c), d) for c, d in order]
-    )
+    shift = sliced.groupBy(*group, "_slice").count().withColumn("_shift", F.sum("count").over(earlier))
+    # A range begins with the rest of one group at most, so this has a row for each range at most.
+    shift = shift.filter("_shift > 0").select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_slice").alias("_at"), "_shift")
+    in_slice = Window.partitionBy(*group, "_slice").orderBy(*sort)
     numbered = sliced.withColumn("_local", F.row_number().over(in_slice))
-    same = [F.col(g) == F.col(f"_{g}") for g in group] + [F.col("_slice") == F.col("_at")]
-    placed = numbered.join(shift, reduce(lambda p, q: p & q, same), "inner")
-    return placed.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(name))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("_slice") == F.col("_at")]
+    placed = numbered.join(F.broadcast(shift), reduce(lambda p, q: p & q, same), "left")
+    return placed.select(*df.columns, (F.col("_local") + F.coalesce("_shift", F.lit(0))).alias(name))

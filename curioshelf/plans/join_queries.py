@@ -371,11 +371,11 @@ def fx_resolve(v):
 
 @query(
     "price_convert",
-    """select request_id, q.target, CAST(round(q.usd * CAST(r.rate AS DECIMAL(18,6)), 2) AS DOUBLE) amount
-    from fx_requests q left join fx_rates r on r.target = q.target""",
+    f"""select request_id, target, CAST(round(usd * CAST(rate AS DECIMAL(18,6)), 2) AS DOUBLE) amount
+    from ({_RESOLVE}) t""",
 )
 def price_convert(v):
-    converted = prices.price_convert(v.fx_requests, v.fx_rates)
+    converted = prices.price_convert(v.fx_requests, v.fx_rates, NOW)
     return converted.select("request_id", "target", F.col("amount").cast("double").alias("amount"))
 
 
@@ -391,6 +391,25 @@ def collection_value(v):
     return value.withColumn("value", F.col("value").cast("double"))
 
 
+_OWNER_CURRENCY = """select distinct owner, CASE owner % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'nzd' WHEN 2 THEN 'EUR'
+ END target from copies"""
+
+
+@query(
+    "collection_value_in",
+    f"""select v.owner, upper(o.target) target, CAST(round(CAST(v.value AS DECIMAL(18,2)) * CAST(CASE WHEN upper(o.target) = 'USD'
+      THEN 1 ELSE r.rate END AS DECIMAL(18,6)), 2) AS DOUBLE) amount
+    from (select "owner", coalesce(sum(CAST(p.usd AS DECIMAL(12,2))), 0) as value
+      from copies left join (select * from price_cache where {_FRESH}) p on p.card_id = copies.card_id group by "owner") v
+    join ({_OWNER_CURRENCY}) o on o.owner = v.owner
+    left join (select * from fx_rates where {_FRESH}) r on r.target = upper(o.target)""",
+)
+def collection_value_in(v):
+    fresh = v.price_cache.filter(prices.is_fresh(F.col("updated_at"), NOW))
+    value = prices.collection_value_in(v.copies, fresh, v.fx_rates, v.sql(_OWNER_CURRENCY), NOW)
+    return value.select("owner", "target", F.col("amount").cast("double").alias("amount"))
+
+
 # -- text -------------------------------------------------------------------------------------
 
 

@@ -101,13 +101,16 @@ def deck_reconcile(v):
 # -- placing and removing ---------------------------------------------------------------------
 
 # Copies of quantity 7 go to decks of their owner: to the first section, to a named column, to the
-# empty section, or to a section that does not exist; at the front, inside, beyond the end, or last.
+# empty section, or to a section that does not exist; at the front, inside, beyond the end, or last,
+# often next to each other.  For some of them a later request for a deck of someone else is void.
 _PLACE = """select copy_id, (added_day % 4) * 25 + owner deck_id,
  CASE line_no % 4 WHEN 1 THEN 'A' WHEN 2 THEN 'E' WHEN 3 THEN 'nope' END section_id,
  CASE WHEN line_no % 2 = 1 THEN 'c1' END column_id,
  CASE priority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 100000
-   WHEN '5-LOW' THEN -5 END as "index",
- added_day seq from copies where qty = 7"""
+   WHEN '5-LOW' THEN added_day % 5 - 1 END as "index",
+ added_day seq from copies where qty = 7
+ union all select copy_id, (added_day % 4) * 25 + (owner + 1) % 25, NULL, NULL, 0, added_day + 1000000 from copies
+ where qty = 7 and line_no < 4"""
 _PLACED = f"""req as (select r.*, f.section_id first_section, f.column_id first_column, s.column_id own_column,
    s.section_id own_section, x.column_id exact_column
   from ({_PLACE}) r join copies c on c.copy_id = r.copy_id join decks d on d.id = r.deck_id and d.owner = c.owner
@@ -117,11 +120,13 @@ _PLACED = f"""req as (select r.*, f.section_id first_section, f.column_id first_
   left join (select * from (select *, row_number() over (partition by deck_id, section_id order by
     column_id is null, column_pos, column_id) rn from layout) t where rn = 1) s
     on s.deck_id = r.deck_id and s.section_id = r.section_id
-  left join layout x on x.deck_id = r.deck_id and x.section_id = r.section_id and x.column_id = r.column_id),
+  left join layout x on x.deck_id = r.deck_id and x.section_id = r.section_id and x.column_id = r.column_id
+  qualify row_number() over (partition by r.copy_id order by r.seq desc) = 1),
  target as (select copy_id, seq, "index", deck_id,
-   CASE WHEN section_id is null THEN coalesce(first_section, 'main') ELSE coalesce(own_section, 'main') END section_id,
+   CASE WHEN section_id is null THEN coalesce(first_section, 'main')
+     ELSE coalesce(own_section, 'made:' || section_id) END section_id,
    coalesce(CASE WHEN section_id is null THEN first_column WHEN column_id is null THEN own_column
-     ELSE exact_column END, 'main') column_id from req)"""
+     ELSE coalesce(exact_column, 'made:' || column_id) END, 'main') column_id from req)"""
 
 
 def _placed(v):
@@ -139,14 +144,20 @@ def _placed(v):
     ranked as (select {COLUMN}, copy_id, 2 * row_number() over (partition by {COLUMN} order by pos, copy_id) - 1 k
       from old where hit),
     lens as (select {COLUMN}, count(*) n from ranked group by {COLUMN}),
+    turns as (select *, CASE WHEN "index" < 0 THEN 0 ELSE "index" END spot, row_number() over w place from target
+      window w as (partition by {COLUMN} order by seq, copy_id)),
+    breaks as (select *, sum(CASE WHEN spot = lag_spot + 1 THEN 0 ELSE 1 END) over (partition by {COLUMN} order by place) run
+      from (select *, lag(spot) over (partition by {COLUMN} order by place) lag_spot from turns) x),
+    runs as (select *, first_value(spot) over r start, first_value(seq) over r first_seq from breaks
+      window r as (partition by {COLUMN}, run order by place)),
     new as (select t.deck_id, t.section_id, t.column_id, copy_id, seq,
-      2 * CASE WHEN "index" is null THEN coalesce(n, 0) ELSE least(greatest("index", 0), coalesce(n, 0)) END k
-      from target t left join lens l on l.deck_id = t.deck_id and l.section_id = t.section_id
+      2 * CASE WHEN start <= coalesce(n, 0) THEN start ELSE coalesce(n, 0) END k, CASE WHEN start <= coalesce(n, 0) THEN -first_seq ELSE 0 END turn
+      from runs t left join lens l on l.deck_id = t.deck_id and l.section_id = t.section_id
       and l.column_id = t.column_id)
     select {COLUMN}, pos, copy_id from old where not hit union all
-    select {COLUMN}, row_number() over (partition by {COLUMN} order by k, seq, copy_id) - 1, copy_id
-    from (select {COLUMN}, copy_id, k, 0 seq from ranked union all
-          select {COLUMN}, copy_id, k, seq from new) m""",
+    select {COLUMN}, row_number() over (partition by {COLUMN} order by k, turn, seq, copy_id) - 1, copy_id
+    from (select {COLUMN}, copy_id, k, 0 turn, 0 seq from ranked union all
+          select {COLUMN}, copy_id, k, turn, seq from new) m""",
 )
 def deck_place(v):
     return A.place_rows(v.placements, settled(_placed(v)))
@@ -391,19 +402,25 @@ def copies_create_report(v):
     return checked.groupBy("status").agg(F.count("*").alias("n"))
 
 
+# Many copies have a second change that gives other fields than the first.
 _CHANGE = """select CASE WHEN flag = 'A' THEN owner ELSE (owner + line_no) % 25 END owner, copy_id,
  CASE WHEN line_no < 3 THEN '' WHEN line_no < 5 THEN 'checked' END notes,
  CASE WHEN qty < 20 THEN 'b,c' END tags_csv,
  CASE WHEN line_no % 2 = 0 THEN collection_id + CAST(added_day % 3 AS INT) END collection_id, added_day seq
- from copies where status <> 'P'"""
+ from copies where status <> 'P'
+ union all select owner, copy_id, CASE WHEN line_no % 2 = 1 THEN 'later' END, CASE WHEN line_no % 2 = 0 THEN 'z' END,
+ NULL, added_day + 1000000 from copies where qty % 3 = 0"""
 
 
 @query(
     "copies_update",
     f"""select c.copy_id, c.owner, coalesce(r.notes, c.notes) notes, coalesce(r.tags_csv, c.tags_csv) tags,
     coalesce(r.collection_id, c.collection_id) collection_id, c.deck_id from copies c left join
-    (select h.* from ({_CHANGE}) h left join collections k on k.id = h.collection_id and k.owner = h.owner
-     where h.collection_id is null or k.id is not null) r on r.copy_id = c.copy_id and r.owner = c.owner""",
+    (select h.owner, copy_id, max_by(notes, seq) filter (notes is not null) notes,
+     max_by(tags_csv, seq) filter (tags_csv is not null) tags_csv,
+     max_by(collection_id, seq) filter (collection_id is not null) collection_id
+     from ({_CHANGE}) h left join collections k on k.id = h.collection_id and k.owner = h.owner
+     where h.collection_id is null or k.id is not null group by h.owner, copy_id) r on r.copy_id = c.copy_id and r.owner = c.owner""",
 )
 def copies_update(v):
     changes = v.sql(_CHANGE).withColumn("tags", F.split("tags_csv", ",")).drop("tags_csv")
@@ -432,20 +449,29 @@ _REMOVE = """select distinct owner, collection_id, card_id, deck_id, notes,
  CASE WHEN card_id % 4 = 0 THEN 0 ELSE 1 + card_id % 7 END quantity from dense where qty = 30"""
 
 
-@query(
-    "remove_group",
-    f"""with wanted as (select owner, collection_id, card_id, deck_id, {NOTES} notes, {TAGS} tags,
+_REMOVED = f"""wanted as (select owner, collection_id, card_id, deck_id, {NOTES} notes, {TAGS} tags,
       sum(quantity) quantity from ({_REMOVE}) r where quantity >= 1 and collection_id is not null group by all),
     numbered as (select *, row_number() over (partition by owner, collection_id, card_id, deck_id, {NOTES}, {TAGS}
-      order by copy_id) rn from dense)
-    select copy_id from numbered n where not exists (select 1 from wanted w where w.owner = n.owner
+      order by copy_id) rn from dense),
+    removed as (select copy_id, owner from numbered n where exists (select 1 from wanted w where w.owner = n.owner
     and w.collection_id = n.collection_id and w.card_id = n.card_id
     and w.deck_id is not distinct from n.deck_id and w.notes = {NOTES.replace('notes', 'n.notes')}
-    and w.tags = {TAGS.replace('tags_csv', 'n.tags_csv')} and n.rn <= w.quantity)""",
-)
-def remove_group(v):
+    and w.tags = {TAGS.replace('tags_csv', 'n.tags_csv')} and n.rn <= w.quantity))"""
+
+
+def _without_groups(v):
     requests = v.sql(_REMOVE).withColumn("tags", F.split("tags_csv", ","))
-    return M.remove_group(v.dense, requests).select("copy_id")
+    return M.remove_group(v.dense, v.placements, v.decks, requests)
+
+
+@query("remove_group", f"with {_REMOVED} select copy_id from dense where copy_id not in (select copy_id from removed)")
+def remove_group(v):
+    return _without_groups(v)[0].select("copy_id")
+
+
+@query("remove_group_placements", f"with {_REMOVED} {_pulled('select copy_id, owner from removed')}")
+def remove_group_placements(v):
+    return _without_groups(v)[1]
 
 
 _MOVES = """select CASE WHEN qty = 1 THEN (owner + 1) % 25 ELSE owner END owner, copy_id, line_no % 2 = 0 from_deck,
@@ -510,9 +536,13 @@ _DROP_DECK = "select id, CASE WHEN description = '' THEN owner + 1 ELSE owner EN
 _GONE_DECK = f"select d.id, d.owner from decks d join ({_DROP_DECK}) r on r.id = d.id and r.owner = d.owner"
 
 
+def _without_decks(v):
+    return M.delete_deck(v.decks, v.copies, v.layout, v.placements, v.sql(_DROP_DECK))
+
+
 @query("delete_deck", f"select id, owner from decks where id not in (select id from ({_GONE_DECK}) g)")
 def delete_deck(v):
-    return M.delete_deck(v.decks, v.copies, v.sql(_DROP_DECK))[0].select("id", "owner")
+    return _without_decks(v)[0].select("id", "owner")
 
 
 @query(
@@ -522,8 +552,20 @@ def delete_deck(v):
     where g.id is null or collection_id is not null""",
 )
 def delete_deck_copies(v):
-    left = M.delete_deck(v.decks, v.copies, v.sql(_DROP_DECK))[1]
-    return left.select("copy_id", "collection_id", "deck_id")
+    return _without_decks(v)[1].select("copy_id", "collection_id", "deck_id")
+
+
+@query("delete_deck_columns", f"select {LAYOUT} from layout where deck_id not in (select id from ({_GONE_DECK}) g)")
+def delete_deck_columns(v):
+    return _without_decks(v)[2]
+
+
+@query(
+    "delete_deck_placements",
+    f"select {COLUMN}, pos, copy_id from placements where deck_id not in (select id from ({_GONE_DECK}) g)",
+)
+def delete_deck_placements(v):
+    return _without_decks(v)[3]
 
 
 _SWITCH = """select CAST(c_nationkey AS INT) owner, CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey + 1 ELSE o_custkey END id,

@@ -98,20 +98,17 @@ def catalog_dedupe(records: DataFrame) -> DataFrame:
 
 def catalog_import_report(records: DataFrame) -> DataFrame:
     """Records per outcome: imported, duplicate, or the reason for rejecting them."""
-    reasons = records.select("id", reject_reason().alias("outcome"))
-    rejected = reasons.filter(F.col("outcome").isNotNull()).groupBy("outcome").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    per_id = reasons.filter(F.col("outcome").isNull()).groupBy("id").agg(
-        F.count(F.lit(1)).alias("copies")
-    )
-    accepted = per_id.agg(
-        F.count(F.lit(1)).alias("imported"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate"),
-    )
-    labelled = [F.lit("imported"), F.col("imported"), F.lit("duplicate"), F.col("duplicate")]
-    accepted = accepted.select(F.stack(F.lit(2), *labelled).alias("outcome", "n"))
-    return rejected.unionByName(accepted)
+    # Ids only matter among accepted records, so a rejected one counts under its reason alone.
+    reason = reject_reason()
+    keyed = records.select(reason.alias("reason"), F.when(reason.isNull(), F.col("id")).alias("id"))
+    counts = keyed.groupBy("reason", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.coalesce("reason", F.lit("imported")).alias("outcome"), F.when(F.col("reason").isNull(), 1).otherwise(F.col("n")).alias("n"))
+    more = F.struct(F.lit("duplicate").alias("outcome"), (F.col("n") - 1).alias("n"))
+    parts = F.when(F.col("reason").isNull(), F.array(first, more)).otherwise(F.array(first))
+    told = counts.select(F.inline(parts)).groupBy("outcome").agg(F.sum("n").alias("n"))
+    # Both outcomes of accepted records are told even when there is none.
+    always = records.sparkSession.createDataFrame([("imported", 0), ("duplicate", 0)], "outcome string, n bigint")
+    return told.unionByName(always).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def catalog_lookup(cards: DataFrame, ids) -> DataFrame:
@@ -146,10 +143,17 @@ def catalog_overwrite(df: DataFrame, path: str) -> str:
     readable.  Returns the path of the snapshot."""
     snapshot = f"{path}/snapshot-{uuid.uuid4().hex}"
     df.write.parquet(snapshot)
+    jvm = df.sparkSession._jvm
     fs, pointer = _pointer(df.sparkSession, path)
-    out = fs.create(pointer, True)
+    written = jvm.org.apache.hadoop.fs.Path(f"{snapshot}.pointer")
+    out = fs.create(written, True)
     out.write(bytearray(snapshot.encode()))
     out.close()
+    # One rename that replaces the old pointer: a reader finds the old text or the new, never none.
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), df.sparkSession._jsc.hadoopConfiguration())
+    overwrite = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(written, files.makeQualified(pointer), overwrite)
     return snapshot
 
 

@@ -146,15 +146,15 @@ def test_place_makes_missing_sections_and_columns(spark, columns, decks):
         spark, flat, columns, decks, copies, ("p1", "gone", None, None), ("p2", "s2", "gone", None), ("p3", "s3", None, 0)
     )
     assert listed(placed) == {
-        ("d1", "main", "main"): ["p1"],
+        ("d1", "made:gone", "main"): ["p1"],
         ("d1", "s1", "a"): ["p9"],
-        ("d1", "s2", "main"): ["p2"],
+        ("d1", "s2", "made:gone"): ["p2"],
         ("d1", "s3", "main"): ["p3"],
     }
-    made = layout.filter("column_id = 'main'")
+    made = layout.filter("column_id in ('main', 'made:gone')")
     assert rows(made) == [
-        ("d1", "main", "Main", 3, "main", 0),
-        ("d1", "s2", "Side", 1, "main", 1),
+        ("d1", "made:gone", "Main", 3, "main", 0),
+        ("d1", "s2", "Side", 1, "made:gone", 1),
         ("d1", "s3", "Bare", 2, "main", 0),
     ]
     assert layout.filter("column_id is null").count() == 0
@@ -168,6 +168,28 @@ def test_place_leaves_other_owners_alone(spark, columns, decks):
     assert rows(moved, "deck_id") == [(None,)]
 
 
+@pytest.mark.parametrize(
+    "drops", [[1, 2, 3], [0, 0], [2, 2, 2], [99, 100], [None, None], [3, 3], [99, None, 99], [0, 1, 2, 3], [2, 3]]
+)
+def test_drops_as_one_splice_after_another(spark, columns, decks, drops):
+    names = ["x", "y", "z", "w"][: len(drops)]
+    copies = copies_of(spark, *[{"copy_id": c} for c in ["a", "b", "c", *names]])
+    want = ["a", "b", "c"]
+    for name, index in zip(names, drops, strict=True):
+        want.insert(len(want) if index is None else max(0, min(index, len(want))), name)
+    requests = [(name, "s1", "a", index) for name, index in zip(names, drops, strict=True)]
+    placed, _, _ = place(spark, placements_of(spark, s1_a=["a", "b", "c"]), columns, decks, copies, *requests)
+    assert listed(placed)["d1", "s1", "a"] == want
+
+
+def test_an_invalid_last_request_does_not_count(spark, columns, decks):
+    copies = copies_of(spark, {})
+    asked = spark.createDataFrame([("p1", "d1", "s1", "a", 0, 1), ("p1", "foreign", "s1", "a", 0, 2)], REQUESTS)
+    owned = decks.union(spark.createDataFrame([("foreign", "someone")], "id string, owner string").select(*[F.col(c) if c in ("id", "owner") else F.lit(None).alias(c) for c in decks.columns]))
+    placed, _, _ = A.deck_place(placements_of(spark, s1_a=["p9"]), columns, copies, owned, asked)
+    assert listed(placed)["d1", "s1", "a"] == ["p1", "p9"]
+
+
 def test_a_batch_of_placements_against_brute_force(spark, columns, decks):
     rng = random.Random(5)
     ids = [f"p{i}" for i in range(1, 41)]
@@ -182,14 +204,22 @@ def test_a_batch_of_placements_against_brute_force(spark, columns, decks):
     for key, held in start.items():
         section, col = key.split("_")
         base = [c for c in held if c not in chosen]
-        at = {}
+        runs, before = [], None
         for c, s, k, index in wanted:
             if (s, k) == (section, col):
-                spot = len(base) if index is None else max(0, min(index, len(base)))
-                at.setdefault(spot, []).append(c)
+                spot = None if index is None else max(0, index)
+                if before is not None and spot == before + 1:
+                    runs[-1][1].append(c)
+                else:
+                    runs.append((spot, [c]))
+                before = spot
         merged = []
         for i in range(len(base) + 1):
-            merged += at.get(i, []) + base[i : i + 1]
+            for spot, run in runs[::-1]:
+                merged += run if spot == i else []
+            merged += base[i : i + 1]
+        for spot, run in runs:
+            merged += run if spot is None or spot > len(base) else []
         if merged:
             expected["d1", section, col] = merged
     assert listed(placed) == expected

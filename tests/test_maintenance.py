@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from curioshelf.operators import maintenance as M
 from tests.helpers import copies_of, rows
@@ -55,6 +56,7 @@ def test_update_keeps_what_is_not_given(spark, collections):
             ("u", "p3", "not mine", None, None, 1),
             ("u", "p4", "first", None, None, 1),
             ("u", "p4", "", None, None, 2),
+            ("u", "p4", None, ["late"], None, 3),
         ],
         "owner string, copy_id string, notes string, tags array<string>, collection_id string, seq int",
     )
@@ -63,7 +65,7 @@ def test_update_keeps_what_is_not_given(spark, collections):
         ("p1", "x", ["t"], "k2", "d1"),
         ("p2", None, None, "k1", None),
         ("p3", None, None, "k3", None),
-        ("p4", "", None, "k1", None),
+        ("p4", "", ["late"], "k1", None),
     ]
 
 
@@ -79,7 +81,7 @@ def test_delete_copies(spark, decks):
     assert rows(placed, "copy_id") == [("p2",)]
 
 
-def test_remove_group(spark):
+def test_remove_group(spark, decks):
     copies = copies_of(
         spark,
         {"tags": ["a", "b"]},
@@ -89,18 +91,28 @@ def test_remove_group(spark):
         {"tags": ["a"]},
         {"tags": None},
         {"tags": [], "collection_id": "k2"},
+        {"tags": ["x,y"]},
+        {"tags": ["x", "y"]},
+    )
+    flat = spark.createDataFrame(
+        [("d1", "s", "c", n, f"p{n}") for n in range(1, 8)],
+        "deck_id string, section_id string, column_id string, pos int, copy_id string",
     )
     kind = "owner string, collection_id string, card_id string, deck_id string, notes string, tags array<string>, quantity int"
 
     def left(*requests):
         asked = spark.createDataFrame([("u", *r) for r in requests], kind)
-        return [r[0] for r in rows(M.remove_group(copies, asked), "copy_id")]
+        kept, placed = M.remove_group(copies, flat, decks, asked)
+        assert placed.join(kept, "copy_id", "left_anti").count() == 0 and placed.count() == kept.filter("copy_id < 'p8'").count()
+        return [c for c, in rows(kept, "copy_id") if c not in ("p8", "p9")]
 
     assert left(("k1", "c1", None, "", ["b", "a"], 2)) == ["p3", "p4", "p5", "p6", "p7"]
     assert left(("k1", "c1", None, None, ["a", "b"], 1), ("k1", "c1", None, "", ["b", "a"], 1)) == ["p3", "p4", "p5", "p6", "p7"]
     assert left(("k1", "c1", "d1", None, ["a", "b"], 9)) == ["p1", "p2", "p3", "p5", "p6", "p7"]
     assert left(("k1", "c1", None, None, None, 9), ("k2", "c1", None, None, None, 0)) == ["p1", "p2", "p3", "p4", "p5", "p7"]
     assert len(left(("k1", "other", None, None, None, 9), (None, "c1", None, None, None, 9))) == 7
+    asked = spark.createDataFrame([("u", "k1", "c1", None, "", ["y", "x"], 9)], kind)
+    assert rows(copies.join(M.remove_group(copies, flat, decks, asked)[0], "copy_id", "left_anti"), "copy_id") == [("p9",)]
 
 
 def test_delete_collection_cascades(spark, collections, decks):
@@ -119,7 +131,10 @@ def test_delete_collection_cascades(spark, collections, decks):
 def test_delete_deck(spark, decks):
     copies = copies_of(spark, {"deck_id": "d1"}, {"deck_id": "d1", "collection_id": None}, {"deck_id": "d2"}, {})
     ids = spark.createDataFrame([("u", "d1"), ("u", "d2")], "owner string, id string")
-    kept, left = M.delete_deck(decks, copies, ids)
+    columns = spark.createDataFrame([("d1", "s", "a"), ("d2", "s", "b")], "deck_id string, section_id string, column_id string")
+    flat = columns.withColumn("copy_id", F.concat(F.lit("p"), F.substring("deck_id", 2, 1)))
+    kept, left, layout, placed = M.delete_deck(decks, copies, columns, flat, ids)
+    assert rows(layout, "deck_id") == [("d2",)] and rows(placed, "copy_id") == [("p2",)]
     assert rows(kept, "id") == [("d2",)]
     assert rows(left, "copy_id", "deck_id") == [("p1", None), ("p3", "d2"), ("p4", None)]
 

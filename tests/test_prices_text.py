@@ -77,9 +77,13 @@ def test_exchange_rates(spark):
 
 def test_convert_rounds_half_up(spark):
     amounts = spark.createDataFrame([("2.50", "NZD"), ("0.10", "NZD"), ("1.00", "ZZZ")], "usd string, target string")
-    rates = spark.createDataFrame([("NZD", 1.05)], "target string, rate double")
-    got = prices.price_convert(amounts, rates)
-    assert [str(a) for (a,) in rows(got.orderBy("usd"), "amount")] == ["0.11", "2.63", "None"]
+    amounts = amounts.union(spark.createDataFrame([("3.00", "usd"), ("4.00", "nzd"), ("5.00", "EUR")], "usd string, target string"))
+    rates = spark.createDataFrame([("USD", "NZD", 1.05, 1), ("USD", "EUR", 0.9, 48)], "base string, target string, rate double, h int")
+    rates = rates.selectExpr("base", "target", "rate", f"timestamp_ntz'{NOW}' - make_interval(0, 0, 0, 0, h) as updated_at")
+    got = prices.price_convert(amounts, rates, NOW)
+    assert [(str(u), str(a)) for u, a in rows(got, "usd", "amount")] == [
+        ("0.10", "0.11"), ("1.00", "None"), ("2.50", "2.63"), ("3.00", "3.00"), ("4.00", "4.20"), ("5.00", "None")
+    ]
 
 
 def test_collection_value(spark):

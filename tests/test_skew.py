@@ -101,7 +101,9 @@ def test_most_of_a_hot_group_is_removed(spark, copies):
         [("u", "k1", "c1", "d1", "", ["a", "b"], 30_000)],
         "owner string, collection_id string, card_id string, deck_id string, notes string, tags array<string>, quantity int",
     )
-    left = remove_group(copies, asked)
+    decks = spark.createDataFrame([("d1", "u")], "id string, owner string")
+    flat = copies.select("deck_id", F.lit("s").alias("section_id"), F.lit("c").alias("column_id"), F.lit(0).alias("pos"), "copy_id")
+    left, _ = remove_group(copies, flat, decks, asked)
     assert left.count() == ROWS - 30_000
     gone = copies.join(left, "copy_id", "left_anti").agg(F.max("copy_id")).first()[0]
     kept = left.filter("deck_id = 'd1'").agg(F.min("copy_id")).first()[0]
