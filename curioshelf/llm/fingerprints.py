@@ -20,7 +20,7 @@ from curioshelf.llm.shingles import shingle_sets
 
 K = 128
 BITS = 48
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 4096
 
 
 def sketch(shingles: np.ndarray, k: int = K) -> np.ndarray:
@@ -144,7 +144,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     numbers = [r["bucket"] for r in firsts.select("bucket").orderBy("bucket").collect()]
     before = dict(zip(numbers, numbers[-1:] + numbers[:-1], strict=True)) if numbers else {}
     pairs = documents.sparkSession.createDataFrame(list(before.items()), "bucket int, to int")
-    heads = docs.join(firsts, ["bucket", "key"]).groupBy("bucket", "key").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    # Firsts are as few as the ranges.
+    heads = docs.join(F.broadcast(firsts), ["bucket", "key"]).groupBy("bucket", "key").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
     heads = heads.join(pairs, "bucket").select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("tail"), "key")
     given = docs.select("doc_id", "text", "bucket", F.lit(0).alias("tail"), "key").unionByName(heads)
     ordered = given.repartition(max(1, len(numbers)), "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
