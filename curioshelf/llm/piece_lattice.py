@@ -14,7 +14,7 @@ is put before the text; a U+2581 in a text comes back as a space, as with the pu
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 N_BEST = 3
-CACHED_RUNS = 300_000
+CACHED_RUNS = 800_000
 CHUNK_CHARS = 1 << 18
 
 Path = tuple[float, tuple[int, ...]]
@@ -57,7 +57,7 @@ class Lattice:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.paths: list[list[Path]] = []
+        self.losses: list[tuple[float, ...]] = []  # of each run's paths, against the best
         self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.score, self.loss = np.zeros(0), np.zeros(0)
 
@@ -77,25 +77,38 @@ class Lattice:
 
     def search(self, run: str, n: int) -> list[Path]:
         """The n best (score, ids) of a run, best first."""
+        if len(run) == 1 and run in self.pieces:
+            i, s = self.pieces[run]
+            return [(s, (i,))]
         into = self.edges(run)
-        best = [0.0] * (len(run) + 1)
-        for j in range(1, len(run) + 1):
-            best[j] = max([best[i] + s for i, s, _ in into[j]])
+        best = [0.0]
+        for edges in into[1:]:
+            best.append(max([best[i] + s for i, s, _ in edges]))
+        # What is waiting, by what it loses against the best path.  The heuristic is exact, so each
+        # stands for a whole path that loses just that, and no more than are asked for need wait.
+        waiting: list[tuple] = [(0.0, 0, len(run), None)]
         out: list[Path] = []
-        heap: list[tuple] = [(-best[-1], 0, len(run), 0.0, None)]
         pushed = 0
-        while heap and len(out) < n:
-            bound, _, j, behind, link = heapq.heappop(heap)
-            if j == 0:
-                ids: list[int] = []
-                while link is not None:
-                    ids += link[0]
-                    link = link[1]
-                out.append((-bound, tuple(ids)))
-                continue
-            for i, s, ids in into[j]:
-                pushed += 1
-                heapq.heappush(heap, (-(behind + s + best[i]), pushed, i, behind + s, (ids, link)))
+        while waiting and len(out) < n:
+            loss, _, j, link = waiting.pop(0)
+            room = n - len(out) - 1
+            while j:
+                # On along an edge that loses nothing; the others wait.
+                onward = None
+                for i, s, ids in into[j]:
+                    more = loss + (best[j] - best[i] - s)
+                    if more == loss and onward is None:
+                        onward = (i, (ids, link))
+                    elif len(waiting) < room or (room and more < waiting[-1][0]):
+                        pushed += 1
+                        bisect.insort(waiting, (more, pushed, i, (ids, link)))
+                        del waiting[room:]
+                j, link = onward
+            ids = []
+            while link is not None:
+                ids += link[0]
+                link = link[1]
+            out.append((best[-1] - loss, tuple(ids)))
         return out
 
     def runs(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -116,8 +129,8 @@ class Lattice:
         ids, sizes, scores, losses = [], [], [], []
         for run in runs:
             paths = self.search(run, N_BEST)
-            self.known[run] = len(self.paths)
-            self.paths.append(paths)
+            self.known[run] = len(self.losses)
+            self.losses.append(tuple([p[0] - paths[0][0] for p in paths]))
             ids += paths[0][1]
             sizes.append(len(paths[0][1]))
             scores.append(paths[0][0])
@@ -128,9 +141,9 @@ class Lattice:
             self.score = np.concatenate((self.score, scores))
             self.loss = np.concatenate((self.loss, losses))
 
-    def encode(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[np.ndarray, list[float], list[dict[int, int]], np.ndarray]]:
-        """For each text: ids of its best path, scores of its n best (at most N_BEST) paths, for each
-        of them which runs take another path than their best, and the runs (places in the cache)."""
+    def encode(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[np.ndarray, list[float], list[dict[int, int]]]]:
+        """For each text: ids of its best path, scores of its n best (at most N_BEST) paths, and for
+        each of them which runs take which other path than their best."""
         runs, counts = self.runs(texts)
         if len(self.known) > CACHED_RUNS:
             self._reset()
@@ -147,14 +160,15 @@ class Lattice:
             few = np.argsort(losses, kind="stable")[: n - 1] if len(at) <= 4 * n else np.argpartition(losses, n - 1)[: n - 1]
             best: list[tuple[float, dict[int, int]]] = [(total, {})]
             for k in sorted(few.tolist()):
-                paths = self.paths[at[k]]
-                best = sorted(((s + p[0] - paths[0][0], c | ({k: m} if m else {})) for s, c in best for m, p in enumerate(paths)), key=lambda x: -x[0])[:n]
-            yield ids, [s for s, _ in best], [c for _, c in best], at
+                best = sorted(((s + more, c | ({k: m} if m else {})) for s, c in best for m, more in enumerate(self.losses[at[k]])), key=lambda x: -x[0])[:n]
+            yield ids, [s for s, _ in best], [c for _, c in best]
 
     def n_best(self, text: str, n: int = N_BEST) -> list[Path]:
         """The n best (score, ids) of a text, n at most N_BEST; an empty text has one path without ids."""
-        _, scores, changes, at = next(self.encode([text], n))
-        return [(s, tuple(i for k, p in enumerate(at) for i in self.paths[p][c.get(k, 0)][1])) for s, c in zip(scores, changes, strict=True)]
+        _, scores, changes = next(self.encode([text], n))
+        runs, _ = self.runs([text])
+        paths = [self.search(run, n) for run in runs]
+        return [(s, tuple(i for k, p in enumerate(paths) for i in p[c.get(k, 0)][1])) for s, c in zip(scores, changes, strict=True)]
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))

@@ -33,7 +33,7 @@ from curioshelf.session import scratch
 MAGIC = b"CMTB"
 HEADER = struct.Struct("<4sIqqqqq")
 BLOCK_IDS = 1 << 20
-LANES = 2048
+LANES = 4096
 END_ID = 1
 
 _SLOTS = 20  # bits of order-0 frequencies
@@ -116,7 +116,7 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> by
     vocabulary = int(ids.max(initial=0)) + 1
     if vocabulary > 1 << (_SLOTS - 1):
         raise ValueError(f"token ids must be below {1 << (_SLOTS - 1)}")
-    lanes = max(1, min(LANES, n // 64))
+    lanes = max(1, min(LANES, n // 128))
     steps = -(-n // lanes)
     laid = np.zeros(lanes * steps, np.int64)
     laid[:n] = ids

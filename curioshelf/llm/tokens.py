@@ -8,12 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 
-# A word of these letters alone is one unit to the tokenizer wherever it stands between spaces, and
-# so is a full stop or comma after it.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_POINT = re.compile("(?<=[a-zß-öø-ÿ])[.,](?=[ \n]|$)")
+# These letters alone are one unit to the tokenizer wherever they stand between spaces, and a full
+# stop or comma after them is another.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+[.,]?")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 RUN = 256
 
 
@@ -42,12 +41,14 @@ class WordTokenizer:
         runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
         ids, sizes, names = [], [], []
         rest = [w for w in words if not _PLAIN.fullmatch(w)]
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        joined = [" ".join([w if w[-1] not in ".," else f"{w[:-1]} {w[-1]}" for w in run]) for run in runs]
+        for run, got in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             found = np.array(got.ids, np.int32)
             ends = np.flatnonzero(self.ends[found])
-            if len(ends) == len(run):
+            units = np.cumsum([1 if w[-1] not in ".," else 2 for w in run])
+            if len(ends) == units[-1]:
                 ids.append(found)
-                sizes.append(np.diff(np.concatenate(([-1], ends))))
+                sizes.append(np.diff(np.concatenate(([-1], ends[units - 1]))))
                 names += run
             else:
                 rest += run
@@ -71,7 +72,7 @@ class WordTokenizer:
                 continue
             # Only A-Z is lowered here, and only \n and space split: the tokenizer sees to the rest.
             text = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
-            own = _POINT.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+            own = text.replace("\n", " ").split(" ")
             words += own
             counts.append(len(own))
         if len(self.places) > CACHED_WORDS:
