@@ -39,9 +39,9 @@ def grouped_rank(
     earlier = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = sliced.groupBy(*group, "_slice").count().withColumn("_shift", F.sum("count").over(earlier))
     # A range begins with the rest of one group at most, so this has a row for each range at most.
-    shift = shift.filter("_shift > 0").select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_slice").alias("_at"), "_shift")
+    shift = shift.filter("_shift > 0").select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_slice").alias("_slice_at"), "_shift")
     in_slice = Window.partitionBy(*group, "_slice").orderBy(*sort)
     numbered = sliced.withColumn("_local", F.row_number().over(in_slice))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("_slice") == F.col("_at")]
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("_slice") == F.col("_slice_at")]
     placed = numbered.join(F.broadcast(shift), reduce(lambda p, q: p & q, same), "left")
     return placed.select(*df.columns, (F.col("_local") + F.coalesce("_shift", F.lit(0))).alias(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curioshelf.operators import joins, prices, rollups, text
+from curioshelf.plans.paging_queries import in_order
 from curioshelf.plans.registry import query
 from curioshelf.plans.views import NOW
 
@@ -147,9 +148,13 @@ def group_copies(v):
     return _groups(v)
 
 
-@query("group_copies_sorted", _NAMED_GROUPS)
+@query(
+    "group_copies_sorted",
+    f"""select *, row_number() over (order by card_name collate nfc, deck_id is not null, coalesce(deck_name, ''),
+    collection_id nulls first, card_id, notes, tags, deck_id nulls first) place from ({_NAMED_GROUPS}) t""",
+)
 def group_copies_sorted(v):
-    return rollups.group_copies_sorted(_groups(v))
+    return in_order(rollups.group_copies_sorted(_groups(v)))
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curioshelf.functions.keys import sort_key
-from curioshelf.operators import joins, paging, sorting
+from curioshelf.operators import paging, sorting
+from curioshelf.operators.ranking import grouped_rank
 from curioshelf.plans.filter_queries import _RARITY, color_place
 from curioshelf.plans.registry import query
 
@@ -27,11 +28,25 @@ SORTS = {
 }
 
 
+def in_order(df):
+    """Adds ``place``: where the row comes in the order that ``df`` is in."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    return grouped_rank(at, [], [("_at", "asc")], "place").drop("_at")
+
+
+def nulls(direction: str) -> str:
+    return "asc nulls first" if direction == "asc" else "desc nulls last"
+
+
 def _sort(order: str, direction: str, sql: str) -> None:
-    @query(f"sort_{order}", f"select id, {sql} sort_key from cards order by 2 {direction}, 1")
+    @query(
+        f"sort_{order}",
+        f"""select id, sort_key, row_number() over (order by sort_key {nulls(direction)}, id) place
+        from (select id, {sql} sort_key from cards) t""",
+    )
     def build(v):
         keyed = v.cards.withColumn("sort_key", sort_key(order, direction))
-        return sorting.sort_cards(keyed, order, direction).select("id", "sort_key")
+        return in_order(sorting.sort_cards(keyed, order, direction).select("id", "sort_key"))
 
 
 for _order, (_direction, _sql) in SORTS.items():
@@ -40,10 +55,11 @@ for _order, (_direction, _sql) in SORTS.items():
 
 @query(
     "page",
-    f"select id, name from cards order by {SORTS['color'][1]} desc, id limit 40 offset 120",
+    f"""select id, name, row_number() over (order by k desc nulls last, id) - 120 place
+    from (select id, name, {SORTS['color'][1]} k from cards) t qualify place between 1 and 40""",
 )
 def page(v):
-    return paging.page(v.cards, "color", "desc", page=4, page_len=40).select("id", "name")
+    return in_order(paging.page(v.cards, "color", "desc", page=4, page_len=40).select("id", "name"))
 
 
 @query(
@@ -71,8 +87,6 @@ def assign_pages(v):
 )
 def assign_pages_copies(v):
     """Every copy's page in a listing of the newest copies first."""
-    from curioshelf.operators.ranking import grouped_rank
-
     ranked = grouped_rank(
         v.copies.select("copy_id", "added_day"), [], [("added_day", "desc"), ("copy_id", "asc")], "rn"
     )
@@ -97,19 +111,26 @@ def merge_pages_dedupe(v):
     return paging.merge_pages_dedupe(one("cmc <= 5", " v1"), one("cmc >= 4", " v2"))
 
 
-@query("list_recent", "select id, name, is_active, owner from collections")
+_RECENT = "id, name, is_active, owner, row_number() over (order by updated_at desc nulls last, id) place"
+
+
+@query("list_recent", f"select {_RECENT} from collections")
 def list_recent(v):
-    return paging.list_recent(v.collections)
+    return in_order(paging.list_recent(v.collections))
 
 
 @query(
     "list_recent_owner",
-    "select id, name, is_active, owner from collections where owner = 7 order by updated_at desc, id",
+    f"select {_RECENT} from collections where owner = 7",
 )
 def list_recent_owner(v):
-    return paging.list_recent(v.collections, owner=7)
+    return in_order(paging.list_recent(v.collections, owner=7))
+
+
+# A library of labels for each market segment and nation.
+_TAG_LIBRARY = "select distinct c_mktsegment || ' ' || CAST(c_nationkey AS STRING) label from @customer"
 
 
-@query("list_tags", "select distinct unnest(string_split(tags_csv, ',')) label from copies")
+@query("list_tags", f"select label, row_number() over (order by label) place from ({_TAG_LIBRARY}) t")
 def list_tags(v):
-    return paging.list_tags(joins.tag_vocabulary(v.copies))
+    return in_order(paging.list_tags(v.sql(_TAG_LIBRARY)))

@@ -67,11 +67,12 @@ VIEWS = {
  l_linenumber line_no, l_returnflag flag, CAST(l_quantity AS INT) qty, o_orderpriority priority,
  o_orderstatus status
  from @lineitem join @orders on l_orderkey = o_orderkey join @customer on o_custkey = c_custkey""",
-    # Few collections, decks and cards, so that groups are large.
+    # Few cards, collections and decks for the number of copies, so that groups are large; there are
+    # more of them as the catalogue grows.
     "dense": """
- select copy_id, CAST(collection_id % 10 AS INT) % 5 owner, card_id % 20 card_id,
+ select copy_id, CAST(collection_id % 10 AS INT) % 5 owner, card_id % (20 + CAST(floor(parts / 1000) AS BIGINT)) card_id,
  collection_id % 10 collection_id, deck_id % 5 deck_id, notes, tags_csv, qty
- from copies""",
+ from copies, (select CAST(count(*) AS BIGINT) parts from @part) p""",
     "collections": """
  select c_custkey id, c_name name, c_mktsegment description, c_nationkey owner,
  c_acctbal > 5000 is_active, max(o_orderdate) updated_at
@@ -117,8 +118,10 @@ VIEWS = {
    WHEN 0 THEN 'USD' WHEN 1 THEN 'XX' WHEN 2 THEN lower({_LETTERS.format(k="(o_custkey % 26)")})
    WHEN 3 THEN 'QQ' || CAST(o_custkey % 4 AS STRING) WHEN 4 THEN 'QQQ'
    ELSE {_LETTERS.format(k="(o_custkey % 26)")} END target from @orders""",
+    # One in five candidates is unknown; the others range over the whole catalogue.
     "scan": """
- select conv_id detected, turn rank_no, (conv_id * 7919 + turn * 104729) % 2500 card_id
+ select conv_id detected, turn rank_no,
+ (conv_id * 7919 + turn * 104729) % (select CAST(floor(count(*) * 1.25) AS BIGINT) from @part) card_id
  from @conversations""",
     "rules": """
  select doc_id id, lang, CASE doc_id % 6
