@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curioshelf.llm.shingles import shingle_sets
+from curioshelf.llm.shingles import shingle_sets, slices
 
 K = 128
 BITS = 48
@@ -91,7 +91,7 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of rows (doc_id, text, bucket, tail) in order; a tail row is the next document of the
     bucket's last row and belongs to the following bucket."""
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts, buckets, tails = (c.to_pylist() for c in batch.columns)
         sketches = [sketch(s) for s in shingle_sets(batch.column(1))]
         rows = []

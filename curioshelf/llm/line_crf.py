@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curioshelf.llm.shingles import chunks, word_hashes
+from curioshelf.llm.shingles import chunks, slices, word_hashes
 
 TRAINING_ROWS = 6_000
 THRESHOLD = 0.3
@@ -179,7 +179,7 @@ def scores_of(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         counts, lengths, features = line_features(batch.column(0))
         bounds = np.concatenate(([0], np.cumsum(counts)))
         packed = lambda a, k: pa.array([a[i:j].astype(k).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
@@ -211,7 +211,7 @@ def score(documents: DataFrame, model: Model | None, columns: tuple[str, ...] =
     1.  Repeated rows are scored each, other columns are not looked at."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1)
             if model is None:
                 found = np.array([float(bool(t and t.strip())) for t in texts.to_pylist()])

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+SLICE_ROWS = 512
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -69,6 +70,14 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of SLICE_ROWS rows, so that what is made of a piece stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:

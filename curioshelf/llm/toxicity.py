@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curioshelf.llm.shingles import LETTERS, chunks, mix, word_hashes
+from curioshelf.llm.shingles import LETTERS, chunks, mix, slices, word_hashes
 
 TRAINING_ROWS = 16_000
 MOST_TERMS = 4_000
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 3
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 
@@ -37,6 +37,7 @@ idiotisch dumm abschaum widerlich wertlos trottel versager
 """.split()
 _PATTERNS = [re.compile(p) for p in (r"!{2,}", r"\b[A-Z]{4,}\b", r"\?{2,}", r"(?i)\b(?:shut up|go away|get lost|hate you|such an?|you are an?|only \w+ from)\b")]
 VOTERS = 16
+NEAR = 0.6
 
 
 @dataclass
@@ -63,7 +64,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _lexicon_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic) to (term, toxic documents, other documents), per batch."""
-    for batch in batches:
+    for batch in slices(batches):
         toxic = np.array(batch.column(1).to_pylist(), bool)
         for at, rows, data, offsets in chunks(batch.column(0)):
             row, term = _terms(data, offsets)
@@ -101,7 +102,7 @@ def _patterns(texts: list) -> np.ndarray:
 
 def _training_rows(terms: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0)
             places, counts = [[] for _ in texts], [[] for _ in texts]
             for at, row, place, count in _found(texts, terms):
@@ -120,11 +121,22 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
     """Posterior of class 1 for rows of ``votes`` (1, 0, or -1 to abstain), the accuracy table
     [class, voter, vote] and the weight of each voter.
 
-    Expectation maximisation of a model in which voters are independent given the class; then voters
-    are weighted by the inverse of one plus their correlations with others within the classes, and
-    the posteriors are fitted once more.  ``prior`` is the expected share of class 1.
+    Expectation maximisation of a model in which voters are independent given the class but for
+    their correlations: a voter's weight is the inverse of one plus its correlations with others.
+    These are first what of their plain correlation is beyond NEAR, as for voters that repeat each
+    other, then also what is left of it within the classes.  ``prior`` is the expected share of
+    class 1.
     """
-    weights = np.ones(votes.shape[1])
+    signed = np.where(votes == 1, 1.0, np.where(votes == 0, -1.0, 0.0))
+
+    def correlation(rows: np.ndarray) -> np.ndarray:
+        spread = np.sqrt((rows**2).sum(0)) + 1e-9
+        found = np.clip(rows.T @ rows / np.outer(spread, spread), 0, 1)
+        np.fill_diagonal(found, 0)
+        return found
+
+    beyond = np.maximum(0, correlation(signed - signed.mean(0)) - NEAR) / (1 - NEAR)
+    weights = 1 / (1 + beyond.sum(1))
     said = (votes == 1).sum(1) + 0.0
     against = (votes == 0).sum(1)
     p = np.where(said + against > 0, (said + prior) / (said + against + 1), prior)
@@ -140,12 +152,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
             logit = np.log(share / (1 - share)) + np.einsum("nvk,v,vk->n", onehot, weights, np.log(table[1] / table[0]))
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if stage == 0:
-            signed = np.where(votes == 1, 1.0, np.where(votes == 0, -1.0, 0.0))
-            rest = np.concatenate([(signed - np.average(signed, axis=0, weights=w + 1e-9)) * np.sqrt(w)[:, None] for w in (p, 1 - p)])
-            spread = np.sqrt((rest**2).sum(0)) + 1e-9
-            correlation = np.clip(rest.T @ rest / np.outer(spread, spread), 0, 1)
-            np.fill_diagonal(correlation, 0)
-            weights = 1 / (1 + correlation.sum(1))
+            rest = [(signed - np.average(signed, axis=0, weights=w + 1e-9)) * np.sqrt(w)[:, None] for w in (p, 1 - p)]
+            weights = 1 / (1 + np.maximum(beyond, correlation(np.concatenate(rest))).sum(1))
     return p, table, weights
 
 
@@ -210,7 +218,7 @@ def _scores(model: Model):
     width = len(model.terms)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1)
             z = _patterns(texts.to_pylist()) @ model.weights[width:] + model.intercept
             for at, row, place, count in _found(texts, model.terms):
