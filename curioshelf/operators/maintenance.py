@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curioshelf.functions.keys import notes_key, tag_set
-from curioshelf.operators.arrangement import LAYOUT, MADE_COLUMN, MADE_SECTION, MAIN_SECTION, deck_pull
+from curioshelf.operators.arrangement import (
+    LAYOUT,
+    MADE_COLUMN,
+    MADE_SECTION,
+    MAIN_SECTION,
+    deck_place,
+    deck_pull,
+)
+from curioshelf.operators.prices import latest
 from curioshelf.operators.ranking import grouped_rank
 
 # Copies made for one request are spread over rows of this many before they are expanded.
@@ -53,8 +61,11 @@ def checked_requests(requests: DataFrame, collections: DataFrame, decks: DataFra
     )
 
 
-def copies_create(requests: DataFrame, collections: DataFrame, decks: DataFrame) -> DataFrame:
-    """The new copies of all valid requests; ``copy_id`` is the request id and a number from 1."""
+COPY = ["copy_id", "owner", "card_id", "collection_id", "deck_id", "notes", "tags"]
+
+
+def _created(requests: DataFrame, collections: DataFrame, decks: DataFrame) -> DataFrame:
+    """The copies of all valid requests, with the fields of their request and their number ``_n``."""
     valid = checked_requests(requests, collections, decks).filter(F.col("status") == "ok")
     blocks = F.floor((F.col("quantity") - 1) / CREATE_BLOCK).cast("bigint")
     first = F.col("_block") * CREATE_BLOCK + 1
@@ -64,18 +75,39 @@ def copies_create(requests: DataFrame, collections: DataFrame, decks: DataFrame)
         # The blocks of one large request are made by many tasks.
         .repartition("request_id", "_block")
         .withColumn("_n", F.explode(F.sequence(first, last)))
-        .select(
-            F.concat_ws("-", "request_id", "_n").alias("copy_id"),
-            "owner",
-            "card_id",
-            "collection_id",
-            "deck_id",
-            "notes",
-            "tags",
-        )
+        .withColumn("copy_id", F.concat_ws("-", "request_id", "_n"))
     )
 
 
+def copies_create(requests: DataFrame, collections: DataFrame, decks: DataFrame) -> DataFrame:
+    """The new copies of all valid requests; ``copy_id`` is the request id and a number from 1."""
+    return _created(requests, collections, decks).select(*COPY)
+
+
+def copies_create_placed(
+    requests: DataFrame,
+    collections: DataFrame,
+    decks: DataFrame,
+    columns: DataFrame,
+    placements: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New copies of all valid requests, and placements and columns with those for a deck put in:
+    one drop for each request.
+
+    ``requests`` also has section_id, column_id, index and seq, as for ``deck_place``.  The labels
+    that the library lacks are ``joins.new_tags`` of the copies.
+    """
+    made = _created(requests, collections, decks)
+    at = F.col("index") + (F.col("_n") - 1).cast("int")
+    turn = F.shiftleft(F.col("seq").cast("bigint"), 32) + F.col("_n")
+    asked = made.filter(F.col("deck_id").isNotNull()).select(
+        "copy_id", "deck_id", "section_id", "column_id", at.alias("index"), turn.alias("seq")
+    )
+    copies = made.select(*COPY)
+    placed, layout, _ = deck_place(placements, columns, copies, decks, asked)
+    return copies, placed, layout
+
+
 def copies_update(copies: DataFrame, changes: DataFrame, collections: DataFrame) -> DataFrame:
     """Set notes, tags or collection of an owner's copies; NULL leaves a field as it is and the deck
     is kept.  A change whose target collection is not the owner's is dropped as a whole.
@@ -185,6 +217,38 @@ def bulk_move(
     )
 
 
+def bulk_move_tables(
+    copies: DataFrame,
+    collections: DataFrame,
+    decks: DataFrame,
+    columns: DataFrame,
+    placements: DataFrame,
+    moves: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies, placements and columns after the moves of :func:`bulk_move`; of several moves of one
+    copy the last by seq counts.
+
+    ``moves`` also has section_id, column_id, index and seq, as for ``deck_place``.
+    """
+    last = latest(moves, ["owner", "copy_id"], "seq")
+    told = bulk_move(copies, collections, decks, last).select(
+        "copy_id", "action", F.col("collection_id").alias("_collection"), F.col("deck_id").alias("_deck")
+    )
+    done = told.filter(F.col("action").isin("placed", "taken_out", "moved"))
+    asked = last.join(done.filter("action = 'placed'").select("copy_id"), "copy_id").select(
+        "copy_id", F.col("to_deck").alias("deck_id"), "section_id", "column_id", "index", "seq"
+    )
+    out = last.join(done.filter("action = 'taken_out'").select("copy_id"), "copy_id").select("owner", "copy_id")
+    moved = (
+        copies.join(done, "copy_id", "left")
+        .withColumn("collection_id", F.when(F.col("action").isNull(), F.col("collection_id")).otherwise(F.col("_collection")))
+        .withColumn("deck_id", F.when(F.col("action").isNull(), F.col("deck_id")).otherwise(F.col("_deck")))
+        .select(*copies.columns)
+    )
+    placed, layout, _ = deck_place(deck_pull(placements, decks, out), columns, copies, decks, asked)
+    return moved, placed, layout
+
+
 # -- collections and decks --------------------------------------------------------------------
 
 

@@ -396,6 +396,36 @@ def copies_create(v):
     return made.select("copy_id", "owner", "card_id", "collection_id", "deck_id")
 
 
+def _placed_creations(v):
+    requests = _creations(v).select(
+        "*",
+        F.lit(None).cast("string").alias("section_id"),
+        F.lit(None).cast("string").alias("column_id"),
+        F.lit(None).cast("int").alias("index"),
+        F.col("request_id").cast("bigint").alias("seq"),
+    )
+    return M.copies_create_placed(requests, v.collections, v.decks, v.layout, v.placements)
+
+
+@query(
+    "copies_create_placements",
+    f"""with made as (select request_id || '-' || CAST(i AS STRING) copy_id, deck_id, CAST(request_id AS BIGINT) seq, i
+      from (select *, unnest(range(1, n + 1)) i from ({_CHECKED}) c where status = 'ok' and deck_id is not null) t),
+    first_column as (select {COLUMN} from (select *, row_number() over (partition by deck_id
+      order by section_pos, section_id, column_id is null, column_pos, column_id) rn from layout) t where rn = 1),
+    fresh as (select f.deck_id, f.section_id, f.column_id, copy_id, seq, i from made m join first_column f on f.deck_id = m.deck_id),
+    touched as (select distinct {COLUMN} from fresh),
+    old as (select p.*, t.deck_id is not null hit from placements p left join touched t on t.deck_id = p.deck_id
+      and t.section_id = p.section_id and t.column_id = p.column_id)
+    select {COLUMN}, pos, copy_id from old where not hit union all
+    select {COLUMN}, row_number() over (partition by {COLUMN} order by fresh, a, b, copy_id) - 1, copy_id
+    from (select {COLUMN}, copy_id, 0 fresh, pos a, 0 b from old where hit union all
+          select {COLUMN}, copy_id, 1, seq, i from fresh) m""",
+)
+def copies_create_placements(v):
+    return _placed_creations(v)[1]
+
+
 @query("copies_create_report", f"select status, count(*) n from ({_CHECKED}) t group by status")
 def copies_create_report(v):
     checked = M.checked_requests(_creations(v), v.collections, v.decks)

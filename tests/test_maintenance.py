@@ -196,3 +196,43 @@ def test_moves(spark, collections, decks):
     for i, (move, expected) in enumerate(cases.items()):
         got = M.bulk_move(copies, collections, decks, spark.createDataFrame([move], kind))
         assert rows(got, "action", "collection_id", "deck_id") == [expected], i
+
+
+def test_create_places_and_moves_whole_tables(spark, collections, decks):
+    columns = spark.createDataFrame(
+        [("d1", "s", "S", 0, "a", 0), ("d1", "s", "S", 0, "b", 1)],
+        "deck_id string, section_id string, section_name string, section_pos int, column_id string, column_pos int",
+    )
+    flat = spark.createDataFrame(
+        [("d1", "s", "a", n, c) for n, c in enumerate(["x", "y"])],
+        "deck_id string, section_id string, column_id string, pos bigint, copy_id string",
+    )
+    requests = spark.createDataFrame(
+        [
+            ("r1", "u", "c1", "k1", "d1", None, ["new"], 11.0, "s", "a", 1, 5),
+            ("r2", "u", "c1", None, "d1", None, None, 1.0, None, None, None, 6),
+            ("r3", "u", "c1", "k1", None, None, None, 1.0, None, None, 0, 7),
+            ("r4", "u", "c1", "k1", "d2", None, None, 1.0, None, None, 0, 8),
+        ],
+        CREATE + ", section_id string, column_id string, index int, seq int",
+    )
+    made, placed, layout = M.copies_create_placed(requests, collections, decks, columns, flat)
+    in_column = [r["copy_id"] for r in placed.filter("column_id = 'a'").orderBy("pos").collect()]
+    assert in_column == ["x", *[f"r1-{n}" for n in range(1, 12)], "y", "r2-1"]
+    assert made.count() == 13 and rows(layout) == rows(columns)
+
+    copies = copies_of(spark, {"copy_id": "x", "deck_id": "d1"}, {"copy_id": "y", "deck_id": "d1"}, {"copy_id": "z"})
+    kind = "owner string, copy_id string, from_deck boolean, to_collection string, to_deck string, section_id string, column_id string, index int, seq int"
+    moves = spark.createDataFrame(
+        [
+            ("u", "x", True, "k2", None, None, None, None, 1),
+            ("u", "z", False, "k2", None, None, None, None, 2),
+            ("u", "z", False, None, "d1", "s", "a", 0, 3),
+            ("u", "y", False, "k2", None, None, None, None, 4),
+            ("v", "y", False, "k3", None, None, None, None, 5),
+        ],
+        kind,
+    )
+    after, placed, _ = M.bulk_move_tables(copies, collections, decks, columns, flat, moves)
+    assert rows(after, "copy_id", "collection_id", "deck_id") == [("x", "k2", None), ("y", "k2", "d1"), ("z", "k1", "d1")]
+    assert [r["copy_id"] for r in placed.orderBy("pos").collect()] == ["z", "y"]
