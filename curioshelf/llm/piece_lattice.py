@@ -147,7 +147,7 @@ class Lattice:
         runs, counts = self.runs(texts)
         if len(self.known) > CACHED_RUNS:
             self._reset()
-        self.learn(dict.fromkeys(r for r in runs if r not in self.known))
+        self.learn(r for r in set(runs) if r not in self.known)
         all_places = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
         flat, bounds, score, loss = self.flat, self.bounds, self.score, self.loss
         ends = np.cumsum(counts)

@@ -77,7 +77,7 @@ class WordTokenizer:
             counts.append(len(own))
         if len(self.places) > CACHED_WORDS:
             self._reset()
-        new = list(dict.fromkeys(w for w in words if w not in self.places))
+        new = [w for w in set(words) if w not in self.places]
         if new:
             self._learn(new)
             self.flat, self.bounds = [np.concatenate(self.flat)], [np.concatenate(self.bounds)]
