@@ -9,6 +9,7 @@ from curioshelf.functions.colors import COLOR_WORDS, COMBINATIONS
 from curioshelf.functions.compose import all_of, any_of, none_of, where
 from curioshelf.operators import joins, searches
 from curioshelf.plans.registry import query
+from curioshelf.plans.views import color_array
 
 W, U, B, R, G = 1, 2, 4, 8, 16
 
@@ -220,6 +221,40 @@ def saved_search_counts(v):
     return searches.saved_search_counts(v.searches, v.cards)
 
 
+# Searches over many fields; the comparison of power and the colour mode vary with the search.
+_SEARCH_TABLE = """select s_suppkey search_id, CASE s_suppkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' END lang,
+ CASE WHEN s_suppkey % 7 = 1 THEN 'Widget' END type_line, CASE WHEN s_suppkey % 5 = 1 THEN 'normal' END layout,
+ CASE WHEN s_suppkey % 4 > 1 THEN 'rare' END rarity, CASE s_suppkey % 4 WHEN 2 THEN '>=' ELSE '<' END rarity_op,
+ CASE s_suppkey % 6 WHEN 1 THEN 'even' WHEN 2 THEN '4' WHEN 3 THEN '4' END cmc,
+ CASE s_suppkey % 6 WHEN 3 THEN '>' ELSE '<=' END cmc_op,
+ CASE s_suppkey % 8 WHEN 1 THEN '3' WHEN 2 THEN '*' WHEN 3 THEN '0' END power,
+ CASE s_suppkey % 8 WHEN 1 THEN '>' WHEN 2 THEN '!=' ELSE '=' END power_op,
+ CASE WHEN s_suppkey % 9 > 3 THEN CAST(s_suppkey % 32 AS INT) END wanted,
+ CASE s_suppkey % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'exactly' ELSE 'does-not-contain' END color_mode,
+ s_suppkey % 2 = 0 exclude_extras from @supplier"""
+_STAT = "CASE WHEN regexp_matches(power, '^[0-9]+$') THEN CAST(power AS INT) ELSE 0 END"
+
+
+@query(
+    "saved_search_fields",
+    f"""select search_id, c.id card_id from ({_SEARCH_TABLE}) s join
+    (select id, lang lang2, type_line type2, layout layout2, {_RARITY} rank, cmc cmc2, power power2, {_STAT} stat,
+     color_mask mask from cards) c on (lang is null or lang = lang2)
+    and (type_line is null or contains(lower(type2), lower(type_line))) and (layout is null or layout = layout2)
+    and (rarity is null or (rarity_op = '>=' and rank >= 2) or (rarity_op = '<' and rank between 0 and 1))
+    and (s.cmc is null or (s.cmc = 'even' and CAST(trunc(cmc2) AS BIGINT) % 2 = 0)
+      or (s.cmc = '4' and ((cmc_op = '>' and cmc2 > 4) or (cmc_op = '<=' and cmc2 <= 4))))
+    and (s.power is null or (s.power = '3' and stat > 3) or (s.power = '*' and power2 is distinct from '*')
+      or (s.power = '0' and stat = 0))
+    and (coalesce(wanted, 0) = 0 or (color_mode = 'contains' and (mask & wanted) = wanted)
+      or (color_mode = 'exactly' and mask = wanted) or (color_mode = 'does-not-contain' and coalesce(mask & wanted, 0) = 0))
+    and (not exclude_extras or ((layout2 is null or layout2 not in {tuple(P.EXTRA_LAYOUTS)}) and (type2 is null or type2 <> 'Card')))""",
+)
+def saved_search_fields(v):
+    table = v.sql(_SEARCH_TABLE).withColumn("colors", color_array("wanted")).drop("wanted")
+    return searches.search_table_match(table, v.cards)
+
+
 def color_place(mask: str) -> str:
     """Zero-based place of a colour mask among the combinations, in the oracle's SQL."""
     key = _KEY.replace("m &", f"coalesce({mask}, 0) &")
