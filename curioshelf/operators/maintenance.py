@@ -28,6 +28,14 @@ def _owned(table: DataFrame, key: str) -> DataFrame:
     return table.select("owner", F.col("id").alias(key), F.lit(1).alias(f"_{key}"))
 
 
+def _stamped(df: DataFrame, changed: Column, now) -> DataFrame:
+    """``updated_at`` set to ``now`` in changed rows, where a time is given and the table has one."""
+    if now is None or "updated_at" not in df.columns:
+        return df
+    at = now if isinstance(now, Column) else F.lit(now).cast(df.schema["updated_at"].dataType)
+    return df.withColumn("updated_at", F.when(changed, at).otherwise(F.col("updated_at")))
+
+
 def _last_given(column: str) -> Column:
     """The value of the last change, by seq, that gives one."""
     given = F.when(F.col(column).isNotNull(), F.col("seq"))
@@ -108,12 +116,14 @@ def copies_create_placed(
     return copies, placed, layout
 
 
-def copies_update(copies: DataFrame, changes: DataFrame, collections: DataFrame) -> DataFrame:
+def copies_update(
+    copies: DataFrame, changes: DataFrame, collections: DataFrame, now=None
+) -> DataFrame:
     """Set notes, tags or collection of an owner's copies; NULL leaves a field as it is and the deck
     is kept.  A change whose target collection is not the owner's is dropped as a whole.
 
     ``changes``: owner, copy_id, notes, tags, collection_id, seq.  Each field takes its last given
-    value.
+    value.  With ``now``, updated_at of the copies that are given something becomes that time.
     """
     checked = changes.join(
         _owned(collections, "collection_id"), ["owner", "collection_id"], "left"
@@ -121,6 +131,8 @@ def copies_update(copies: DataFrame, changes: DataFrame, collections: DataFrame)
     fields = ["notes", "tags", "collection_id"]
     fresh = checked.groupBy("owner", "copy_id").agg(*[_last_given(f) for f in fields])
     changed = copies.join(fresh, ["owner", "copy_id"], "left")
+    given = reduce(lambda p, q: p | q, [F.col(f"_{f}").isNotNull() for f in fields])
+    changed = _stamped(changed, given, now)
     for f in fields:
         changed = changed.withColumn(f, F.coalesce(f"_{f}", f))
     return changed.select(*copies.columns)
@@ -299,9 +311,10 @@ def delete_deck(
     )
 
 
-def set_active(table: DataFrame, requests: DataFrame) -> DataFrame:
+def set_active(table: DataFrame, requests: DataFrame, now=None) -> DataFrame:
     """Collections or decks after switching some on or off in order of ``seq``; switching one on
-    switches the owner's others off.  ``requests``: owner, id, is_active, seq."""
+    switches the owner's others off.  ``requests``: owner, id, is_active, seq.  With ``now``,
+    updated_at of those that switch becomes that time."""
     real = requests.join(table.select("owner", "id"), ["owner", "id"], "left_semi")
     on = real.filter("is_active").groupBy("owner").agg(
         F.max("seq").alias("_on_seq"), F.max_by("id", "seq").alias("_on_id")
@@ -319,26 +332,30 @@ def set_active(table: DataFrame, requests: DataFrame) -> DataFrame:
     return (
         table.join(on, "owner", "left")
         .join(off, ["owner", "id"], "left")
-        .withColumn("is_active", active)
+        .withColumn("_active", active)
+        .transform(_stamped, ~F.col("_active").eqNullSafe(F.col("is_active")), now)
+        .withColumn("is_active", F.col("_active"))
         .select(*table.columns)
     )
 
 
-def collections_create(requests: DataFrame) -> DataFrame:
+def collections_create(requests: DataFrame, now=None) -> DataFrame:
     """New collections; a request without a name is dropped.  ``requests``: owner, id, name,
-    description."""
+    description.  With ``now`` they have updated_at."""
+    stamp = [] if now is None else [(now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")).alias("updated_at")]
     return requests.filter(F.length("name") > 0).select(
         "owner",
         "id",
         "name",
         F.coalesce("description", F.lit("")).alias("description"),
         F.lit(False).alias("is_active"),
+        *stamp,
     )
 
 
-def decks_create(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decks_create(requests: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
     """New decks and their layout: one main section with one empty column."""
-    decks = collections_create(requests)
+    decks = collections_create(requests, now)
     layout = decks.select(
         F.col("id").alias("deck_id"),
         F.lit(MADE_SECTION).alias("section_id"),
@@ -350,14 +367,16 @@ def decks_create(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decks, layout.select(*LAYOUT)
 
 
-def entity_update(table: DataFrame, changes: DataFrame) -> DataFrame:
+def entity_update(table: DataFrame, changes: DataFrame, now=None) -> DataFrame:
     """Rename or describe an owner's collections or decks; NULL leaves a field as it is.
 
-    ``changes``: owner, id, name, description, seq.  Each field takes its last given value.
+    ``changes``: owner, id, name, description, seq.  Each field takes its last given value.  With
+    ``now``, updated_at of those that are given something becomes that time.
     """
     fresh = changes.groupBy("owner", "id").agg(_last_given("name"), _last_given("description"))
     return (
         table.join(fresh, ["owner", "id"], "left")
+        .transform(_stamped, F.col("_name").isNotNull() | F.col("_description").isNotNull(), now)
         .withColumn("name", F.coalesce("_name", "name"))
         .withColumn("description", F.coalesce("_description", "description"))
         .select(*table.columns)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curioshelf.operators import maintenance as M
+from curioshelf.operators.paging import list_recent
 from tests.helpers import copies_of, rows
 
 
@@ -236,3 +237,23 @@ def test_create_places_and_moves_whole_tables(spark, collections, decks):
     after, placed, _ = M.bulk_move_tables(copies, collections, decks, columns, flat, moves)
     assert rows(after, "copy_id", "collection_id", "deck_id") == [("x", "k2", None), ("y", "k2", "d1"), ("z", "k1", "d1")]
     assert [r["copy_id"] for r in placed.orderBy("pos").collect()] == ["z", "y"]
+
+
+def test_changes_are_dated_and_recent_ones_listed_first(spark):
+    kind = "id string, owner string, name string, description string, is_active boolean, updated_at timestamp_ntz"
+    table = spark.createDataFrame([(i, "u", i, "", False, None) for i in "abc"], kind.replace("timestamp_ntz", "string"))
+    table = table.withColumn("updated_at", F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, ascii(id))"))
+    change = spark.createDataFrame([("u", "a", "renamed", None, 1)], "owner string, id string, name string, description string, seq int")
+    once = M.entity_update(table, change, "2025-01-01 00:00:00")
+    assert [r["id"] for r in list_recent(once).collect()] == ["a", "c", "b"]
+    switch = spark.createDataFrame([("u", "b", True, 1)], "owner string, id string, is_active boolean, seq int")
+    twice = M.set_active(once, switch, "2025-01-02 00:00:00")
+    assert [r["id"] for r in list_recent(twice).collect()] == ["b", "a", "c"]
+    assert twice.schema == table.schema
+    new = M.collections_create(table.select("owner", F.lit("d").alias("id"), "name", "description").limit(1), "2025-01-03 00:00:00")
+    assert [r["id"] for r in list_recent(twice.unionByName(new)).collect()] == ["d", "b", "a", "c"]
+    copies = copies_of(spark, {}, {}).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    given = spark.createDataFrame([("u", "p1", "n", None, None, 1)], "owner string, copy_id string, notes string, tags array<string>, collection_id string, seq int")
+    owned = spark.createDataFrame([], "id string, owner string")
+    dated = M.copies_update(copies, given, owned, "2025-01-01 00:00:00")
+    assert [r["updated_at"] is not None for r in dated.orderBy("copy_id").collect()] == [True, False]
