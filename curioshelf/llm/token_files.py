@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 20
 LANES = 4096
 END_ID = 1
 
-_SLOTS = 20  # bits of order-0 frequencies
+_SLOTS = 19  # bits of order-0 frequencies
 _GATE = 12  # bits of the weights
 _U = np.uint64
 _STATE, _LOW = _U((1 << 56) - 1), _U(1 << 40)
@@ -57,7 +57,11 @@ class _Model:
 
     def _weigh(self) -> None:
         share = self.votes[:, 1:] * ((1 << _GATE) - 3) // self.votes.sum(1, keepdims=True) + 1
-        self.weights = np.concatenate(((1 << _GATE) - share.sum(1, keepdims=True), share), axis=1)
+        w0 = (1 << _GATE) - share.sum(1)
+        self.w0, self.w01 = w0, w0 + share[:, 0]
+        # Where the interval of order 1 or 2 starts, and its width, by gate and order.
+        self.start = np.stack((np.zeros_like(w0), w0, self.w01), axis=1).reshape(-1).astype(_U) << _U(_SLOTS)
+        self.width = np.stack((w0, share[:, 0], share[:, 1]), axis=1).reshape(-1).astype(_U) << _U(_SLOTS)
 
     def _rank(self) -> None:
         """Order-0 frequencies from all ids so far; each id keeps at least one slot."""
@@ -69,16 +73,24 @@ class _Model:
         if total:
             slots += self.counts * ((1 << _SLOTS) - self.vocabulary) // total
         slots[int(slots.argmax())] += (1 << _SLOTS) - int(slots.sum())
-        self.slots, self.before = slots, np.concatenate(([0], np.cumsum(slots)))
+        self.before = (np.cumsum(slots) - slots).astype(_U)
+        self.slots = slots.astype(_U)
+        self.slot_id = np.repeat(np.arange(self.vocabulary), slots)
         self.due = self.seen + max(LANES, self.seen // 4)
 
     def predict(self) -> np.ndarray:
-        """Weights of the orders 0, 1, 2 for each lane."""
+        """Weight of order 0 for each lane, after the guesses of the others."""
         self.place = (self.one * 40503 + self.two * 60493) & 0x1FFFF
-        self.guess2, self.guess1 = self.next2[self.place], self.next1[self.one]
-        self.s2, self.s1 = self.sure2[self.place], self.sure1[self.one]
+        self.guess2, self.guess1 = self.next2.take(self.place), self.next1.take(self.one)
+        self.s2, self.s1 = self.sure2.take(self.place), self.sure1.take(self.one)
         self.gate = (np.minimum(self.s2, 3) * 4 + np.minimum(self.s1, 3)) * 2 + (self.guess1 == self.guess2)
-        return self.weights[self.gate]
+        return self.w0.take(self.gate)
+
+    def interval(self, ids: np.ndarray, order: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width, of 2**32, of the interval of each lane's id in the given order."""
+        at, free, w = self.gate * 3 + order, order == 0, w0.astype(_U)
+        start = np.where(free, w * self.before.take(ids), self.start.take(at))
+        return start << _U(20 - _SLOTS), np.where(free, w * self.slots.take(ids), self.width.take(at)) << _U(20 - _SLOTS)
 
     def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
         self.votes += np.bincount(self.gate * 3 + order, minlength=96).reshape(32, 3)
@@ -88,7 +100,7 @@ class _Model:
             right = guess == ids
             # Where lanes share a context the last lane counts, in coder and decoder alike.
             follow[at] = np.where(right | (s > 0), guess, ids)
-            sure[at] = np.where(right, np.minimum(s + 1, 15), s // 2)
+            sure[at] = np.where(right, np.minimum(s + 1, 15), s >> 1)
         self.two, self.one = self.one, ids
         self.recent.append(ids)
         self.seen += len(ids)
@@ -130,14 +142,12 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> by
         ends[at] += 1
 
     for now in laid:
-        w = model.predict()
-        order = np.where(now == model.guess2, 2, np.where(now == model.guess1, 1, 0))
-        w0 = w[:, 0]
-        start = np.where(order == 0, w0 * model.before[now], np.where(order == 1, w0, w0 + w[:, 1]) << _SLOTS)
-        width = np.where(order == 0, w0 * model.slots[now], w[np.arange(lanes), order] << _SLOTS)
+        w0 = model.predict()
+        order = np.where(now == model.guess2, 2, (now == model.guess1).astype(np.int64))
+        start, width = model.interval(now, order, w0)
         unit = size >> _U(32)
-        low += unit * start.astype(_U)
-        size = unit * width.astype(_U)
+        low += unit * start
+        size = unit * width
         _normal(low, size, shift)
         model.learn(now, order)
     shift(np.arange(lanes), (low + _LOW - _U(1)) & ~(_LOW - _U(1)))
@@ -176,18 +186,17 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place[at] += 1
 
     for step in range(steps):
-        w = model.predict()
+        w0 = model.predict()
         unit = size >> _U(32)
-        value = np.minimum((code - low) // unit, _U((1 << 32) - 1)).astype(np.int64)
-        gate, w0 = value >> _SLOTS, w[:, 0]
-        order = (gate >= w0).astype(np.int64) + (gate >= w0 + w[:, 1])
+        value = np.minimum((code - low) // unit, _U((1 << 32) - 1)).astype(np.int64) >> (20 - _SLOTS)
+        gate = value >> _SLOTS
+        order = (gate >= w0).astype(np.int64) + (gate >= model.w01.take(model.gate))
         now = np.where(order == 2, model.guess2, model.guess1)
         free = np.flatnonzero(order == 0)
-        now[free] = np.searchsorted(model.before, value[free] // w0[free], "right") - 1
-        start = np.where(order == 0, w0 * model.before[now], np.where(order == 1, w0, w0 + w[:, 1]) << _SLOTS)
-        width = np.where(order == 0, w0 * model.slots[now], w[np.arange(lanes), order] << _SLOTS)
-        low += unit * start.astype(_U)
-        size = unit * width.astype(_U)
+        now[free] = model.slot_id.take(value.take(free) // w0.take(free))
+        start, width = model.interval(now, order, w0)
+        low += unit * start
+        size = unit * width
         _normal(low, size, shift)
         out[step] = now
         model.learn(now, order)
