@@ -36,6 +36,17 @@ def catalog_read_json(v):
     return _bulk(v).select("id", "name", "type_line", "set", "variation")
 
 
+@query("catalog_read_array", 'select id, name, type_line, set_code as "set", variation from bulk where take = 1')
+def catalog_read_array(v):
+    """The same records as one JSON array, an element to a line, as the bulk files come."""
+    folder = scratch(v.spark)
+    records = v.bulk.filter("take = 1").withColumnRenamed("set_code", "set")
+    lines = records.select(F.concat(F.lit("  "), F.to_json(F.struct(*records.columns)), F.lit(",")).alias("value"))
+    edges = v.spark.createDataFrame([("[",), ("]",)], "value string")
+    lines.unionByName(edges).write.text(folder)
+    return ingest.catalog_read_json(v.spark, folder, array=True).select("id", "name", "type_line", "set", "variation")
+
+
 @query("catalog_schema_enforce", f"select id, name, cmc, border_color from bulk where {COMPLETE}")
 def catalog_schema_enforce(v):
     return ingest.catalog_schema_enforce(_bulk(v)).select("id", "name", "cmc", "border_color")

@@ -70,11 +70,18 @@ def test_import(spark, folder):
 
 def test_an_array_file_is_read_the_same(spark, folder, tmp_path):
     path = tmp_path / "array.json"
-    path.write_text(json.dumps(RECORDS, indent=1))
+    path.write_text("[\n" + ",\n".join(json.dumps(r) for r in RECORDS) + "\n]\n")
     as_array = ingest.catalog_read_json(spark, str(path), array=True)
     lines = ingest.catalog_read_json(spark, folder)
     assert rows(as_array.drop("seq")) == rows(lines.drop("seq"))
     assert rows(imported(as_array)) == rows(imported(lines))
+    one_line = tmp_path / "one.json"
+    one_line.write_text("[" + json.dumps(RECORDS[0]) + "]")
+    assert ingest.catalog_read_json(spark, str(one_line), array=True).count() == 1
+    spread = tmp_path / "spread.json"
+    spread.write_text(json.dumps(RECORDS, indent=1))
+    with pytest.raises(Exception, match="not one element to a line"):
+        ingest.catalog_read_json(spark, str(spread), array=True).collect()
 
 
 def test_report_adds_up(spark, folder):
