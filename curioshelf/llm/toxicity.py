@@ -196,6 +196,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     terms = np.unique(np.concatenate((learned, insults)))
 
     rows = sample.mapInArrow(_training_rows(terms), "toxic int, places array<int>, counts array<int>, patterns array<double>").collect()
+    if not rows:  # labels, but of none of these documents
+        return Model(np.zeros(0, np.uint64), np.zeros(len(_PATTERNS)), -4.0)
     lengths = [len(r["places"]) for r in rows]
     row = np.repeat(np.arange(len(rows)), lengths)
     place = np.array([p for r in rows for p in r["places"]], np.int64)
