@@ -8,12 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 
-# These letters alone are one unit to the tokenizer wherever they stand between spaces, and a full
-# stop or comma after them is another.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+[.,]?")
+# Letters are one unit to the tokenizer wherever they stand, and so are signs other than the
+# apostrophe; the last piece of a unit, and no other, ends in ``</w>``.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CACHED_WORDS = 1_000_000
-RUN = 256
+RUN = 512
 
 
 class WordTokenizer:
@@ -37,21 +37,28 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Adds words to the cache."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        plain, units, rest = [], [], []
+        match = _PLAIN.fullmatch
+        for w in words:
+            found = match(w)
+            if found is None or not w:
+                rest.append(w)
+            else:
+                plain.append(w)
+                units.append(found.groups())
         ids, sizes, names = [], [], []
-        rest = [w for w in words if not _PLAIN.fullmatch(w)]
-        joined = [" ".join([w if w[-1] not in ".," else f"{w[:-1]} {w[-1]}" for w in run]) for run in runs]
-        for run, got in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        runs = range(0, len(plain), RUN)
+        joined = [" ".join([f"{a} {b}" if a and b else a or b for a, b in units[i : i + RUN]]) for i in runs]
+        for i, got in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             found = np.array(got.ids, np.int32)
             ends = np.flatnonzero(self.ends[found])
-            units = np.cumsum([1 if w[-1] not in ".," else 2 for w in run])
-            if len(ends) == units[-1]:
+            last = np.cumsum([2 if a and b else 1 for a, b in units[i : i + RUN]])
+            if len(ends) == last[-1]:
                 ids.append(found)
-                sizes.append(np.diff(np.concatenate(([-1], ends[units - 1]))))
-                names += run
+                sizes.append(np.diff(np.concatenate(([-1], ends[last - 1]))))
+                names += plain[i : i + RUN]
             else:
-                rest += run
+                rest += plain[i : i + RUN]
         for w, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             ids.append(np.array(got.ids, np.int32))
             sizes.append(np.array([len(got.ids)]))
