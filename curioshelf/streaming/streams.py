@@ -15,6 +15,9 @@ from curioshelf.sources.ingest import catalog_dedupe, catalog_import_filter, cat
 from curioshelf.sources.schema import CARD, IMPORT, REQUIRED
 
 
+ONCE = {"availableNow": True}
+
+
 def _ids_before(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
     """Ids of the cards that earlier batches stored, or None when this is the first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(sink)
@@ -31,9 +34,11 @@ def ingest_stream(
     checkpoint: str,
     files_per_batch: int = 16,
     required: list[str] = REQUIRED,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Import JSON-lines files as they appear, by the same rules as the bulk import.  A card that an
-    earlier batch stored is not stored again."""
+    earlier batch stored is not stored again.  ``trigger`` is that of ``writeStream``; as it stands,
+    what is there is read and the stream ends."""
     records = (
         spark.readStream.schema(IMPORT)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -58,13 +63,15 @@ def ingest_stream(
 
     return (
         records.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(store)
         .start()
     )
 
 
-def price_upsert_stream(updates: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def price_upsert_stream(
+    updates: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Store the last price of every card of each micro-batch.  :func:`stored_prices` reads the
     cache; :func:`compact_prices` shortens it."""
 
@@ -74,7 +81,7 @@ def price_upsert_stream(updates: DataFrame, sink: str, checkpoint: str) -> Strea
 
     return (
         updates.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(store)
         .start()
     )
