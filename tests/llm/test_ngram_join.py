@@ -75,4 +75,4 @@ def test_odd_rows(odd_docs):
 
 def test_empty_table(docs_of, spark):
     assert join.ngram_join(docs_of([(1, "a")]).limit(0)).count() == 0
-    assert join.ngram_join(docs_of([None, ""])).collect() == [(0, 0, 0), (1, 0, 1)]
+    assert sorted(map(tuple, join.ngram_join(docs_of([None, ""])).collect())) == [(0, 0, 0), (1, 0, 1)]
