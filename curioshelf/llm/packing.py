@@ -15,11 +15,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curioshelf.llm.tokens import tokenizer
+from curioshelf.session import kept
+
 CAPACITY = 2048
+TOKENIZER = "word_bpe_49k.json"
 SHARD_ITEMS = 16_384
 
 
@@ -152,6 +157,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length counts as 0 and still has a row.  Null sources and clusters conflict with nothing.  Each
     repeated row is packed; an empty table gives no rows; other columns are not looked at.
     """
+    items = kept(items.select("doc_id", "length", "source", "cluster"))
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
     last = F.greatest(F.ceil(F.col("length") / capacity) - 1, F.lit(0)).cast("long")
     rows = items.select("doc_id", length.alias("length"), "source", "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -166,9 +172,27 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ordered.mapInArrow(_pack(capacity), f"doc_id {kind}, chunk long, size int, bin_id long, start int")
 
 
-def as_items(documents: DataFrame) -> DataFrame:
-    """Items of ``documents`` (doc_id, text, source): about a token for every four bytes and one for
-    the end; documents with equal texts are one cluster."""
-    text = F.coalesce("text", F.lit(""))
-    length = F.ceil(F.octet_length(text) / 4) + 1
-    return documents.select("doc_id", length.alias("length"), "source", F.xxhash64(text).alias("cluster"))
+def _measured(path: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokenizer(path)
+        for batch in batches:
+            doc, text, source, cluster = batch.columns
+            lengths = [encoder.lengths(text.slice(at, 256).to_pylist()) + 1 for at in range(0, len(batch), 256)]
+            length = pa.array(np.concatenate(lengths) if lengths else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc, length, source, cluster], ["doc_id", "length", "source", "cluster"])
+
+    return run
+
+
+def as_items(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """Items of ``documents`` (doc_id, text, source): as many tokens as the tokenizer file ``path``
+    (that of op3, if none is given) gives ids, and one for the end; documents with equal texts are
+    one cluster."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    kinds = [documents.schema[c].dataType.simpleString() for c in ("doc_id", "source")]
+    rows = documents.select("doc_id", text, "source", F.xxhash64(text).alias("cluster"))
+    return rows.mapInArrow(_measured(path), f"doc_id {kinds[0]}, length long, source {kinds[1]}, cluster long")

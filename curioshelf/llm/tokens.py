@@ -69,8 +69,9 @@ class WordTokenizer:
             self.flat.append(np.concatenate(ids))
             self.bounds.append(self.bounds[-1][-1] + np.cumsum(np.concatenate(sizes)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text)."""
+    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """(places in the cache of all words, number of words of each text, ids of texts that only
+        the library can encode, by number)."""
         words, counts, whole = [], [], {}
         for n, text in enumerate(texts):
             if any(s[:2].lower() in text for s in self.specials):
@@ -88,17 +89,31 @@ class WordTokenizer:
         if new:
             self._learn(new)
             self.flat, self.bounds = [np.concatenate(self.flat)], [np.concatenate(self.bounds)]
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)), np.array(counts, np.int64), whole
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        at, counts, whole = self._look_up(texts)
         flat, bounds = self.flat[0], self.bounds[0]
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
         starts, sizes = bounds[at], bounds[at + 1] - bounds[at]
         before = np.cumsum(sizes) - sizes
-        ids = flat[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)] if len(words) else flat[:0]
+        ids = flat[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)] if len(at) else flat[:0]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
         if not whole:
             return ids, np.diff(ends)
         parts = [whole[n] if n in whole else ids[ends[n] : ends[n + 1]] for n in range(len(texts))]
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Number of ids of each text, as ``encode`` gives them."""
+        at, counts, whole = self._look_up(texts)
+        bounds = self.bounds[0]
+        ends = np.concatenate(([0], np.cumsum(bounds[at + 1] - bounds[at])))[np.concatenate(([0], np.cumsum(counts)))]
+        out = np.diff(ends)
+        for n, ids in whole.items():
+            out[n] = len(ids)
+        return out
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> WordTokenizer:

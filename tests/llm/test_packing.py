@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
 
 from curioshelf.llm import packing
+from curioshelf.llm.tokens import tokenizer
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -65,3 +67,20 @@ def test_documents(odd_docs):
     assert packed.agg({"size": "sum"}).first()[0] == want
     assert packed.where("doc_id = 9").count() > 10 and packed.where("doc_id = 5").count() == 2
     assert packing.pack(packing.as_items(odd_docs.limit(0))).count() == 0
+
+
+def test_bins_hold_real_ids(spark, docs_of):
+    """Bins are filled with the ids of the library, and those of no bin exceed the capacity."""
+    encode = tokenizer(public_tokenizers.path("word_bpe_49k.json")).tokenizer.encode
+    texts = [None, "", "<|endoftext|> x", "zq jx vk " * 700, *["Qz%d xk-vv, é日 " % i * (40 * i + 1) for i in range(30)]]
+    ids = {i: [*encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert any(len(x) > packing.CAPACITY >= len(texts[i] or "") / 4 + 2 for i, x in ids.items())
+    frame = docs_of(list(enumerate(texts))).drop("source").selectExpr("*", "cast(doc_id as string) source")
+    bins, lengths = defaultdict(int), defaultdict(int)
+    for doc, chunk, size, b, _ in packing.pack(packing.as_items(frame)).collect():
+        held = ids[doc][chunk * packing.CAPACITY : (chunk + 1) * packing.CAPACITY]
+        assert size == len(held)
+        bins[b] += len(held)
+        lengths[doc] += len(held)
+    assert max(bins.values()) <= packing.CAPACITY
+    assert lengths == {i: len(x) for i, x in ids.items()}
