@@ -44,18 +44,21 @@ def _set_id(found: np.ndarray) -> int:
         return int(mix(np.array([mix(found).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
 
 
+def sets_of(texts: pa.Array) -> list[pa.Array]:
+    """Number of shingles of each text, and the hash of its set, null if the set is empty."""
+    sizes, nodes = [], []
+    for found in shingle_sets(texts):
+        sizes.append(len(found))
+        nodes.append(_set_id(found) if len(found) else None)
+    return [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
+
+
 def set_ids(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node): node is the hash of the set, null if the set is empty."""
 
     def run(batches):
         for batch in batches:
-            sizes, nodes = [], []
-            for found in shingle_sets(batch.column(1)):
-                sizes.append(len(found))
-                nodes.append(_set_id(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sets_of(batch.column(1))], ["doc_id", "n_shingles", "node"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
@@ -299,17 +302,9 @@ def _tiles(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.select("tile", "side", "node", "n", "root", "parts").groupBy("tile").applyInArrow(_tile_links(percent), "a long, b long")
 
 
-def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """Near-duplicate classes of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least
-    ``percent`` / 100.  component_id is the smallest doc_id that links reach.  Null and empty texts
-    have no shingles and link with nothing.  Rows that repeat, doc_id included, each give a row; a
-    null doc_id counts as no smallest id.  An empty table gives an empty result.  Other columns are
-    not looked at.
-    """
-    docs = kept(set_ids(documents))
-    total = docs.agg(F.sum("n_shingles")).first()[0] or 0
+def set_roots(documents: DataFrame, total: int, percent: int = 75) -> DataFrame:
+    """(node, root) of every set that links with another: root is one for each near-duplicate class.
+    ``total`` is the number of shingles of all ``documents`` (text)."""
     segments = _cut(documents, max(PARTS, -(-total // FRAGMENT_SHINGLES)))
     buckets = max(PARTS, -(-total // BUCKET_SHINGLES))
     shared = segments.groupBy("frag").applyInArrow(_count_fragment(buckets), SEGMENT)
@@ -330,8 +325,21 @@ def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
     long = rooted.where(F.col("length") > SHORT_LIST)
     if not long.isEmpty():
         links = links.unionByName(_tiles(long, sets, percent))
-    roots = components(links)
+    return components(links)
 
+
+def ngram_join(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """Near-duplicate classes of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least
+    ``percent`` / 100.  component_id is the smallest doc_id that links reach.  Null and empty texts
+    have no shingles and link with nothing.  Rows that repeat, doc_id included, each give a row; a
+    null doc_id counts as no smallest id.  An empty table gives an empty result.  Other columns are
+    not looked at.
+    """
+    docs = kept(set_ids(documents))
+    total = docs.agg(F.sum("n_shingles")).first()[0] or 0
+    roots = set_roots(documents, total, percent)
     known = docs.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.select("node", "root").join(least, "root").select("node", "component_id")

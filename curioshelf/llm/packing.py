@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curioshelf.llm.ngram_join import set_roots, sets_of
 from curioshelf.llm.tokens import tokenizer
 from curioshelf.session import kept
 
@@ -172,27 +173,44 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ordered.mapInArrow(_pack(capacity), f"doc_id {kind}, chunk long, size int, bin_id long, start int")
 
 
-def _measured(path: str):
+def _measured(documents: DataFrame, path: str | None, sets: bool) -> DataFrame:
+    """(doc_id, length, source, cluster) and, with ``sets``, (n_shingles, node)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    names = ["doc_id", "length", "source", "cluster", *(["n_shingles", "node"] if sets else [])]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
         for batch in batches:
             doc, text, source, cluster = batch.columns
             lengths = [encoder.lengths(text.slice(at, 256).to_pylist()) + 1 for at in range(0, len(batch), 256)]
             length = pa.array(np.concatenate(lengths) if lengths else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, length, source, cluster], ["doc_id", "length", "source", "cluster"])
+            yield pa.RecordBatch.from_arrays([doc, length, source, cluster, *(sets_of(text) if sets else [])], names)
 
-    return run
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = documents.select("doc_id", text, "source", F.xxhash64(text).alias("cluster"))
+    doc, source = (documents.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
+    return rows.mapInArrow(run, ", ".join(f"{n} {({'doc_id': doc, 'source': source}).get(n, 'long')}" for n in names))
 
 
 def as_items(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Items of ``documents`` (doc_id, text, source): as many tokens as the tokenizer file ``path``
     (that of op3, if none is given) gives ids, and one for the end; documents with equal texts are
     one cluster."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(TOKENIZER)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    kinds = [documents.schema[c].dataType.simpleString() for c in ("doc_id", "source")]
-    rows = documents.select("doc_id", text, "source", F.xxhash64(text).alias("cluster"))
-    return rows.mapInArrow(_measured(path), f"doc_id {kinds[0]}, length long, source {kinds[1]}, cluster long")
+    return _measured(documents, path, False)
+
+
+def near_items(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """The items of ``as_items``, but the near-duplicate classes of ``ngram_join`` are the clusters,
+    null for classes of one.  Classes are known row by row, so doc_id may be null or repeat.  Texts
+    without shingles are in no class: equal ones are one cluster."""
+    rows = kept(_measured(documents, path, True))
+    roots = set_roots(documents, rows.agg(F.sum("n_shingles")).first()[0] or 0)
+    sets = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"))
+    known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = known.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1")
+    named = known.select("node", "root").join(classes.select("root"), "root")
+    cluster = F.coalesce("root", F.when(F.col("node").isNull(), F.col("cluster"))).alias("cluster")
+    return rows.join(named, "node", "left").select("doc_id", "length", "source", cluster)

@@ -170,9 +170,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from curioshelf.llm.packing import as_items, pack
+    from curioshelf.llm.packing import near_items, pack
 
-    return pack(as_items(table(spark, sf_dir, "documents")))
+    return pack(near_items(table(spark, sf_dir, "documents")))
 
 
 @query("op2_piece_lattice")

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 
 from curioshelf.llm import packing
+from curioshelf.llm.queries import QUERIES
 from curioshelf.llm.tokens import tokenizer
 
 
@@ -84,3 +85,25 @@ def test_bins_hold_real_ids(spark, docs_of):
         lengths[doc] += len(held)
     assert max(bins.values()) <= packing.CAPACITY
     assert lengths == {i: len(x) for i, x in ids.items()}
+
+
+def test_near_copies_are_one_cluster(spark, tmp_path, docs_of):
+    """No bin of op9 holds two near copies, whatever their sources and doc_ids; others share bins."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], f"end{i}"]) for i in range(6)]
+    rows = [*enumerate(near), (None, near[0].upper()), (0, "another text of a few short words"), (7, "one more text of a few words"), (8, None), (9, "")]
+    frame = docs_of(rows).drop("source").selectExpr("*", "cast(monotonically_increasing_id() as string) source")
+    clusters = [(r["doc_id"], r["cluster"]) for r in packing.near_items(frame).collect()]
+    groups = defaultdict(list)
+    for doc, cluster in clusters:
+        groups[cluster].append(doc)
+    assert len(clusters) == len(rows)
+    assert sorted(map(str, groups.pop(None))) == ["0", "7"]
+    assert sorted(sorted(map(str, g)) for g in groups.values()) == [sorted([*"012345", "None"]), ["8", "9"]]
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    bins = defaultdict(list)
+    for r in QUERIES["op9_best_fit_packing"](spark, str(tmp_path)).collect():
+        bins[r["bin_id"]].append((r["doc_id"], r["size"]))
+    assert len(bins) == 7 and max(map(len, bins.values())) > 1
+    long = [[d for d, size in held if size > 60] for held in bins.values()]
+    assert sorted(map(str, sum(long, []))) == sorted([*"012345", "None"]) and max(map(len, long)) == 1
