@@ -11,6 +11,9 @@ import numpy as np
 # Letters are one unit to the tokenizer wherever they stand, and so are signs other than the
 # apostrophe; the last piece of a unit, and no other, ends in ``</w>``.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# Marks that a letter may be composed with.  The tokenizer composes before it lowers, and some small
+# letters have a composed form where the capital has none: words with a mark are left as they are.
+_MARK = re.compile("[\u0300-\u036f]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CACHED_WORDS = 1_000_000
 RUN = 512
@@ -79,8 +82,10 @@ class WordTokenizer:
                 counts.append(0)
                 continue
             # Only A-Z is lowered here, and only \n and space split: the tokenizer sees to the rest.
-            text = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
-            own = text.replace("\n", " ").split(" ")
+            raw = text.encode("utf-8", "surrogatepass")
+            own = raw.translate(_LOWER).decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+            if b"\xcc" in raw or b"\xcd" in raw:  # lead bytes of all combining marks that may follow A-Z
+                own = [w if _MARK.search(w) else low for w, low in zip(text.replace("\n", " ").split(" "), own, strict=True)]
             words += own
             counts.append(len(own))
         if len(self.places) > CACHED_WORDS:

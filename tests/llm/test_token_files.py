@@ -30,6 +30,15 @@ def test_odd_texts_and_a_small_cache(monkeypatch):
         assert own.encode([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_capitals_that_do_not_compose():
+    """Composed first, lowered then: the small letter with the mark is one character, the capital's are two."""
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    own = WordTokenizer(PATH)
+    for text in [*pairs, *(p.lower() for p in pairs), *(f"An {p}X, B\n{p}" for p in pairs)]:
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.encode([text])[0].tolist() == want and own.lengths([text]).tolist() == [len(want)], ascii(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 129, 5000, 140_000])
 @pytest.mark.parametrize("kind", ["same", "random", "skewed", "repeating"])
 def test_blocks_round_trip(n, kind):
