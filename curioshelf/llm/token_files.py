@@ -1,14 +1,15 @@
-"""Token ids in compressed blocks: context mixing and a range coder.
+"""Token ids in compressed blocks: an escape coder of three orders and a range coder.
 
 A block holds the ids of whole documents.  Its ids are dealt to lanes, runs of equal length that are
 coded side by side, so that one step codes an id of every lane with array operations.  All lanes of
 a block learn one model; it starts anew with each block, so blocks are read independently.
 
-The model mixes three predictions of the next id: the id that last followed the two ids before
+The model has three predictions of the next id: the id that last followed the two ids before
 (order 2), the one that last followed the id before (order 1), and the frequencies of the block so
-far (order 0).  Their weights are themselves learned, for each pair of confidences of the order-2
-and the order-1 prediction and whether the two agree.  An id is coded in one step of 32 bits: the
-first order that predicts it gives its interval.
+far (order 0).  An id is coded in one step of 32 bits by the first order that predicts it, and the
+probabilities of the orders are not added up.  The weights of the orders are learned, for each pair
+of confidences of the order-2 and the order-1 prediction and whether the two agree.  Where lanes
+share a context the last counts.
 
 Block format, little endian: magic, checksum of all that follows (crc32), then five counts
 (documents, ids, size of the vocabulary, lanes, words), document ids, ids per document, words per
