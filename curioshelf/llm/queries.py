@@ -182,3 +182,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curioshelf.llm.piece_lattice import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _code_rounds(rounds: int) -> str:
+    """Of the SQL of op12: assignments and codebooks, round by round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} as (select v.vec_id, v.p, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d
+          from parts v join c{r} c on c.p = v.p),
+        a{r} as materialized (select * from d{r} qualify row_number() over (partition by vec_id, p order by d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} as (select p, k, i, sum(x[i]::hugeint) s, count(*) n from a{r}, range(1, (select max(len(x)) from parts) + 1) t(i) group by all),
+        f{r} as (select p, k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) x from m{r} group by all),
+        c{r + 1} as materialized (select c.p, c.k, coalesce(f.x, c.x) x from c{r} c left join f{r} f on f.p = c.p and f.k = c.k)""")
+    return ",\n        ".join(steps)
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+    with v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) e from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    parts as materialized (select vec_id, p, e[p * (len(e) // 8) + 1 : (p + 1) * (len(e) // 8)] x from v, range(8) t(p)),
+    c0 as materialized (select p, k, x from parts join (select vec_id, row_number() over (order by vec_id) - 1 k from v order by vec_id limit 16) using (vec_id)),
+        {_code_rounds(6)},
+    coded as (select vec_id, string_agg(printf('%02x', k::int), '' order by p) code, sum(d)::bigint error from a6 group by vec_id)
+    select vec_id, code, error, sum(error) over (partition by label)::bigint label_error,
+      (select sha256(string_agg(array_to_string(x, ','), ',' order by p, k)) from c6) codebooks_sha256
+    from coded join v using (vec_id)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from curioshelf.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
