@@ -225,3 +225,58 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curioshelf.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value}::varchar end"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+# Checksum of the decimal doc_id, bit by bit: eight steps for each byte.
+_BYTE = "(case when i % 8 = 0 then xor(c, ascii(substr(doc_id::varchar, i // 8 + 1, 1))::bigint) else c end)"
+_CRC = f"xor(list_reduce([4294967295::bigint] || range(8 * strlen(doc_id::varchar)), lambda c, i: xor({_BYTE} >> 1, case when {_BYTE} % 2 = 1 then 3988292384::bigint else 0 end)), 4294967295::bigint)"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Of the SQL of op11: levels of trees over ``leaves`` (tree, pos, h), with each node's siblings."""
+    around = "partition by tree, lvl, pos // 16 order by pos rows between"
+    return f"""{name}_up as (
+      select tree, 0::bigint lvl, pos, h, count(*) over (partition by tree) n from {leaves}
+      union all
+      select tree, lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from {name}_up where n > 1 group by tree, lvl, pos // 16, n),
+    {name} as materialized (select *, coalesce(string_agg(h, '') over ({around} unbounded preceding and 1 preceding), '') l,
+      coalesce(string_agg(h, '') over ({around} 1 following and unbounded following), '') r from {name}_up)"""
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    with recursive hashed as materialized (select doc_id, source, {_leaf("text")} leaf,
+      case when doc_id is not null and {_CRC} % 5 = 0 then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end bad from documents),
+    leaves as materialized (select *, case when source is null then '-' else '=' || source end tree,
+      row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos from hashed),
+    {_tree("low", "(select tree, pos, leaf h from leaves)")},
+    subs as materialized (select tree src, h sub, lvl depth, row_number() over (order by tree) - 1 pos from low where n = 1),
+    {_tree("high", "(select '' tree, pos, sub h from subs)")},
+    steps as materialized (
+      select tree, lvl, pos, l, r, n, false top from low where n > 1
+      union all select src, depth + lvl, high.pos, l, r, n, true from high join subs on subs.pos // (16 ** lvl)::bigint = high.pos where n > 1),
+    walk as (
+      select tree, pos start, pos, 0::bigint lvl, coalesce(bad, leaf) h, leaf, doc_id, '' proof from leaves
+      union all
+      select w.tree, w.start, s.pos // 16, s.lvl + 1, sha256(s.l || w.h || s.r), w.leaf, w.doc_id, w.proof || s.l || s.r
+      from walk w join steps s on s.tree = w.tree and s.lvl = w.lvl and (s.top or s.pos = w.pos)),
+    ends as (select * from walk qualify row_number() over (partition by tree, start order by lvl desc) = 1),
+    told as (select doc_id, leaf, sub subroot, (select h from high where n = 1) root, sha256(proof) proof_sha256, e.h folded_root
+      from ends e join subs on src = e.tree)
+    select *, folded_root = root verified from told
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curioshelf.llm.merkle import manifest, tampered
+
+    documents = table(spark, sf_dir, "documents")
+    return manifest(documents, tampered(documents))
