@@ -81,9 +81,13 @@ class Lattice:
             i, s = self.pieces[run]
             return [(s, (i,))]
         into = self.edges(run)
-        best = [0.0]
+        # origin: the edge by which the best path comes to a place.  What it loses is nothing, also
+        # where the difference of two sums of fractions would not be nothing.
+        best, origin = [0.0], [0]
         for edges in into[1:]:
-            best.append(max([best[i] + s for i, s, _ in edges]))
+            totals = [best[i] + s for i, s, _ in edges]
+            best.append(max(totals))
+            origin.append(totals.index(best[-1]))
         # What is waiting, by what it loses against the best path.  The heuristic is exact, so each
         # stands for a whole path that loses just that, and no more than are asked for need wait.
         waiting: list[tuple] = [(0.0, 0, len(run), None)]
@@ -93,13 +97,14 @@ class Lattice:
             loss, _, j, link = waiting.pop(0)
             room = n - len(out) - 1
             while j:
-                # On along an edge that loses nothing; the others wait.
-                onward = None
-                for i, s, ids in into[j]:
-                    more = loss + (best[j] - best[i] - s)
-                    if more == loss and onward is None:
+                # On along the best edge, which loses nothing; the others wait.
+                straight = origin[j]
+                for k, (i, s, ids) in enumerate(into[j]):
+                    if k == straight:
                         onward = (i, (ids, link))
-                    elif len(waiting) < room or (room and more < waiting[-1][0]):
+                        continue
+                    more = loss + max(best[j] - best[i] - s, 0.0)
+                    if len(waiting) < room or (room and more < waiting[-1][0]):
                         pushed += 1
                         bisect.insort(waiting, (more, pushed, i, (ids, link)))
                         del waiting[room:]

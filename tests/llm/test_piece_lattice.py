@@ -48,6 +48,17 @@ def test_search_gives_paths_in_order(model):
     assert [s for s, _ in found] == brute(model, "tokenization", 20)
 
 
+def test_fractional_scores(model, monkeypatch):
+    """Scores of a unigram model are no whole numbers: sums differ by rounding, paths do not."""
+    r = random.Random(9)
+    monkeypatch.setattr(model, "pieces", {p: (i, -r.uniform(0.1, 9.9)) for p, (i, _) in model.pieces.items()})
+    for _ in range(80):
+        text = "".join(r.choice("abt heion.") for _ in range(r.randrange(1, 25)))
+        found = model.search(pl.SPACE + text.replace(" ", pl.SPACE), 8)
+        assert [s for s, _ in found] == pytest.approx(brute(model, text, 8))
+        assert len({ids for _, ids in found}) == len(found) and all(model.decode(ids) == text for _, ids in found)
+
+
 def test_tables(spark, odd_docs):
     rows = {(r["doc_id"], r["text"] or "") for r in odd_docs.collect()}
     encoded = pl.encode(odd_docs, PATH)
