@@ -38,6 +38,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def _kind(queries: np.ndarray, vectors: np.ndarray):
     """The cheapest number type in which all sums are exact."""
     most = float((np.abs(queries).max(0, initial=0) * np.abs(vectors).max(0, initial=0)).sum()) * 2
+    if most >= 2**63:
+        raise ValueError("scores may pass 64 bits")
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
@@ -49,6 +51,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def search_group(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K):
     """For each query the k best (scores, ids) among ``vectors``, without those of its own id."""
     kind = _kind(queries, vectors)
+    none = np.iinfo(np.int64).min if kind is np.int64 else -np.inf  # below every score
     queries, vectors = queries.astype(kind), vectors.astype(kind)
     signed = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1)
     found = [(np.zeros(0, kind), np.zeros(0, np.int64)) for _ in queries]
@@ -71,12 +74,11 @@ def search_group(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids:
             upper = (q @ front)[:, None] + q @ np.where(seen, twice - front, 0).T
             lower = (q @ ends)[:, None] + q @ np.where(seen, twice - ends, 0).T
             same = own[going, None] == names[None]
-            upper[same], lower[same] = np.iinfo(np.int32).min, np.iinfo(np.int32).min
-            bar = np.full(len(going), float(np.iinfo(np.int32).min) + 1)
+            lower[same] = none
+            bar = np.array([found[i][0][k - 1] if len(found[i][0]) == k else none for i in going], kind)
             if n > k:
                 bar = np.maximum(bar, np.partition(lower, n - k, axis=1)[:, n - k])
-            bar = np.maximum(bar, [found[i][0][k - 1] if len(found[i][0]) == k else -np.inf for i in going])
-            alive = upper >= bar[:, None]
+            alive = (upper >= bar[:, None]) & ~same
             number = alive.sum(1)
             done = (number <= FEW) | (depth == 1)
             for row in np.flatnonzero(done):

@@ -45,3 +45,16 @@ def test_large_numbers_are_exact():
         for i, (scores, ids) in enumerate(found):
             exact = [(-sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True)), j) for j in range(500) if j != i]
             assert [(-int(s), int(j)) for s, j in zip(scores, ids, strict=True)] == sorted(exact)[: topk.K]
+
+
+@pytest.mark.parametrize("most", [30, 30_000, 10**8])
+def test_scores_far_below_zero(most):
+    """Every score is negative and large; a query still gets all it can, and never itself."""
+    r = np.random.default_rng(2)
+    for n in (4, 5, 6, 200, 3000):
+        x = -r.integers(most // 2, most, (n, 64)).astype(float)
+        q = -x[:3]
+        found = topk.search_group(q, np.array([0, 1, 10**6]), x, np.arange(n))
+        for i, (scores, ids) in enumerate(found):
+            exact = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True)), j) for j in range(n) if j != (0, 1, 10**6)[i])
+            assert [(-int(s), int(j)) for s, j in zip(scores, ids, strict=True)] == exact[: topk.K]
