@@ -64,7 +64,8 @@ def test_table(spark, monkeypatch, shard_items):
 
 def test_documents(odd_docs):
     packed = packing.pack(packing.as_items(odd_docs))
-    want = sum(len((r["text"] or "").encode()) + 3 >> 2 for r in odd_docs.collect()) + odd_docs.count()
+    encode = tokenizer(public_tokenizers.path("word_bpe_49k.json")).tokenizer.encode
+    want = sum(len(encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
     assert packed.agg({"size": "sum"}).first()[0] == want
     assert packed.where("doc_id = 9").count() > 10 and packed.where("doc_id = 5").count() == 2
     assert packing.pack(packing.as_items(odd_docs.limit(0))).count() == 0
