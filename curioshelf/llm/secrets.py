@@ -28,11 +28,58 @@ LEAST_RATIO = 10.0  # natural logarithm, of the whole token
 SMOOTHING = 0.5
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
-_STARTS = (
-    "aggregate(zip_with(slice({g}, 1, size({m})), {m}, (x, y) -> named_struct('g', length(x), 'm', length(y))),"
-    " named_struct('at', 0, 's', cast(array() as array<int>)),"
-    " (acc, x) -> named_struct('at', acc.at + x.g + x.m, 's', array_append(acc.s, acc.at + x.g)), acc -> acc.s)"
-)
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _running(values: Column, joined) -> Column:
+    """For each element, all elements up to it joined: in steps of 1, 2, 4, ... elements."""
+
+    def of(held: Column) -> Column:
+        steps = F.filter(F.lit([1 << k for k in range(31)]), lambda k: k < F.size(held))
+        return F.aggregate(steps, held, lambda acc, k: F.transform(acc, lambda x, i: joined(x, F.get(acc, i - k))))
+
+    return _let(values, of)
+
+
+def _stretches(text: Column, places) -> Column:
+    """``places`` of a function that gives the stretch of code points from start to end.  The text is
+    cut into characters once."""
+    return _let(F.split(text, ""), lambda chars: places(lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (start, end) as stretches (start, end) that do not overlap; those that only touch
+    stay apart."""
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    paired = F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), reach.alias("reach"))
+
+    def heads(pairs: Column) -> Column:
+        each = F.transform(pairs, lambda p, i: F.struct(p["start"].alias("start"), F.get(pairs, i - 1)["reach"].alias("before")))
+        return F.filter(each, lambda h: h["before"].isNull() | (h["start"] >= h["before"]))
+
+    def stretches(pairs: Column) -> Column:
+        last = F.element_at(pairs, -1)["reach"]
+        closed = lambda held: F.transform(held, lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(held, i + 1)["before"], last).alias("end")))
+        return _let(heads(pairs), closed)
+
+    return _let(paired, stretches)
+
+
+def _replaced(text: Column, spans: Column, filling) -> Column:
+    """``text`` with ``filling(length)`` in place of every stretch under ``spans``, which are sorted."""
+
+    def pieces(stretch):
+        def of(held: Column) -> Column:
+            each = F.transform(held, lambda s, i: F.concat(stretch(F.coalesce(F.get(held, i - 1)["end"], F.lit(0)), s["start"]), filling(s["end"] - s["start"])))
+            return F.concat(F.array_join(each, ""), stretch(F.element_at(held, -1)["end"], F.length(text)))
+
+        return _let(_merged(spans), of)
+
+    return F.when(F.size(spans) > 0, _stretches(text, pieces)).otherwise(text)
 
 
 def _matches(df: DataFrame, name: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -45,30 +92,37 @@ def _matches(df: DataFrame, name: str, pattern: str, group: int, least: int) ->
     some = F.size("_m") > 0
     df = df.withColumn("_g", F.when(some, F.split(text, pattern, -1)).otherwise(none))
     df = df.withColumn("_v", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col("_m"))
-    df = df.withColumn("_s", F.when(some, F.expr(_STARTS.format(g="_g", m="_m"))).otherwise(F.array().cast("array<int>")))
-    spans = F.expr("transform(arrays_zip(_s, _m, _v), x -> named_struct('start', x._s, 'end', x._s + length(x._m), 'value', x._v))")
-    return df.withColumn(name, F.filter(spans.cast(_SPAN), lambda x: F.length(x["value"]) >= least)).drop("_m", "_g", "_v", "_s")
+    taken = F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda gap, match: F.length(gap) + F.length(match))
+    df = df.withColumn("_l", F.when(some, taken).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_s", _running(F.col("_l"), lambda x, y: x + F.coalesce(y, F.lit(0))))
+    spans = F.expr("transform(arrays_zip(_s, _m, _v), x -> named_struct('start', x._s - length(x._m), 'end', x._s, 'value', x._v))")
+    return df.withColumn(name, F.filter(spans.cast(_SPAN), lambda x: F.length(x["value"]) >= least)).drop("_m", "_g", "_v", "_l", "_s")
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """``documents`` (text, and whatever else) with the base spans of each kind and the long tokens
-    that no base span touches, as columns _assign, _access, _hex, _tokens.  Null texts are empty."""
+    """``documents`` (text, and whatever else) with the base spans of each kind and the long tokens of
+    what lies between them, as columns _assign, _access, _hex, _tokens.  Null texts are empty."""
     df = documents.withColumn("_text", F.coalesce("text", F.lit("")))
     for name, pattern, group, least in KINDS:
         df = _matches(df, f"_{name}", pattern, group, least)
-    df = _matches(df, "_tokens", TOKEN, 0, 16).drop("_text")
-    base = F.concat("_assign", "_access", "_hex")
-    free = F.when(F.size(base) == 0, F.col("_tokens")).otherwise(
-        F.filter("_tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    )
-    return df.withColumn("_tokens", free)
+    df = df.withColumn("_cut", F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda s: F.struct(s["start"], s["end"]))))
+    df = df.withColumn("_text", _replaced(F.col("_text"), F.col("_cut"), lambda n: F.repeat(F.lit(" "), n)))
+    return _matches(df, "_tokens", TOKEN, 0, 16).drop("_text", "_cut")
 
 
 def samples(scanned: DataFrame) -> DataFrame:
-    """Labelled samples (value, random) of a scanned table, from all its rows."""
-    random = scanned.select(F.explode(F.concat("_assign", "_access", "_hex")).alias("s")).select("s.value", F.lit(True).alias("random"))
-    plain = scanned.select(F.explode("_tokens").alias("s")).select("s.value", F.lit(False).alias("random"))
-    return random.unionByName(plain.where(F.col("value").rlike(ORDINARY)))
+    """Labelled samples (value, random) of a scanned table, from all its rows.  The table is best
+    written before (``kept``), as it is read once for each kind of sample and once more to be scored."""
+    # With explode in place of explode_outer, Spark would first scan the texts to see which have spans.
+    one = lambda spans, random: scanned.select(F.explode_outer(spans).alias("s")).select("s.value", F.lit(random).alias("random"))
+    random, plain = one(F.concat("_assign", "_access", "_hex"), True), one(F.col("_tokens"), False)
+    return random.where("value is not null").unionByName(plain.where(F.col("value").rlike(ORDINARY)))
+
+
+def _pairs(value: Column, joined) -> Column:
+    """``joined`` of each two neighbouring characters."""
+    both = lambda chars: F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), joined)
+    return _let(F.split(value, ""), both)
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -76,7 +130,7 @@ def train(labelled: DataFrame) -> list[float]:
 
     Only pair counts come to the driver: at most two for each pair of the alphabet.  Without samples
     of both kinds all ratios are 0 and no span is added."""
-    pairs = labelled.where(F.length("value") > 1).select("random", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))")).alias("pair"))
+    pairs = labelled.where(F.length("value") > 1).select("random", F.explode_outer(_pairs(F.col("value"), lambda a, b: F.concat(a, b))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     ratios = [0.0] * (128 * 128)
     if {random for random, _ in counts} != {True, False}:
@@ -92,8 +146,8 @@ def train(labelled: DataFrame) -> list[float]:
 def ratio(value: Column, ratios: Sequence[float]) -> Column:
     """Log-likelihood ratio of a token: its pairs' ratios added up."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    place = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, place(i) * 128 + place(i + 1) + 1))
+    found = _pairs(value, lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
+    return F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def score(scanned: DataFrame, ratios: Sequence[float]) -> DataFrame:
@@ -113,14 +167,4 @@ def listed(spans: str) -> Column:
 
 def redacted(text: Column, spans: str, mark: str = "[SECRET]") -> Column:
     """``text`` with every stretch of code points under ``spans`` (sorted) replaced by ``mark``."""
-    # acc.at: end of what has been dealt with.  Spans that overlap the last stretch lengthen it.
-    step = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(
-            (s["start"] >= acc["at"]) | (F.size(acc["parts"]) == 0),
-            F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("parts")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, step).otherwise(text)
+    return _replaced(text, F.col(spans), lambda n: F.lit(mark))

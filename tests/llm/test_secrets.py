@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,36 @@ def test_native_and_empty(odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert scored(odd_docs).count() == odd_docs.count() and scored(odd_docs.limit(0)).count() == 0
     assert "score" in scored(odd_docs).columns
+
+
+def test_what_a_base_span_leaves_of_a_token(docs_of):
+    """Random characters on either side of a base span are found too, and struck out."""
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    random_part = letters(40)
+    token = random_part + "-" + "0123456789abcdef" * 2 + "-" + random_part[::-1]
+    teach = [f"password={letters(24)} " + "".join(r.choice("aeinorst") for _ in range(24)) for _ in range(200)]
+    row = scored(docs_of([*teach, "é " + token + " end"])).withColumn("out", secrets.redacted(F.col("text"), "_spans")).orderBy(F.desc("doc_id")).first()
+    assert row["out"].startswith("é ") and row["out"].endswith(" end") and random_part not in row["out"] and random_part[::-1] not in row["out"]
+    at = [(s["kind"], s["start"], s["end"]) for s in row["_spans"]]
+    assert at == [("markov", 2, 43), ("hex", 43, 75), ("markov", 75, 116)]
+
+
+LENGTHS = {
+    "hex runs": (HEX[:32] + " ") * 31_000,
+    "assignments": "token=abcdef " * 80_000,
+    "one token": "Ab1_" * 250_000,
+    "one hex run": HEX * 21_000,
+}
+
+
+@pytest.mark.parametrize("name", LENGTHS)
+def test_long_texts_take_time_by_their_length(docs_of, name):
+    text = LENGTHS[name]
+    docs = docs_of([text, text, None])
+    start = time.monotonic()
+    rows = scored(docs).withColumn("out", secrets.redacted(F.col("text"), "_spans")).withColumn("told", secrets.listed("_base")).collect()
+    assert time.monotonic() - start < 60  # squared, this took from minutes to hours
+    for row in rows[:2]:
+        assert row["told"] == told(base(text)) and (row["_base"] or row["_tokens"][0]["end"] == len(text))
+        assert len(row["out"]) < len(text) or not row["_spans"]
