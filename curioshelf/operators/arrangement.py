@@ -202,10 +202,23 @@ def deck_reconcile(
 def resolve_places(
     columns: DataFrame, copies: DataFrame, decks: DataFrame, requests: DataFrame
 ) -> DataFrame:
-    """The column that each valid request leads to; see :func:`deck_place`."""
-    owners = copies.select("copy_id", "owner")
-    asked = _with_deck_owner(requests, decks).join(owners, "copy_id")
-    valid = latest(asked.filter(F.col("owner") == F.col("deck_owner")), "copy_id", "seq").drop("owner", "deck_owner")
+    """The column that each copy's last valid request leads to; see :func:`deck_place`."""
+    return _targets(columns, latest(valid_requests(copies, decks, requests), "copy_id", "seq"))
+
+
+def resolve_requests(columns: DataFrame, copies: DataFrame, decks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The column that each valid request leads to."""
+    return _targets(columns, valid_requests(copies, decks, requests))
+
+
+def valid_requests(copies: DataFrame, decks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests for a copy and a deck of one owner."""
+    asked = _with_deck_owner(requests, decks).join(copies.select("copy_id", "owner"), "copy_id")
+    return asked.filter(F.col("owner") == F.col("deck_owner")).drop("owner", "deck_owner")
+
+
+def _targets(columns: DataFrame, valid: DataFrame) -> DataFrame:
+    """The column that each request leads to."""
     section_first = _first_columns(columns, SECTION).select(
         *SECTION, F.col("first_section").alias("_section"), F.col("first_column").alias("_column")
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from curioshelf.operators import arrangement as A
 from curioshelf.operators import joins
 from curioshelf.operators import maintenance as M
+from curioshelf.operators.ranking import grouped_rank
+from curioshelf.operators.replay import deck_replay as deck_replay_of
 from curioshelf.plans.join_queries import NOTES, TAGS
 from curioshelf.plans.registry import query
 from curioshelf.session import settled
@@ -190,6 +192,41 @@ def deck_place_copies(v):
     return A.place_copies(v.copies, _placed(v)).select("copy_id", "deck_id", "collection_id")
 
 
+# The same requests one after another, and more for some of the copies: twice within one column, and
+# on to another deck of the owner.
+_REPLAY = f"""{_PLACE}
+ union all select copy_id, (added_day % 4) * 25 + owner, NULL, NULL, line_no, added_day + 5000 from copies where qty = 7 and line_no < 4
+ union all select copy_id, (added_day % 4) * 25 + owner, NULL, NULL, 1, added_day + 10000 from copies where qty = 7 and line_no = 2
+ union all select copy_id, ((added_day + 1) % 4) * 25 + owner, 'A', 'c1', 2, added_day + 20000 from copies where qty = 7 and line_no = 3"""
+_EVENTS = f"""with {_PLACED.replace(_PLACE, _REPLAY).replace("  qualify row_number() over (partition by r.copy_id order by r.seq desc) = 1", "")},
+    turns as (select *, lag(deck_id) over w last_deck, lag(section_id) over w last_section, lag(column_id) over w last_column
+      from target window w as (partition by copy_id order by seq)),
+    firsts as (select copy_id, seq from turns where last_deck is null),
+    events as (select {COLUMN}, seq, copy_id, 1 comes, coalesce("index"::varchar, '') spot from turns
+      union all select last_deck, last_section, last_column, seq, copy_id, 0, '' from turns where last_deck is not null
+      union all select {COLUMN}, f.seq, copy_id, 0, '' from placements join firsts f using (copy_id)),
+    asked as (select {COLUMN}, list([copy_id, comes::varchar, spot] order by seq, copy_id, comes) steps from events group by {COLUMN}),
+    held as (select {COLUMN}, list(copy_id order by pos, copy_id) cards from placements group by {COLUMN}),
+    done as (select {COLUMN}, list_reduce([coalesce(cards, []::varchar[])] || steps, lambda a, e:
+        CASE WHEN e[2] = '0' THEN list_filter(a, lambda x: x <> e[1])
+          WHEN e[3] = '' THEN a || [e[1]]
+          ELSE a[1:least(greatest(e[3]::bigint, 0), len(a))] || [e[1]] || a[least(greatest(e[3]::bigint, 0), len(a)) + 1:] END) cards
+      from asked left join held using ({COLUMN}))"""
+
+
+@query(
+    "deck_replay",
+    f"""{_EVENTS},
+    every as (select * from done union all select * from held where not exists (select 1 from asked
+      where asked.deck_id = held.deck_id and asked.section_id = held.section_id and asked.column_id = held.column_id))
+    select {COLUMN}, unnest(range(1, len(cards) + 1)) place, unnest(cards) copy_id from every""",
+)
+def deck_replay(v):
+    placed = deck_replay_of(v.placements, v.layout, v.copies, v.decks, v.sql(_REPLAY.replace('"index"', "index")))[0]
+    ranked = grouped_rank(placed, A.COLUMN, [("pos", "asc"), ("copy_id", "asc")], "place")
+    return ranked.select(*A.COLUMN, "place", "copy_id")
+
+
 _TAKE = """select copy_id, CASE WHEN line_no = 5 THEN owner + 1 ELSE owner END owner from copies where qty = 9"""
 _TAKEN = f"select t.copy_id from ({_TAKE}) t join copies c on c.copy_id = t.copy_id and c.owner = t.owner"
 
