@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from curioshelf.plans.registry import query
@@ -36,14 +37,22 @@ def catalog_read_json(v):
     return _bulk(v).select("id", "name", "type_line", "set", "variation")
 
 
+def _as_array(batches):
+    """The rows of a partition with brackets and commas, which make one array of them."""
+    before = "["
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": [(", " if n else before) + value for n, value in enumerate(values)]})
+        before = ", " if values else before
+    yield pa.RecordBatch.from_pydict({"value": ["]" if before != "[" else "[]"]})
+
+
 @query("catalog_read_array", 'select id, name, type_line, set_code as "set", variation from bulk where take = 1')
 def catalog_read_array(v):
-    """The same records as one JSON array, an element to a line, as the bulk files come."""
+    """The same records as JSON arrays, one to a file, several elements to a line."""
     folder = scratch(v.spark)
     records = v.bulk.filter("take = 1").withColumnRenamed("set_code", "set")
-    lines = records.select(F.concat(F.lit("  "), F.to_json(F.struct(*records.columns)), F.lit(",")).alias("value"))
-    edges = v.spark.createDataFrame([("[",), ("]",)], "value string")
-    lines.unionByName(edges).write.text(folder)
+    records.select(F.to_json(F.struct(*records.columns)).alias("value")).mapInArrow(_as_array, "value string").write.option("lineSep", "  ").text(folder)
     return ingest.catalog_read_json(v.spark, folder, array=True).select("id", "name", "type_line", "set", "variation")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curioshelf.sources.json_array import read_elements
 from curioshelf.sources.schema import (
     CARD,
     IMPORT,
@@ -24,21 +25,14 @@ NOT_A_CARD = ["Card", "Card // Card"]
 def catalog_read_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """Card records from JSON lines, or with ``array`` from files that hold one JSON array each.
 
-    An array is read line by line, so that a large file is split: every element stands on a line of
-    its own, with the brackets and commas around it.  A line that is something else is an error.
+    An array may be laid out in any way, and a large file is read in many tasks; see ``json_array``.
     Fields that the schema does not name are dropped.  The record's place in the input is kept in
     ``seq``.
     """
     if not array:
         return spark.read.schema(IMPORT).json(path).withColumn("seq", record_place())
-    lines = spark.read.text(path).withColumn("seq", record_place())
-    opened = F.regexp_replace("value", r"^\s*\[?\s*", "")
-    element = F.regexp_replace(opened, r"\s*,?\s*\]?\s*$", "")
-    records = lines.withColumn("element", element).filter(F.length("element") > 0)
-    whole = F.col("element").rlike(r"^\{.*\}$")
-    broken = F.raise_error(F.concat(F.lit("not one element to a line: "), F.substring("element", 1, 80)))
-    parsed = F.from_json(F.when(whole, F.col("element")).when(F.col("element") != "", broken), IMPORT)
-    return records.select(parsed.alias("record"), "seq").select("record.*", "seq")
+    parsed = read_elements(spark, path).select(F.from_json("text", IMPORT).alias("record"), "seq")
+    return parsed.select("record.*", "seq")
 
 
 def record_place() -> Column:
