@@ -200,7 +200,7 @@ def test_saved_searches(spark, cards):
         ],
         SEARCHES,
     )
-    matches = rows(searches.saved_search_match(stored, cards, salts=3))
+    matches = rows(searches.saved_search_match(stored, cards))
     assert matches == [(1, "c1"), (1, "c2"), (1, "c3"), (3, "c1"), (4, "c2"), (5, "c2")]
     assert rows(searches.saved_search_counts(stored, cards)) == [(1, 3), (2, 0), (3, 1), (4, 1), (5, 1)]
 

@@ -110,14 +110,27 @@ def test_most_of_a_hot_group_is_removed(spark, copies):
     assert gone < kept
 
 
-def test_saved_searches_spread_a_hot_key(spark):
-    """Every card has the same language, rarity and colours; the join keys still differ."""
-    cards = cards_of(spark, *[{"id": str(i)} for i in range(4000)])
+def test_saved_searches_with_a_hot_key(spark):
+    """Every card has the same language, rarity and colours.  Searches without text are counted by
+    cells, and one with text meets only the cards that have its rarest trigram."""
+    named = cards_of(spark, *[{"id": str(i), "name": "Needle" if i % 1000 == 7 else "Haystack"} for i in range(4000)])
     stored = spark.createDataFrame(
-        [(1, "en", 0, None, None, ["R"], None), (2, None, None, 9, None, None, None)],
+        [(1, "en", 0, None, None, ["R"], None), (2, None, None, 9, None, None, None), (3, "en", 0, None, None, ["R"], "needle"), (4, None, None, None, None, None, None)],
         "search_id int, lang string, rarity_min int, cmc_min int, cmc_max int, colors array<string>, name_part string",
     )
+    counts = {r.search_id: r.total for r in searches.saved_search_counts(stored, named).collect()}
+    assert counts == {1: 4000, 2: 0, 3: 4, 4: 4000}
+    only_text = stored.where("search_id = 3")
+    grams = [F.transform(searches._grams("name", F.lower("name_part")), lambda g: F.array(g))]
+    met = searches.candidates(only_text, named, [F.array(F.lit("lang:en"))], grams, {"lang", "name"})
+    assert met.count() == 4
+
+
+def test_counts_of_searches_without_text_meet_no_card(spark):
+    """The join of the plan has a row for each combination of what cards are counted by."""
+    cards = cards_of(spark, *[{"id": str(i), "cmc": float(i % 5)} for i in range(3000)])
+    stored = spark.createDataFrame([(i, None, 0, i % 4, None, None, None) for i in range(50)], "search_id int, lang string, rarity_min int, cmc_min int, cmc_max int, colors array<string>, name_part string")
     counts = {r.search_id: r.total for r in searches.saved_search_counts(stored, cards).collect()}
-    assert counts == {1: 4000, 2: 0}
-    salts = cards.select(F.pmod(F.xxhash64("id"), F.lit(searches.SALTS)).alias("s")).groupBy("s").count()
-    assert salts.agg(F.max("count")).first()[0] < 4000 / searches.SALTS * 1.5
+    assert counts == {i: 600 * (5 - i % 4) for i in range(50)}
+    pairs = searches.saved_search_match(stored, cards).groupBy("search_id").count()
+    assert {r.search_id: r["count"] for r in pairs.collect()} == counts
