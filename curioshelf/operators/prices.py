@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curioshelf.operators.asof import as_of
 from curioshelf.operators.ranking import grouped_rank
 
 # How long a cached row stays fresh, how many cards one refresh may ask for, the base
@@ -124,6 +125,26 @@ def price_convert(prices: DataFrame, rates: DataFrame, now) -> DataFrame:
     return fx_resolve(prices, rates, now).withColumn("amount", F.round(amount, 2).cast("decimal(18,2)"))
 
 
+def price_as_of(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests (card_id, at and others) with ``prices``, those last written before ``at`` within the
+    time to live; ``log`` has card_id, prices and updated_at."""
+    written = log.select("card_id", "prices", "updated_at")
+    found = as_of(requests, written, "card_id", "at", "updated_at", TIME_TO_LIVE)
+    return found.withColumn("prices", F.col("known.prices")).drop("known")
+
+
+def price_convert_as_of(payments: DataFrame, log: DataFrame) -> DataFrame:
+    """Payments (usd, target, at and others) with the rate in force at their time, and the amount,
+    rounded half up to cents; NULL without a rate of the last 24 hours.  ``log`` has base, target, rate
+    and updated_at."""
+    rates = log.filter(F.col("base") == BASE_CURRENCY).select(F.upper("target").alias("target"), "rate", "updated_at")
+    asked = payments.withColumn("target", F.upper("target"))
+    found = as_of(asked, rates, "target", "at", "updated_at", TIME_TO_LIVE)
+    rate = F.when(F.col("target") == BASE_CURRENCY, F.lit(1.0)).otherwise(F.col("known.rate"))
+    amount = F.col("usd").cast("decimal(12,2)") * rate.cast("decimal(18,6)")
+    return found.withColumn("rate", rate).withColumn("amount", F.round(amount, 2).cast("decimal(18,2)")).drop("known")
+
+
 def collection_value_in(
     copies: DataFrame, prices: DataFrame, rates: DataFrame, targets: DataFrame, now
 ) -> DataFrame:

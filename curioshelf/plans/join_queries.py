@@ -384,6 +384,39 @@ def price_convert(v):
     return converted.select("request_id", "target", F.col("amount").cast("double").alias("amount"))
 
 
+@query(
+    "price_as_of",
+    f"""select event_id, q.user_id card_id, {_CENTS.format('usd')} usd from
+    (select e.*, usd, row_number() over (partition by event_id order by updated_at desc) rn from events e
+      left join (select * from price_log where usd is not null) p on p.card_id = e.user_id and p.updated_at <= e.ts
+        and p.updated_at > e.ts - INTERVAL '24' HOUR where event_type = 'error') q where rn = 1""",
+)
+def price_as_of(v):
+    """Every failed visit with the price its card had at that moment."""
+    asked = v.sql("select event_id, user_id card_id, ts at from @events where event_type = 'error'")
+    found = prices.price_as_of(asked, _with_prices(v.price_log.where("usd is not null")))
+    return found.select("event_id", "card_id", "prices.usd")
+
+
+_PAID = """select event_id, CAST(value AS DECIMAL(12,2)) usd, ts paid_at,
+ CASE WHEN user_id % 3 = 0 THEN 'USD' WHEN user_id % 3 = 1 THEN chr(CAST(65 + user_id % 26 AS INT)) || chr(CAST(65 + (user_id % 26 * 7) % 26 AS INT))
+   || chr(CAST(65 + (user_id % 26 * 11) % 26 AS INT)) ELSE 'bhl' END target from events"""
+
+
+@query(
+    "price_convert_as_of",
+    f"""select event_id, upper(target) target, CAST(round(usd * CAST(CASE WHEN target = 'USD' THEN 1 ELSE rate END AS DECIMAL(18,6)), 2) AS DOUBLE) amount from
+    (select q.*, rate, row_number() over (partition by event_id order by updated_at desc) rn from ({_PAID}) q
+      left join (select target code, rate, updated_at from fx_log where base = 'USD') r on code = upper(target) and updated_at <= paid_at
+        and updated_at > paid_at - INTERVAL '24' HOUR) t where rn = 1""",
+)
+def price_convert_as_of(v):
+    """Payments at the rate of their time; a third of them are in one foreign currency."""
+    paid = v.sql(_PAID.replace("from events", "from @events")).withColumnRenamed("paid_at", "at")
+    out = prices.price_convert_as_of(paid, v.view("fx_log"))
+    return out.select("event_id", "target", F.col("amount").cast("double").alias("amount"))
+
+
 @query(
     "collection_value",
     f"""select "owner", CAST(coalesce(sum(p.usd), 0) AS DOUBLE) as value, count(*) copies, count(p.usd) priced
