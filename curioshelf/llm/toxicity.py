@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from curioshelf.llm.shingles import LETTERS, chunks, mix, slices, word_hashes
 
 TRAINING_ROWS = 16_000
-MOST_TERMS = 4_000
 LEAST_DOCUMENTS = 3
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
@@ -44,7 +43,7 @@ NEAR = 0.6
 class Model:
     """Everything a task needs to score a text; of bounded size."""
 
-    terms: np.ndarray  # sorted hashes, at most MOST_TERMS
+    terms: np.ndarray  # sorted hashes, no more than the labelled sample has words
     weights: np.ndarray  # of the terms, then of the patterns
     intercept: float
 
@@ -190,7 +189,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(len(_PATTERNS)), -4.0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (n - bad + 1))
     chosen = counts.where(f"bad >= {LEAST_DOCUMENTS}").withColumn("odds", odds).where("odds > 2.5 and bad >= 4 * good")
-    chosen = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(MOST_TERMS)
+    # Every term that passes counts; TRAINING_ROWS bounds how many there can be.
     learned = np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(np.uint64)
     insults = _hashes(INSULTS)
     terms = np.unique(np.concatenate((learned, insults)))
