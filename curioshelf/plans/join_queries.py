@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curioshelf.operators import joins, prices, rollups, text
+from curioshelf.operators import deltas, joins, prices, rollups, text
 from curioshelf.plans.paging_queries import in_order
 from curioshelf.plans.registry import query
 from curioshelf.plans.views import NOW
@@ -165,6 +165,56 @@ def group_members(v):
     return rollups.group_members(v.dense)
 
 
+# A batch of changes: some copies go, some move to another collection or out of their deck, and some
+# are made after the pattern of others.
+_GONE = "qty = 9"
+_MOVED = "qty in (7, 8)"
+_MADE = "qty = 5"
+
+
+def _changed_copies(v):
+    """(signed changes, the table after them)."""
+    copies = v.dense
+    fresh = copies.where(_MADE).withColumn("copy_id", F.concat(F.lit("new"), "copy_id"))
+    moved = copies.where(_MOVED)
+    as_moved = {
+        "collection_id": F.expr("CASE WHEN qty = 7 THEN (collection_id + 1) % 12 ELSE collection_id END"),
+        "deck_id": F.expr("CASE WHEN qty = 8 THEN NULL ELSE deck_id END"),
+    }
+    now = moved.withColumns(as_moved).unionByName(fresh)
+    gone = copies.where(_GONE).unionByName(moved)
+    after = copies.where(f"coalesce(not ({_GONE} or {_MOVED}), true)").unionByName(now)
+    return deltas.signed(gone, now), after
+
+
+_AFTER = f"""(select * replace (CASE WHEN qty = 7 THEN (collection_id + 1) % 12 ELSE collection_id END as collection_id,
+   CASE WHEN qty = 8 THEN NULL ELSE deck_id END as deck_id) from dense where coalesce(qty <> 9, true)
+ union all select * replace ('new' || copy_id as copy_id) from dense where {_MADE}) after"""
+
+
+@query("group_copies_updated", _GROUPS.replace("from dense", f"from {_AFTER}"))
+def group_copies_updated(v):
+    stored = rollups.group_copies(v.dense, v.cards, v.decks).select(*deltas.GROUP, "quantity")
+    return deltas.group_copies_updated(stored, _changed_copies(v)[0])
+
+
+@query(
+    "locations_updated",
+    f"""select collection_id, card_id, {NOTES} notes, {TAGS} tags, count(*) quantity,
+    count(*) filter (where deck_id is null) free_quantity from {_AFTER} where collection_id is not null group by all""",
+)
+def locations_updated(v):
+    stored = rollups.locations_by_collection(v.dense, v.cards).withColumnRenamed("location_id", "collection_id")
+    return deltas.locations_updated(stored.select(*deltas.LOCATION, "quantity", "free_quantity"), _changed_copies(v)[0])
+
+
+@query("first_ids_updated", f"select collection_id, min(copy_id) copy_id from {_AFTER} group by collection_id")
+def first_ids_updated(v):
+    changes, after = _changed_copies(v)
+    stored = v.dense.groupBy("collection_id").agg(F.min("copy_id").alias("copy_id"))
+    return deltas.first_ids_updated(stored, changes, after, ["collection_id"], "copy_id")
+
+
 @query("collection_size", "select collection_id, count(*) quantity from copies group by collection_id")
 def collection_size(v):
     return rollups.collection_size(rollups.group_copies(v.copies, v.cards, v.decks)).select(
