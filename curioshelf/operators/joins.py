@@ -7,7 +7,7 @@ down to distinct keys first, which happens before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curioshelf.functions.compose import where
@@ -125,15 +125,12 @@ def scan_enrich(scans: DataFrame, cards: DataFrame) -> DataFrame:
     none keeps one row whose candidate fields are NULL.
     """
     card = cards.select(F.col("id").alias("_card"), F.struct(*cards.columns).alias("card"))
-    of_detected = Window.partitionBy("detected")
-    found = scans.join(card, scans["card_id"] == F.col("_card"), "left")
-    found = found.withColumn("_known", F.count("_card").over(of_detected)).withColumn(
-        "_place", F.row_number().over(of_detected.orderBy("rank"))
-    )
-    some = F.col("_card").isNotNull()
-    kept = found.filter(some | ((F.col("_known") == 0) & (F.col("_place") == 1)))
-    given = [c if c == "detected" else F.when(some, F.col(c)).alias(c) for c in scans.columns]
-    return kept.select(*given, "card")
+    found = scans.join(card, scans["card_id"] == F.col("_card")).select(*scans.columns, "card")
+    # Detected cards are counted before they meet anything, so a hot one is a row a task.
+    every = scans.select("card_id", "detected").join(card.select("_card"), F.col("card_id") == F.col("_card"), "left")
+    lost = every.groupBy("detected").agg(F.count("_card").alias("_known")).filter("_known = 0")
+    blank = [c if c == "detected" else F.lit(None).cast(scans.schema[c].dataType).alias(c) for c in scans.columns]
+    return found.unionByName(lost.select(*blank, F.lit(None).cast(found.schema["card"].dataType).alias("card")))
 
 
 def scan_best_match(scans: DataFrame, cards: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_made: list[str] = []  # scratch folders of this driver
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -38,7 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """Path of a fresh folder in the shared folder."""
-    return f"{shared_folder(spark)}/curioshelf-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/curioshelf-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch folders that this driver has made, and returns their number.  Results that
+    read them can no longer be computed, so this comes after the last of them has been written."""
+    done = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def settled(df: DataFrame) -> DataFrame:
