@@ -36,6 +36,7 @@ HEADER = struct.Struct("<4sIqqqqq")
 BLOCK_IDS = 1 << 20
 LANES = 4096
 END_ID = 1
+SHELF = 4096  # buckets
 
 _SLOTS = 19  # bits of order-0 frequencies
 _GATE = 12  # bits of the weights
@@ -209,7 +210,7 @@ def _blocks(path: str, end_id: int | None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
-        bucket, number, held, docs, sizes = None, 0, [], [], []
+        bucket, number, held, docs, sizes, total = None, 0, [], [], [], 0
 
         def block():
             ids = np.concatenate(held)
@@ -223,14 +224,15 @@ def _blocks(path: str, end_id: int | None):
                 flat, counts = encoder.encode(texts)
                 bounds = np.concatenate(([0], np.cumsum(counts)))
                 for k, (doc, to) in enumerate(zip(ids, buckets, strict=True)):
-                    if docs and (to != bucket or sum(map(len, held)) >= BLOCK_IDS):
+                    if docs and (to != bucket or total >= BLOCK_IDS):
                         yield block()
-                        number, held, docs, sizes = (number + 1 if to == bucket else 0), [], [], []
+                        number, held, docs, sizes, total = (number + 1 if to == bucket else 0), [], [], [], 0
                     bucket = to
                     own = flat[bounds[k] : bounds[k + 1]]
                     held.append(own if end_id is None else np.append(own, np.int32(end_id)))
                     docs.append(doc)
                     sizes.append(len(held[-1]))
+                    total += sizes[-1]
         if docs:
             yield block()
 
@@ -246,7 +248,8 @@ def write_tokens(documents: DataFrame, path: str, folder: str, end_id: int | Non
     """
     docs, buckets = in_ranges(documents)
     key = F.col("key").alias("doc_id")
-    ordered = docs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "text").select(key, "text", "bucket")
+    # A bucket is a partition: by hash some partitions would get several, and others none.
+    ordered = docs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "key", "text").select(key, "text", "bucket")
     ordered.mapInArrow(_blocks(path, end_id), "bucket int, block int, ids long, data binary").write.parquet(folder)
 
 
@@ -274,7 +277,12 @@ def read_tokens(spark, folder: str, ids: bool = True) -> DataFrame:
     an error."""
     blocks = spark.read.schema("bucket int, block int, ids long, data binary").parquet(folder)
     sums = blocks.groupBy("bucket").agg(F.sum("ids").alias("ids"))
-    before = sums.select("bucket", (F.sum("ids").over(Window.orderBy("bucket")) - F.col("ids")).alias("before"))
+    # Ids before a bucket: those of the shelves before its own, and of the buckets before it on that.
+    sums = sums.withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    shelves = sums.groupBy("shelf").agg(F.sum("ids").alias("held"))
+    shelves = shelves.select("shelf", (F.sum("held").over(Window.orderBy("shelf")) - F.col("held")).alias("earlier"))
+    on_shelf = F.sum("ids").over(Window.partitionBy("shelf").orderBy("bucket")) - F.col("ids")
+    before = sums.withColumn("on_shelf", on_shelf).join(shelves, "shelf").select("bucket", (F.col("earlier") + F.col("on_shelf")).alias("before"))
     inside = F.sum("ids").over(Window.partitionBy("bucket").orderBy("block")) - F.col("ids")
     starts = blocks.select("bucket", "block", "ids").withColumn("inside", inside).join(before, "bucket")
     placed = blocks.join(starts.select("bucket", "block", (F.col("before") + F.col("inside")).alias("start")), ["bucket", "block"])
