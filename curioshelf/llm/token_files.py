@@ -1,19 +1,20 @@
-"""Token ids in compressed blocks: an escape coder of three orders and a range coder.
+"""Token ids in compressed blocks: a context mixture of three orders and a range coder.
 
 A block holds the ids of whole documents.  Its ids are dealt to lanes, runs of equal length that are
 coded side by side, so that one step codes an id of every lane with array operations.  All lanes of
 a block learn one model; it starts anew with each block, so blocks are read independently.
 
-The model has three predictions of the next id: the id that last followed the two ids before
-(order 2), the one that last followed the id before (order 1), and the frequencies of the block so
-far (order 0).  An id is coded in one step of 32 bits by the first order that predicts it, and the
-probabilities of the orders are not added up.  The weights of the orders are learned, for each pair
-of confidences of the order-2 and the order-1 prediction and whether the two agree.  Where lanes
-share a context the last counts.
+The model has three predictions of the next id: counts of the ids that followed the two ids before
+(order 2) and of those that followed the one before (order 1), both for a few ids a context, and the
+frequencies of the block so far (order 0).  The probability of an id is the weighted sum of what the
+three give it, and ids have disjoint intervals in ascending order, so one step of 30 bits codes any
+id.  The weights are learned for each class of confidence of orders 2 and 1, by the part that each
+order had in the probability of the ids seen.  All of it is whole-number arithmetic, the same on
+every machine.  Where lanes share a context the last counts.
 
 Block format, little endian: magic, checksum of all that follows (crc32), then five counts
 (documents, ids, size of the vocabulary, lanes, words), document ids, ids per document, words per
-lane, words.
+lane (two bytes each, or four for lanes of over 16,000 ids), words.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from curioshelf.llm.fingerprints import in_ranges
 from curioshelf.llm.tokens import tokenizer
 from curioshelf.session import scratch
 
-MAGIC = b"CMTB"
+MAGIC = b"CMT2"
 HEADER = struct.Struct("<4sIqqqqq")
 BLOCK_IDS = 1 << 20
 LANES = 4096
@@ -39,9 +40,47 @@ END_ID = 1
 SHELF = 4096  # buckets
 
 _SLOTS = 19  # bits of order-0 frequencies
-_GATE = 12  # bits of the weights
+_GATE = 11  # bits of the weights
+_KEPT = (1, 4)  # followers counted in a context of order 2 and of order 1
+_PLACES = 17  # bits of contexts of order 2
+_MOST = 250  # count at which the counts of a context are halved
+_LEVEL = np.array([0, 1, 1, *[2] * 6, *[3] * (_MOST * 4)])  # class of a context's total
 _U = np.uint64
 _STATE, _LOW = _U((1 << 56) - 1), _U(1 << 40)
+_UNIT, _WHOLE = _U(_SLOTS + _GATE), _U(1 << (_SLOTS + _GATE))
+
+
+class _Followers:
+    """For every context the ids that followed it most, each in one number with its count."""
+
+    def __init__(self, contexts: int, kept: int):
+        self.contexts, self.kept = contexts, kept
+        self.table = np.zeros((kept, contexts), np.int32)
+
+    def look(self, at: np.ndarray) -> None:
+        """Ids and counts kept in the contexts, the sums of the counts, and the greatest."""
+        self.at, both = at, self.table.take(at, axis=1)
+        self.found, self.count = both >> 8, both & 255
+        self.total, self.top = np.add.reduce(self.count, 0, np.int32), np.maximum.reduce(self.count, 0)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """A follower that is kept gains; another one wears the rarest down and then takes its place.
+        Of lanes that share a context and a place in it the last counts."""
+        had, held, slot = self.count[0], self.found[0], np.zeros(len(ids), np.int32)
+        for k in range(1, self.kept):
+            rarer = self.count[k] < had
+            had, held, slot = np.minimum(self.count[k], had), np.where(rarer, self.found[k], held), np.where(rarer, k, slot)
+        known = np.logical_or.reduce(hit, 0)
+        held = np.where(known, ids, held)
+        for k in range(self.kept):
+            had, slot = np.where(hit[k], self.count[k], had), np.where(hit[k], k, slot)
+        new = np.where(known | (had > 2), (held << 8) + had + np.where(known, 2, -1), (ids << 8) + 2)
+        self.table.reshape(-1)[slot * self.contexts + self.at] = new
+        full = self.at[known & (had >= _MOST)]
+        if len(full):
+            full = np.unique(full)
+            both = self.table[:, full]
+            self.table[:, full] = (both & ~255) | ((both & 255) >> 1)
 
 
 class _Model:
@@ -49,21 +88,17 @@ class _Model:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
-        self.votes = np.ones((32, 3), np.int64)
+        self.one, self.two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.second, self.first = _Followers(1 << _PLACES, _KEPT[0]), _Followers(vocabulary, _KEPT[1])
+        self.votes = np.full((3, 64), 256, np.int64)
         self.counts, self.recent, self.seen, self.due = np.zeros(vocabulary, np.int64), [], 0, 0
         self._weigh()
         self._rank()
 
     def _weigh(self) -> None:
-        share = self.votes[:, 1:] * ((1 << _GATE) - 3) // self.votes.sum(1, keepdims=True) + 1
-        w0 = (1 << _GATE) - share.sum(1)
-        self.w0, self.w01 = w0, w0 + share[:, 0]
-        # Where the interval of order 1 or 2 starts, and its width, by gate and order.
-        self.start = np.stack((np.zeros_like(w0), w0, self.w01), axis=1).reshape(-1).astype(_U) << _U(_SLOTS)
-        self.width = np.stack((w0, share[:, 0], share[:, 1]), axis=1).reshape(-1).astype(_U) << _U(_SLOTS)
+        """Weights of orders 0, 1 and 2 by gate; none is zero, so every id can be coded."""
+        w1, w2 = self.votes[1:] * ((1 << _GATE) - 3) // self.votes.sum(0) + 1
+        self.weights = np.stack(((1 << _GATE) - w1 - w2, w1, w2)).astype(np.int32)
 
     def _rank(self) -> None:
         """Order-0 frequencies from all ids so far; each id keeps at least one slot."""
@@ -75,34 +110,54 @@ class _Model:
         if total:
             slots += self.counts * ((1 << _SLOTS) - self.vocabulary) // total
         slots[int(slots.argmax())] += (1 << _SLOTS) - int(slots.sum())
-        self.before = (np.cumsum(slots) - slots).astype(_U)
-        self.slots = slots.astype(_U)
-        self.slot_id = np.repeat(np.arange(self.vocabulary), slots)
+        self.before, self.slots = (np.cumsum(slots) - slots).astype(np.int32), slots.astype(np.int32)
+        self.slot_id = np.repeat(np.arange(self.vocabulary, dtype=np.int32), slots)
         self.due = self.seen + max(LANES, self.seen // 4)
 
-    def predict(self) -> np.ndarray:
-        """Weight of order 0 for each lane, after the guesses of the others."""
-        self.place = (self.one * 40503 + self.two * 60493) & 0x1FFFF
-        self.guess2, self.guess1 = self.next2.take(self.place), self.next1.take(self.one)
-        self.s2, self.s1 = self.sure2.take(self.place), self.sure1.take(self.one)
-        self.gate = (np.minimum(self.s2, 3) * 4 + np.minimum(self.s1, 3)) * 2 + (self.guess1 == self.guess2)
-        return self.w0.take(self.gate)
-
-    def interval(self, ids: np.ndarray, order: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width, of 2**32, of the interval of each lane's id in the given order."""
-        at, free, w = self.gate * 3 + order, order == 0, w0.astype(_U)
-        start = np.where(free, w * self.before.take(ids), self.start.take(at))
-        return start << _U(20 - _SLOTS), np.where(free, w * self.slots.take(ids), self.width.take(at)) << _U(20 - _SLOTS)
-
-    def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
-        self.votes += np.bincount(self.gate * 3 + order, minlength=96).reshape(32, 3)
-        high = self.votes.sum(1) > 1 << 20
-        self.votes[high] = self.votes[high] // 2 + 1
-        for follow, sure, at, guess, s in ((self.next2, self.sure2, self.place, self.guess2, self.s2), (self.next1, self.sure1, self.one, self.guess1, self.s1)):
-            right = guess == ids
-            # Where lanes share a context the last lane counts, in coder and decoder alike.
-            follow[at] = np.where(right | (s > 0), guess, ids)
-            sure[at] = np.where(right, np.minimum(s + 1, 15), s >> 1)
+    def predict(self) -> None:
+        """The ids that orders 2 and 1 know for each lane, and what they add to order 0 for each."""
+        two, one = self.second, self.first
+        two.look((self.one.astype(np.int64) * 40503 + self.two.astype(np.int64) * 60493) & ((1 << _PLACES) - 1))
+        one.look(self.one)
+        self.gate = (_LEVEL.take(two.total) * 4 + _LEVEL.take(one.total)) * 4 + (one.top * 2 > one.total) * 2 + (two.top > 6)
+        self.w0, w1, w2 = self.weights.take(self.gate, axis=1)
+        self.found = np.concatenate((two.found, one.found))
+        self.mass = np.concatenate((two.count * ((w2 << _SLOTS) // np.maximum(two.total, 1)), one.count * ((w1 << _SLOTS) // np.maximum(one.total, 1))))
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each lane's id, of 2**30: what the three orders give to the ids below
+        it, and to the id itself."""
+        self.hit = self.found == ids
+        self.part = self.hit * self.mass
+        self.own = self.w0 * self.slots.take(ids)
+        below = np.add.reduce((self.found < ids) * self.mass, 0, np.int32)
+        return self.w0 * self.before.take(ids) + below, self.own + np.add.reduce(self.part, 0, np.int32)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id of each lane whose interval holds the value."""
+        found, mass, w0 = self.found, self.mass, self.w0
+        upto = np.add.reduce((found[:, None] <= found[None]) * mass[:, None], 0, np.int32)
+        later = w0 * (self.before.take(found) + self.slots.take(found)) + upto > value
+        # Without what known ids below have added, the value is a place in order 0, unless it lies in
+        # the first known id that ends behind it.
+        rest = value - np.add.reduce(~later * mass, 0, np.int32)
+        first = np.where(later, found, self.vocabulary).min(0)
+        known = np.minimum(first, self.vocabulary - 1)
+        inside = (first < self.vocabulary) & (rest >= w0 * self.before.take(known))
+        return np.where(inside, known, self.slot_id.take(rest // w0, mode="clip"))
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Learns the ids of the last :meth:`interval`."""
+        kept = _KEPT[0]
+        two, one = np.add.reduce(self.part[:kept], 0, np.int64), np.add.reduce(self.part[kept:], 0, np.int64)
+        all_three = self.own + one + two
+        two, one = (two << 8) // all_three, (one << 8) // all_three
+        for order, part in enumerate((256 - one - two, one, two)):
+            self.votes[order] += np.bincount(self.gate, part, 64).astype(np.int64)
+        high = self.votes.sum(0) > 1 << 24
+        self.votes[:, high] = self.votes[:, high] // 2 + 1
+        self.second.learn(ids, self.hit[:kept])
+        self.first.learn(ids, self.hit[kept:])
         self.two, self.one = self.one, ids
         self.recent.append(ids)
         self.seen += len(ids)
@@ -124,15 +179,20 @@ def _normal(low: np.ndarray, size: np.ndarray, shift) -> None:
         at = at[size[at] < _LOW]
 
 
+def _ends(steps: int) -> str:
+    """Kind of number that holds the words of a lane."""
+    return "<u2" if 4 * steps + 8 < 1 << 16 else "<i4"
+
+
 def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """Bytes of a block of documents: their ids, the number of token ids of each, all token ids."""
     n = len(ids)
     vocabulary = int(ids.max(initial=0)) + 1
     if vocabulary > 1 << (_SLOTS - 1):
         raise ValueError(f"token ids must be below {1 << (_SLOTS - 1)}")
-    lanes = max(1, min(LANES, n // 128))
+    lanes = max(1, min(LANES, n // 256))
     steps = -(-n // lanes)
-    laid = np.zeros(lanes * steps, np.int64)
+    laid = np.zeros(lanes * steps, np.int32)
     laid[:n] = ids
     laid = np.ascontiguousarray(laid.reshape(lanes, steps).T)
     model = _Model(vocabulary, lanes)
@@ -144,17 +204,16 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> by
         ends[at] += 1
 
     for now in laid:
-        w0 = model.predict()
-        order = np.where(now == model.guess2, 2, (now == model.guess1).astype(np.int64))
-        start, width = model.interval(now, order, w0)
-        unit = size >> _U(32)
-        low += unit * start
-        size = unit * width
+        model.predict()
+        start, width = model.interval(now)
+        unit = size >> _UNIT
+        low += unit * start.astype(_U)
+        size = unit * width.astype(_U)
         _normal(low, size, shift)
-        model.learn(now, order)
+        model.learn(now)
     shift(np.arange(lanes), (low + _LOW - _U(1)) & ~(_LOW - _U(1)))
     taken = words[np.arange(words.shape[1])[None] < ends[:, None]]
-    body = b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), counts.astype("<i8"), ends.astype("<i4"), taken.astype("<u2")))
+    body = b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), counts.astype("<i8"), ends.astype(_ends(steps)), taken.astype("<u2")))
     counts_of = struct.pack("<5q", len(doc_ids), n, vocabulary, lanes, len(taken))
     return MAGIC + struct.pack("<I", zlib.crc32(counts_of + body)) + counts_of + body
 
@@ -164,13 +223,12 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if block[:4] != MAGIC or len(block) < HEADER.size or zlib.crc32(block[8:]) != struct.unpack("<I", block[4:8])[0]:
         raise ValueError("not a whole token block")
     _, _, docs, n, vocabulary, lanes, total = HEADER.unpack_from(block)
-    at = HEADER.size
+    at, steps = HEADER.size, -(-n // lanes)
     fields = []
-    for kind, number in (("<i8", docs), ("<i8", docs), ("<i4", lanes), ("<u2", total)):
+    for kind, number in (("<i8", docs), ("<i8", docs), (_ends(steps), lanes), ("<u2", total)):
         fields.append(np.frombuffer(block, kind, number, at))
         at += np.dtype(kind).itemsize * number
     doc_ids, counts, ends, taken = fields
-    steps = -(-n // lanes)
     # The state has seven bytes: after the first seven, 16 bits at a time are moved in.
     words = np.zeros((lanes, max(int(ends.max(initial=0)), 4) + 6), ">u2")
     words[np.arange(words.shape[1])[None] < ends[:, None]] = taken
@@ -181,27 +239,22 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stream = np.ascontiguousarray(raw[:, 7:-1]).view(">u2").astype(_U)
     model = _Model(vocabulary, lanes)
     low, size, place = np.zeros(lanes, _U), np.full(lanes, _STATE, _U), np.zeros(lanes, np.int64)
-    out = np.empty((steps, lanes), np.int64)
+    out = np.empty((steps, lanes), np.int32)
 
     def shift(at, a):
         code[at] = ((code[at] << _U(16)) & _STATE) | stream[at, np.minimum(place[at], stream.shape[1] - 1)]
         place[at] += 1
 
     for step in range(steps):
-        w0 = model.predict()
-        unit = size >> _U(32)
-        value = np.minimum((code - low) // unit, _U((1 << 32) - 1)).astype(np.int64) >> (20 - _SLOTS)
-        gate = value >> _SLOTS
-        order = (gate >= w0).astype(np.int64) + (gate >= model.w01.take(model.gate))
-        now = np.where(order == 2, model.guess2, model.guess1)
-        free = np.flatnonzero(order == 0)
-        now[free] = model.slot_id.take(value.take(free) // w0.take(free))
-        start, width = model.interval(now, order, w0)
-        low += unit * start
-        size = unit * width
+        model.predict()
+        unit = size >> _UNIT
+        now = model.find(np.minimum((code - low) // unit, _WHOLE - _U(1)).astype(np.int32))
+        start, width = model.interval(now)
+        low += unit * start.astype(_U)
+        size = unit * width.astype(_U)
         _normal(low, size, shift)
         out[step] = now
-        model.learn(now, order)
+        model.learn(now)
     return doc_ids, counts, np.ascontiguousarray(out.T).reshape(-1)[:n]
 
 
