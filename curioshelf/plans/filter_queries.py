@@ -8,8 +8,10 @@ from curioshelf.functions import predicates as P
 from curioshelf.functions.colors import COLOR_WORDS, COMBINATIONS
 from curioshelf.functions.compose import all_of, any_of, none_of, where
 from curioshelf.operators import joins, searches
+from curioshelf.operators.substring import add_grams, search_grams
 from curioshelf.plans.registry import query
 from curioshelf.plans.views import color_array
+from curioshelf.session import scratch
 
 W, U, B, R, G = 1, 2, 4, 8, 16
 
@@ -82,6 +84,16 @@ def f_oracle(v):
     return where(cards, P.f_oracle("TION OF")).select("id", "lang")
 
 
+@query("substring_index", "select doc_id id, lang from documents where contains(lower(text), 'tion of')")
+def substring_index(v):
+    """The same through the lists of three characters, filed in two batches."""
+    cards = v.sql("select doc_id id, text oracle_text, lang from @documents")
+    folder = scratch(v.spark)
+    for part in ("lang = 'en'", "lang is distinct from 'en'"):
+        add_grams(cards.filter(part), "oracle_text", folder, buckets=8)
+    return search_grams(cards, "oracle_text", folder, "TION OF", buckets=8).select("id", "lang")
+
+
 _WORDS = list(COLOR_WORDS)
 
 
