@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curioshelf.functions.keys import sort_key
+from curioshelf.operators import page_directory as directory
 from curioshelf.operators import paging, sorting
 from curioshelf.operators.ranking import grouped_rank
 from curioshelf.plans.filter_queries import _RARITY, color_place
 from curioshelf.plans.registry import query
+from curioshelf.session import scratch
 
 
 def stat(field: str, other: int) -> str:
@@ -111,6 +113,39 @@ def merge_pages_dedupe(v):
     return paging.merge_pages_dedupe(one("cmc <= 5", " v1"), one("cmc >= 4", " v2"))
 
 
+# Stored by rarity; then cards that cost much are taken out, and cheap ones come back as rare ones.
+_CHANGED = f"""select id, name, {_RARITY} k from (select id, name,
+    CASE WHEN cmc < 2 THEN 'rare' ELSE rarity END rarity from cards where cmc < 5) t"""
+
+
+def _stored_by_rarity(v) -> str:
+    path = scratch(v.spark)
+    cards = v.cards.select("id", "name", "rarity", "cmc")
+    directory.write_directory(cards, path, "rarity", "desc", range_rows=100)
+    again = cards.filter("cmc < 2").withColumn("rarity", F.lit("rare"))
+    directory.update_directory(v.spark, path, cards.filter("cmc < 2 or cmc >= 5 or cmc is null"), again, "rarity", "desc", range_rows=100)
+    return path
+
+
+@query(
+    "page_directory",
+    f"""select id, name, row_number() over (order by k desc nulls last, id) row_no from ({_CHANGED}) t
+    qualify row_no between 151 and 200""",
+)
+def page_of_directory(v):
+    """A page of a stored order after changes."""
+    return directory.stored_page(v.spark, _stored_by_rarity(v), 4, 50).select("id", "name", "row_no")
+
+
+@query(
+    "page_directory_info",
+    f"""select count(*) total, 4 page, 50 page_len, CAST(ceil(count(*) / 50.0) AS BIGINT) total_pages,
+    4 < ceil(count(*) / 50.0) has_more from ({_CHANGED}) t""",
+)
+def info_of_directory(v):
+    return directory.stored_page_info(v.spark, _stored_by_rarity(v), 4, 50)
+
+
 _RECENT = "id, name, is_active, owner, row_number() over (order by updated_at desc nulls last, id) place"
 
 
