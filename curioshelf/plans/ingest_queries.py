@@ -146,3 +146,17 @@ def price_upsert_stream(v):
     return streams.stored_prices(v.spark, sink).select(
         "card_id", F.col("usd").cast("double").alias("usd")
     )
+
+
+@query(
+    "price_stale_stream",
+    """select card_id, updated_at from (select card_id, max(updated_at) updated_at from price_log group by card_id) t
+    where updated_at <= (select max(updated_at) from price_log) - INTERVAL '24' HOUR""",
+)
+def price_stale_stream(v):
+    """Cards that are stale when the last update of the log comes in."""
+    source, sink, checkpoint = scratch(v.spark), scratch(v.spark), scratch(v.spark)
+    v.price_log.write.parquet(source)
+    updates = v.spark.readStream.schema(v.price_log.schema).parquet(source)
+    streams.price_stale_stream(updates, sink, checkpoint, delay="0 seconds").awaitTermination()
+    return streams.stale_now(v.spark, sink, streams.latest(v.price_log, "card_id", "updated_at"))

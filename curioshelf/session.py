@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _local: dict[str, str] = {}
 _made: list[str] = []  # scratch folders of this driver
 
@@ -15,11 +16,13 @@ _made: list[str] = []  # scratch folders of this driver
 def tune(spark: SparkSession) -> SparkSession:
     """Settings the operators are written for: adaptive plans, splitting of skewed look-up joins
     even where that costs a later aggregation one more exchange, and broadcasting a look-up side
-    whose size, once it has been measured at run time, is small next to an executor."""
+    whose size, once it has been measured at run time, is small next to an executor.  The state of
+    streams is kept on disk, not in the memory of executors."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "128m")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from curioshelf.operators.prices import price_upsert
+from curioshelf.operators.prices import price_stale, price_upsert
 from curioshelf.sources import ingest
 from curioshelf.sources.schema import REQUIRED
 from curioshelf.streaming import streams
@@ -169,3 +169,50 @@ def test_price_stream(spark, tmp_path):
     streams.compact_prices(spark, sink, str(tmp_path / "short"))
     assert rows(streams.stored_prices(spark, str(tmp_path / "short"))) == expected
     assert spark.read.parquet(str(tmp_path / "short")).count() == 3
+
+
+def test_the_sink_is_never_read(spark, tmp_path):
+    """What was stored can even be moved away: ids seen are in the state of the query."""
+    source, checkpoint = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    (source / "a b%20[1].json").write_text("\n".join(json.dumps(r) for r in [record(), record(name="Second"), record(id="m")]))
+    streams.ingest_stream(spark, str(source), str(tmp_path / "one"), checkpoint, 1).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "one")), "id", "name") == [("a", "Plain"), ("m", "Plain")]
+    (source / "2.json").write_text("\n".join(json.dumps(r) for r in [record(name="Later"), record(id="n")] + [record(id="m")] * 50))
+    (source / "3.json").write_text("\n".join(json.dumps(r) for r in [record(id="n", name="Later"), record(id="o")]))
+    streams.ingest_stream(spark, str(source), str(tmp_path / "two"), checkpoint, 1).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "two")), "id", "name") in (
+        [("n", "Plain"), ("o", "Plain")],
+        [("n", "Later"), ("o", "Plain")],
+    )
+
+
+def test_rejected_records_are_not_seen(spark, tmp_path):
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    (source / "1.json").write_text("\n".join([json.dumps(record(digital=True)), "{not json", json.dumps(record(name=""))]))
+    streams.ingest_stream(spark, str(source), sink, checkpoint, 1).awaitTermination()
+    assert spark.read.parquet(sink).count() == 0
+    (source / "2.json").write_text(json.dumps(record()))
+    streams.ingest_stream(spark, str(source), sink, checkpoint, 1).awaitTermination()
+    assert rows(spark.read.parquet(sink), "id", "name") == [("a", "Plain")]
+
+
+def test_stale_prices_by_timers(spark, tmp_path):
+    source, sink, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    hours = {"c0": [0, 20], "c1": [0, 24], "c2": [30], "c3": [6], "c4": [20, 40], "c5": [0]}
+    log = spark.createDataFrame([(c, h) for c, every in hours.items() for h in every], "card_id string, h int").selectExpr(
+        "card_id", "timestamp_ntz'2024-03-30 00:00:00' + make_interval(0, 0, 0, 0, h) updated_at"
+    )
+    undated = spark.sql("select 'c9' card_id, cast(null as timestamp_ntz) updated_at")
+    told = []
+    for number, part in enumerate(["hour(updated_at) is null or updated_at < '2024-03-30 12:00:00'", "updated_at >= '2024-03-30 12:00:00' and updated_at < '2024-03-31 10:00:00'", "updated_at >= '2024-03-31 10:00:00'"]):
+        log.unionByName(undated).filter(part).coalesce(1).write.mode("append").parquet(source)
+        updates = spark.readStream.schema(log.schema).parquet(source)
+        streams.price_stale_stream(updates, sink, state, "0 seconds").awaitTermination()
+        cache = log.filter({0: "updated_at < '2024-03-30 12:00:00'", 1: "updated_at < '2024-03-31 10:00:00'", 2: "true"}[number])
+        now = cache.agg({"updated_at": "max"}).first()[0]
+        want = price_stale(log.filter("false").select("card_id").unionByName(cache.select("card_id")), cache, str(now))
+        told.append(rows(streams.stale_now(spark, sink, streams.latest(cache, "card_id", "updated_at")), "card_id"))
+        assert told[-1] == rows(want), number
+    assert told[0] == [] and told[2] == [("c3",), ("c5",)]
