@@ -13,9 +13,10 @@ deck, however large, has to fit in one row or one task:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curioshelf.operators.asof import as_of
 from curioshelf.operators.prices import latest
 from curioshelf.operators.ranking import grouped_rank
 from curioshelf.session import settled
@@ -255,14 +256,15 @@ def _made(asked: str) -> Column:
 def _runs(placed: DataFrame) -> DataFrame:
     """Requests with ``_start`` and ``_first``: index and seq of the first of their run.  A run is a
     drop of several copies: neighbouring requests of a column whose indices rise by one."""
-    in_turn = Window.partitionBy(*COLUMN).orderBy("seq", "copy_id")
     rows = placed.withColumn("_at", F.when(F.col("index").isNotNull(), F.greatest("index", F.lit(0))))
-    rows = rows.withColumn("_before", F.lag("_at").over(in_turn))
-    goes_on = F.coalesce(F.col("_before") + 1 == F.col("_at"), F.lit(False))
-    begun = F.max(F.when(~goes_on, F.struct("seq", "copy_id", "_at")))
-    return rows.withColumn("_run", begun.over(in_turn.rowsBetween(Window.unboundedPreceding, 0))).select(
-        *placed.columns, F.col("_run._at").alias("_start"), F.col("_run.seq").alias("_first")
-    )
+    # Numbered in ranges and looked back by number: a column that gets most requests is many tasks.
+    turns = settled(grouped_rank(rows, COLUMN, [("seq", "asc"), ("copy_id", "asc")], "_no"))
+    before = turns.select(*COLUMN, (F.col("_no") + 1).alias("_no"), (F.col("_at") + 1).alias("_next"))
+    goes_on = F.coalesce(F.col("_next") == F.col("_at"), F.lit(False))
+    column = F.struct(*COLUMN).alias("_column")
+    begun = turns.join(before, [*COLUMN, "_no"], "left").filter(~goes_on).select(column, F.col("_no").alias("_from"), "_at", "seq")
+    known = as_of(turns.withColumn("_column", column), begun, "_column", "_no", "_from", "CAST(9223372036854775807 AS BIGINT)")
+    return known.select(*placed.columns, F.col("known._at").alias("_start"), F.col("known.seq").alias("_first"))
 
 
 def place_rows(placements: DataFrame, placed: DataFrame) -> DataFrame:

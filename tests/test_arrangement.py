@@ -289,3 +289,24 @@ def test_only_empty_sections_and_columns_are_deleted(spark, columns):
     assert rows(left, "section_id", "section_name", "column_id") == sorted(
         [("s1", "Main", "a"), ("s2", "Side", None), ("s3", "Bare", None)], key=repr
     )
+
+
+def test_runs_of_a_hot_column(spark):
+    """Most requests go to one column: runs are those of one look after another, over many ranges."""
+    r = random.Random(5)
+    asked, want, at = [], {}, None
+    for k in range(3000):
+        hot = k % 10 != 0
+        index = None if r.random() < 0.05 else (at + 1 if hot and at is not None and r.random() < 0.8 else r.randrange(-3, 40))
+        asked.append((f"p{k}", k // 2 if k % 7 == 0 else k, index, "d", "s", "c" if hot else f"c{k % 3}"))
+        at = max(index, 0) if hot and index is not None else (None if hot else at)
+    for column in {a[5] for a in asked}:
+        last = run = None
+        for copy, seq, index, *_ in sorted((a for a in asked if a[5] == column), key=lambda a: (a[1], a[0])):
+            now = None if index is None else max(index, 0)
+            if now is None or last is None or last + 1 != now:
+                run = (now, seq)
+            want[copy], last = run, now
+    placed = spark.createDataFrame(asked, "copy_id string, seq long, index int, deck_id string, section_id string, column_id string")
+    got = {x["copy_id"]: (x["_start"], x["_first"]) for x in A._runs(placed.repartition(5)).collect()}
+    assert got == want
