@@ -1,8 +1,9 @@
 """Pages of a stored order, found in a directory of its ranges.
 
-The rows are stored in the order, cut in ranges of bounded size, each in a folder of its own and each
-row with its place in its range.  The directory has a row for each range: the first key, the number of
-rows and the folder.  A page is found by the counts, on two levels, and read from its ranges alone, by
+The rows are stored in the order, cut in ranges of bounded size, each row with its place in its range.
+Small ranges share a file, sorted by range, so that files grow with the rows and not with the ranges.
+The directory has a row for each range: the first key, the number of rows, the folder and the file in
+it.  A page is found by the counts, on two levels, and read from its ranges alone, by
 a filter on the place that reaches the scan.  Changes rewrite only the ranges that they fall in.
 """
 
@@ -31,10 +32,12 @@ def _write_ranges(rows: DataFrame, owner: list[str], path: str, direction: str,
     name = F.concat_ws("-", F.lit("r"), *[F.col(c).cast("string") for c in owner], piece)
     cut = settled(placed.withColumn("range", name).withColumn("_at", (F.col("_place") - 1) % range_rows).drop("_place", *owner))
     folder = f"{path}/rows-{uuid.uuid4().hex}"
-    cut.repartition("range").sortWithinPartitions("range", "_at").write.partitionBy("range").parquet(folder)
+    file = F.pmod(F.hash("range"), F.lit(cut.count() // RANGE_ROWS + 1)).cast("int").alias("file")
+    filed = cut.select("*", file).repartition("file").sortWithinPartitions("file", "range", "_at")
+    filed.write.partitionBy("file").parquet(folder)
     first = F.min_by(F.struct("_sort", "id"), "_at")
     entries = cut.groupBy("range").agg(first.alias("low"), F.count("*").alias("n"))
-    return entries.select(F.lit(folder).alias("folder"), "range", F.col("low._sort").alias("_sort"), F.col("low.id").alias("id"), "n")
+    return entries.select(F.lit(folder).alias("folder"), file, "range", F.col("low._sort").alias("_sort"), F.col("low.id").alias("id"), "n")
 
 
 def _numbered(entries: DataFrame, path: str, direction: str) -> None:
@@ -45,7 +48,7 @@ def _numbered(entries: DataFrame, path: str, direction: str) -> None:
 def write_directory(rows: DataFrame, path: str, order: str = "name", direction: str = "asc", range_rows: int = RANGE_ROWS) -> None:
     """Stores ``rows``, with distinct ids, in an order of the catalogue.  An empty table has no ranges."""
     keyed = rows.withColumn("_sort", sort_key(order, direction))
-    keyed.limit(0).withColumn("_at", F.lit(0).cast("bigint")).write.parquet(f"{path}/schema")
+    keyed.limit(0).withColumn("range", F.lit("")).withColumn("_at", F.lit(0).cast("bigint")).write.parquet(f"{path}/schema")
     _numbered(_write_ranges(keyed, [], path, direction, range_rows), path, direction)
 
 
@@ -75,14 +78,14 @@ def update_directory(spark: SparkSession, path: str, before: DataFrame, after: D
     owned = settled(_owners(directory, keys, direction))
     touched = settled(directory.join(owned.select("no").distinct(), "no", "left_semi"))
     schema = spark.read.parquet(f"{path}/schema").schema
-    fields = [f for f in schema.names if f != "_at"]
+    fields = [f for f in schema.names if f not in ("range", "_at")]
     came = after.withColumn("_sort", sort_key(order, direction)).join(owned.filter("not gone").select("id", "no"), "id").select(*fields, "no")
     held = []
     # One folder for each update that has left a range.
     for (folder,) in touched.select("folder").distinct().collect():
-        wanted = touched.filter(F.col("folder") == folder).select("range", "no")
+        wanted = touched.filter(F.col("folder") == folder).select("file", "range", "no")
         stored = spark.read.schema(schema).parquet(folder)
-        held.append(stored.join(wanted, "range").select(*fields, "no"))
+        held.append(stored.join(wanted, ["file", "range"]).select(*fields, "no"))
     gone = owned.filter("gone").select("id")
     rows = reduce(DataFrame.unionByName, held).join(gone, "id", "left_anti").unionByName(came) if held else came
     written = _write_ranges(rows, ["no"], path, direction, range_rows)
@@ -103,15 +106,15 @@ def _before(directory: DataFrame, inside) -> DataFrame:
     return placed.filter(inside(F.col("before"), F.col("n"))).drop("shelf", "_before")
 
 
-def page_ranges(spark: SparkSession, path: str, page: int, page_len: int) -> list[tuple[str, int, int]]:
-    """(folder of a range, rows before it, its rows) for the ranges that hold a page, at most one for
+def page_ranges(spark: SparkSession, path: str, page: int, page_len: int) -> list[tuple[str, str, int, int]]:
+    """(folder of a range, the range, rows before it, its rows) for the ranges that hold a page, at most one for
     each of its rows."""
     if page < 1 or page_len < 1:
         raise ValueError("page and page_len start at 1")
     first, last = (page - 1) * page_len, page * page_len
     found = _before(catalog_current(spark, f"{path}/directory"), lambda before, n: (before < last) & (before + n > first))
-    place = F.concat_ws("/", "folder", F.concat(F.lit("range="), F.col("range"))).alias("place")
-    return [tuple(r) for r in found.orderBy("no").select(place, "before", "n").collect()]
+    place = F.concat_ws("/", "folder", F.concat(F.lit("file="), F.col("file").cast("string"))).alias("place")
+    return [tuple(r) for r in found.orderBy("no").select(place, "range", "before", "n").collect()]
 
 
 def stored_page(spark: SparkSession, path: str, page: int = 1, page_len: int = 100) -> DataFrame:
@@ -119,12 +122,12 @@ def stored_page(spark: SparkSession, path: str, page: int = 1, page_len: int = 1
     empty = spark.read.parquet(f"{path}/schema")
     first = (page - 1) * page_len
     parts = []
-    for place, before, _ in page_ranges(spark, path, page, page_len):
-        rows = spark.read.schema(empty.schema).parquet(place)
+    for place, name, before, _ in page_ranges(spark, path, page, page_len):
+        rows = spark.read.schema(empty.schema).parquet(place).filter(F.col("range") == name)
         part = rows.filter((F.col("_at") >= first - before) & (F.col("_at") < first - before + page_len))
         parts.append(part.withColumn("row_no", F.col("_at") + before + 1))
     every = reduce(DataFrame.unionByName, parts) if parts else empty.withColumn("row_no", F.col("_at"))
-    return every.drop("_at", "_sort").orderBy("row_no")
+    return every.drop("_at", "_sort", "range").orderBy("row_no")
 
 
 def stored_page_info(spark: SparkSession, path: str, page: int = 1, page_len: int = 100) -> DataFrame:

@@ -73,3 +73,11 @@ def test_empty_directory_and_emptied_one(spark, tmp_path):
     same_pages(spark, path, table, "name", "asc", 7, [1, 5])
     directory.update_directory(spark, path, table, table.limit(0), range_rows=8)
     assert directory.stored_page(spark, path).count() == 0
+
+
+def test_small_ranges_share_files(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    table = spark.range(1000).select(F.format_string("c%05d", "id").alias("id"), F.lit("same").alias("name"))
+    directory.write_directory(table, path, range_rows=10)
+    assert catalog_current(spark, f"{path}/directory").count() == 100
+    assert len(list((tmp_path / "pages").glob("rows-*/**/*.parquet"))) == 1
