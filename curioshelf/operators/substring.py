@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curioshelf.functions.predicates import has_text
+from curioshelf.session import kept
 
 GRAM = 3
 # Lists that one search intersects: the rarest ones.
@@ -27,18 +28,17 @@ def _bucket(buckets: int):
 def grams(rows: DataFrame, field: str) -> DataFrame:
     """(gram, id) for every different gram of a row's lower-cased text; rows with a null text or with
     fewer than three characters have none."""
-    chars = F.split(F.lower(F.col(field)), "")
-    after = lambda k: F.expr(f"slice(chars, {k + 1}, greatest(size(chars) - {GRAM - 1}, 0))")
-    whole = rows.select("id", chars.alias("chars")).filter(F.size("chars") >= GRAM)
-    pairs = F.zip_with(after(0), after(1), lambda a, b: F.concat(a, b))
-    runs = F.zip_with(pairs, after(2), lambda a, b: F.concat(a, b))
-    return whole.select(F.explode(F.array_distinct(runs)).alias("gram"), "id")
+    # A match is empty and looks ahead, so the next one starts a character later; none starts inside a
+    # pair of surrogates.
+    runs = F.regexp_extract_all(F.lower(F.col(field)), F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{GRAM}}}))"), F.lit(1))
+    return rows.select(F.explode(F.array_distinct(runs)).alias("gram"), "id")
 
 
 def add_grams(rows: DataFrame, field: str, folder: str, buckets: int = 256) -> None:
     """Files the texts of new and changed rows (id and ``field``).  The first call makes the index; all
     calls have the same number of buckets.  A gram that very many rows hold is cut by id."""
-    listed = grams(rows, field).withColumn("bucket", _bucket(buckets))
+    # Texts are cut once: counting, the bounds of the ranges and the lists read what is stored here.
+    listed = kept(grams(rows, field)).withColumn("bucket", _bucket(buckets))
     counts = listed.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{folder}/counts")
     order = ["bucket", "gram", "id"]

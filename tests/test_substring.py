@@ -78,3 +78,20 @@ def test_empty_table(spark, tmp_path):
     table = spark.createDataFrame([], "id bigint, oracle_text string")
     add_grams(table, "oracle_text", str(tmp_path / "index"), 4)
     assert search_grams(table, "oracle_text", str(tmp_path / "index"), "abc", 4).count() == 0
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        cut.add(1)
+        return text
+
+    some = spark.range(20).select("id", F.format_string("text %d 𝒳𝒴 end", "id").alias("t"))
+    table = some.select("id", seen("t").alias("oracle_text"))
+    add_grams(table, "oracle_text", str(tmp_path / "index"), 4)
+    assert cut.value == 20
+    found = search_grams(some.withColumnRenamed("t", "oracle_text"), "oracle_text", str(tmp_path / "index"), "𝒳𝒴 ", 4)
+    assert sorted(r.id for r in found.collect()) == list(range(20))
+    assert grams(spark.createDataFrame([(1, "a𝒳b𝒴")], "id bigint, t string"), "t").count() == 2
