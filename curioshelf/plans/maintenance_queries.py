@@ -82,7 +82,7 @@ _ORPHANS = """select c.deck_id, c.copy_id from copies c join decks d on d.id = c
 
 @query("deck_orphans", _ORPHANS)
 def deck_orphans(v):
-    return A.deck_orphans(v.placements, v.copies, v.decks)
+    return A.deck_orphans(*v.tables("placements", "copies"), v.decks)
 
 
 @query(
@@ -97,7 +97,7 @@ def deck_orphans(v):
     and e.section_id = f.section_id and e.column_id = f.column_id""",
 )
 def deck_reconcile(v):
-    return A.deck_reconcile(v.placements, v.layout, v.copies, v.decks)[0]
+    return A.deck_reconcile(*v.tables("placements", "layout", "copies"), v.decks)[0]
 
 
 # -- placing and removing ---------------------------------------------------------------------
@@ -133,7 +133,7 @@ _PLACED = f"""req as (select r.*, f.section_id first_section, f.column_id first_
 
 def _placed(v):
     requests = v.sql(_PLACE.replace('"index"', "index"))
-    return A.resolve_places(v.layout, v.copies, v.decks, requests)
+    return A.resolve_places(*v.tables("layout", "copies"), v.decks, requests)
 
 
 @query(
@@ -162,7 +162,8 @@ def _placed(v):
           select {COLUMN}, copy_id, k, turn, seq from new) m""",
 )
 def deck_place(v):
-    return A.place_rows(v.placements, settled(_placed(v)))
+    placements, _, _ = v.tables("placements", "layout", "copies")
+    return A.place_rows(placements, settled(_placed(v)))
 
 
 @query(
@@ -247,7 +248,7 @@ _REAL = f"select t.* from ({_TAKE}) t join copies c on c.copy_id = t.copy_id and
 
 @query("deck_remove", _pulled(_REAL))
 def deck_remove(v):
-    return A.deck_remove(v.placements, v.copies, v.decks, v.sql(_TAKE))[0]
+    return A.deck_remove(*v.tables("placements", "copies"), v.decks, v.sql(_TAKE))[0]
 
 
 @query(
@@ -257,7 +258,7 @@ def deck_remove(v):
     where t.copy_id is null or c.collection_id is not null""",
 )
 def deck_remove_copies(v):
-    left = A.deck_remove(v.placements, v.copies, v.decks, v.sql(_TAKE))[1]
+    left = A.deck_remove(*v.tables("placements", "copies"), v.decks, v.sql(_TAKE))[1]
     return left.select("copy_id", "collection_id", "deck_id")
 
 
@@ -362,7 +363,7 @@ _SECTION_STATUS = f"""select r.deck_id, r.section_id, CASE WHEN l.deck_id is nul
 
 @query("section_delete_report", _SECTION_STATUS)
 def section_delete_report(v):
-    return A.section_delete_empty(v.layout, v.placements, v.sql(_DROP_SECTION))[1]
+    return A.section_delete_empty(*v.tables("layout", "placements"), v.sql(_DROP_SECTION))[1]
 
 
 @query(
@@ -371,7 +372,7 @@ def section_delete_report(v):
     where s.status = 'deleted' and s.deck_id = l.deck_id and s.section_id = l.section_id)""",
 )
 def section_delete_empty(v):
-    return A.section_delete_empty(v.layout, v.placements, v.sql(_DROP_SECTION))[0]
+    return A.section_delete_empty(*v.tables("layout", "placements"), v.sql(_DROP_SECTION))[0]
 
 
 _DROP_COLUMN = """select id deck_id, 'E' section_id, 'c0' column_id from decks
@@ -385,7 +386,7 @@ _COLUMN_STATUS = f"""select r.deck_id, r.section_id, r.column_id, CASE WHEN l.de
 
 @query("column_delete_report", _COLUMN_STATUS)
 def column_delete_report(v):
-    return A.column_delete_empty(v.layout, v.placements, v.sql(_DROP_COLUMN))[1]
+    return A.column_delete_empty(*v.tables("layout", "placements"), v.sql(_DROP_COLUMN))[1]
 
 
 @query(
@@ -399,7 +400,7 @@ def column_delete_report(v):
     where k.deck_id = l.deck_id and k.section_id = l.section_id)""",
 )
 def column_delete_empty(v):
-    return A.column_delete_empty(v.layout, v.placements, v.sql(_DROP_COLUMN))[0]
+    return A.column_delete_empty(*v.tables("layout", "placements"), v.sql(_DROP_COLUMN))[0]
 
 
 # -- copies -----------------------------------------------------------------------------------
@@ -499,7 +500,7 @@ def copies_update(v):
 
 @query("copies_delete", _pulled(_TAKE))
 def copies_delete(v):
-    return M.copies_delete(v.copies, v.placements, v.decks, v.sql(_TAKE))[1]
+    return M.copies_delete(*v.tables("copies", "placements"), v.decks, v.sql(_TAKE))[1]
 
 
 @query(
@@ -507,7 +508,7 @@ def copies_delete(v):
     f"select copy_id from copies where copy_id not in ({_TAKEN})",
 )
 def copies_delete_left(v):
-    return M.copies_delete(v.copies, v.placements, v.decks, v.sql(_TAKE))[0].select("copy_id")
+    return M.copies_delete(*v.tables("copies", "placements"), v.decks, v.sql(_TAKE))[0].select("copy_id")
 
 
 # One request per display row of every card with quantity-30 copies, some of them void.
@@ -575,7 +576,7 @@ _GONE = f"""select k.id from collections k join ({_DROP_COLLECTION}) r on r.id =
 
 def _without_collections(v):
     ids = v.sql(_DROP_COLLECTION)
-    return M.delete_collection(v.collections, v.copies, v.placements, v.decks, ids)
+    return M.delete_collection(v.collections, *v.tables("copies", "placements"), v.decks, ids)
 
 
 @query("delete_collection", f"select id, owner from collections where id not in ({_GONE})")
@@ -604,7 +605,7 @@ _GONE_DECK = f"select d.id, d.owner from decks d join ({_DROP_DECK}) r on r.id =
 
 
 def _without_decks(v):
-    return M.delete_deck(v.decks, v.copies, v.layout, v.placements, v.sql(_DROP_DECK))
+    return M.delete_deck(v.decks, *v.tables("copies", "layout", "placements"), v.sql(_DROP_DECK))
 
 
 @query("delete_deck", f"select id, owner from decks where id not in (select id from ({_GONE_DECK}) g)")

@@ -259,6 +259,14 @@ class Views:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
+    def tables(self, *names: str) -> list[DataFrame]:
+        """The named views.  They are stored in the order in which they are made of each other, so that one
+        that is asked for is read, and not made once more, by those after it."""
+        for name in STORED:
+            if name in names:
+                self.view(name)
+        return [getattr(self, name) for name in names]
+
     def _cards(self, name: str) -> DataFrame:
         """Catalogue records with arrays and the library's column names, kept as a table."""
         return self.spark.table(self._keep(f"{name}_table", lambda: self._card_records(name)))

@@ -2,6 +2,10 @@
 
 import shutil
 
+import pytest
+
+from curioshelf.plans import maintenance_queries  # noqa: F401  (registers the queries)
+from curioshelf.plans.registry import QUERIES
 from curioshelf.plans.views import Views
 
 SOURCE = "/root/testdata/sf0.001"
@@ -35,3 +39,15 @@ def test_line_items_are_dealt_out_once(spark, tmp_path):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     # The join with the line items is the outer one.
     assert "l_orderkey" in joins[0] and "c_custkey" in joins[1]
+
+
+@pytest.mark.parametrize("key", ["section_delete_empty"])
+def test_what_a_query_reads_is_made_of_each_other(spark, tmp_path, monkeypatch, key):
+    v = _fresh(spark, tmp_path)
+    texts = {}
+    run = Views._run
+    monkeypatch.setattr(Views, "_run", lambda self, text: texts.setdefault(text, run(self, text)))
+    QUERIES[key](spark, v.sf_dir)
+    assert sum("@lineitem" in text for text in texts) == 1
+    stored = [name for _, folder, name in Views._stored if folder == v.sf_dir and name in ("copies", "placements", "layout")]
+    assert stored[-2:] == ["placements", "layout"]
