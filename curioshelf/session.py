@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Tables grow, the number of partitions that a session is given does not.  Up to 200 a shuffle writes
+# straight to its files, without a buffer that could overflow; small ones are put together again.
+PARTITIONS = 200
+PARTITION_SIZE = "32m"
 _local: dict[str, str] = {}
 _made: list[str] = []  # scratch folders of this driver
 
@@ -16,12 +20,16 @@ _made: list[str] = []  # scratch folders of this driver
 def tune(spark: SparkSession) -> SparkSession:
     """Settings the operators are written for: adaptive plans, splitting of skewed look-up joins
     even where that costs a later aggregation one more exchange, and broadcasting a look-up side
-    whose size, once it has been measured at run time, is small next to an executor.  The state of
-    streams is kept on disk, not in the memory of executors."""
+    whose size, once it has been measured at run time, is small next to an executor.  A shuffle starts
+    with many partitions, so that a task sorts little and need not spill.  The state of streams is
+    kept on disk, not in the memory of executors."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "128m")
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(given, PARTITIONS)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", PARTITION_SIZE)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 

@@ -19,3 +19,12 @@ def test_registered_queries_tune_the_session(spark):
     spark.conf.set(key, "false")
     QUERIES["owned_cards"](spark, "/root/testdata/sf0.001").schema
     assert spark.conf.get(key) == "true"
+
+
+def test_a_tuned_session_starts_with_many_partitions(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(key)
+    session.tune(spark)
+    assert int(spark.conf.get(key)) >= 200 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Small tables are few tasks all the same.
+    assert spark.range(1000).repartition("id").rdd.getNumPartitions() < 10
