@@ -28,7 +28,7 @@ _ALL_PLACES = f"""select l.*, p.pos, p.copy_id from layout l left join placement
     f"select deck_id, section_id, section_name, column_id, copy_id from ({_ALL_PLACES}) t",
 )
 def deck_explode(v):
-    nested = A.deck_assemble(v.layout, v.placements, MAX_CARDS)
+    nested = A.deck_assemble(*v.tables("layout", "placements"), MAX_CARDS)
     flat = A.deck_explode(nested)
     return flat.select("deck_id", "section_id", "section_name", "column_id", "copy_id")
 
@@ -43,7 +43,7 @@ def deck_explode(v):
     group by deck_id, part, section_id, column_id""",
 )
 def deck_assemble(v):
-    nested = A.deck_assemble(v.layout, v.placements, MAX_CARDS)
+    nested = A.deck_assemble(*v.tables("layout", "placements"), MAX_CARDS)
     sections = nested.select("deck_id", "part", F.explode("sections").alias("s"))
     columns = sections.select(
         "deck_id", "part", F.col("s.id").alias("section_id"), F.explode_outer("s.columns").alias("c")
