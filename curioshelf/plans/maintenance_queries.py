@@ -442,7 +442,7 @@ def _placed_creations(v):
         F.lit(None).cast("int").alias("index"),
         F.col("request_id").cast("bigint").alias("seq"),
     )
-    return M.copies_create_placed(requests, v.collections, v.decks, v.layout, v.placements)
+    return M.copies_create_placed(requests, v.collections, v.decks, *v.tables("layout", "placements"))
 
 
 @query(
