@@ -223,7 +223,7 @@ _EVENTS = f"""with {_PLACED.replace(_PLACE, _REPLAY).replace("  qualify row_numb
     select {COLUMN}, unnest(range(1, len(cards) + 1)) place, unnest(cards) copy_id from every""",
 )
 def deck_replay(v):
-    placed = deck_replay_of(v.placements, v.layout, v.copies, v.decks, v.sql(_REPLAY.replace('"index"', "index")))[0]
+    placed = deck_replay_of(*v.tables("placements", "layout", "copies"), v.decks, v.sql(_REPLAY.replace('"index"', "index")))[0]
     ranked = grouped_rank(placed, A.COLUMN, [("pos", "asc"), ("copy_id", "asc")], "place")
     return ranked.select(*A.COLUMN, "place", "copy_id")
 

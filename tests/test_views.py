@@ -41,7 +41,7 @@ def test_line_items_are_dealt_out_once(spark, tmp_path):
     assert "l_orderkey" in joins[0] and "c_custkey" in joins[1]
 
 
-@pytest.mark.parametrize("key", ["section_delete_empty", "deck_assemble", "copies_create_placements"])
+@pytest.mark.parametrize("key", ["section_delete_empty", "deck_assemble", "deck_replay", "copies_create_placements"])
 def test_what_a_query_reads_is_made_of_each_other(spark, tmp_path, monkeypatch, key):
     v = _fresh(spark, tmp_path)
     texts = {}
