@@ -157,14 +157,13 @@ def collection_value_in(
 
 
 def collection_value(copies: DataFrame, prices: DataFrame) -> DataFrame:
-    """Value in the base currency, copies and priced copies per owner.  Copies are counted per card
-    before the price join, so a card that everyone owns is one row per owner."""
-    held = copies.groupBy("owner", "card_id").agg(F.count(F.lit(1)).alias("n"))
-    priced = held.join(
-        prices.select("card_id", F.col("usd").cast("decimal(12,2)").alias("usd")), "card_id", "left"
-    )
-    return priced.groupBy("owner").agg(
-        F.coalesce(F.sum(F.col("usd") * F.col("n")), F.lit(0)).cast("decimal(28,2)").alias("value"),
-        F.sum("n").alias("copies"),
-        F.coalesce(F.sum(F.when(F.col("usd").isNotNull(), F.col("n"))), F.lit(0)).alias("priced"),
+    """Value in the base currency, copies and priced copies per owner.  Copies meet their prices row by
+    row and are summed per owner in the same task: owners and cards have about as many pairs as there
+    are copies, so counts per pair would be one more table of that size.  A card that everyone owns is
+    split by the adaptive skew join, where the prices are too many to broadcast."""
+    usd = prices.select("card_id", F.col("usd").cast("decimal(12,2)").alias("usd"))
+    return copies.select("owner", "card_id").join(usd, "card_id", "left").groupBy("owner").agg(
+        F.coalesce(F.sum("usd"), F.lit(0)).cast("decimal(28,2)").alias("value"),
+        F.count(F.lit(1)).alias("copies"),
+        F.count("usd").alias("priced"),
     )
