@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curioshelf.llm.ngram_join import set_roots, sets_of
-from curioshelf.llm.tokens import tokenizer
+from curioshelf.llm.tokens import runs, tokenizer
 from curioshelf.session import kept
 
 CAPACITY = 2048
@@ -185,7 +185,7 @@ def _measured(documents: DataFrame, path: str | None, sets: bool) -> DataFrame:
         encoder = tokenizer(path)
         for batch in batches:
             doc, text, source, cluster = batch.columns
-            lengths = [encoder.lengths(text.slice(at, 256).to_pylist()) + 1 for at in range(0, len(batch), 256)]
+            lengths = [encoder.lengths(text.slice(at, n).to_pylist()) + 1 for at, n in runs(text)]
             length = pa.array(np.concatenate(lengths) if lengths else [], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, length, source, cluster, *(sets_of(text) if sets else [])], names)
 

@@ -1,12 +1,19 @@
-"""Token ids by a public tokenizer: the library's own ids, each distinct plain word encoded once."""
+"""Token ids by a public tokenizer: the library's own ids, each distinct plain word encoded once.
+
+Texts are cut into words, and words are made distinct, by Arrow; Python sees each distinct word of a
+run of texts once."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Letters are one unit to the tokenizer wherever they stand, and so are signs other than the
 # apostrophe; the last piece of a unit, and no other, ends in ``</w>``.
@@ -15,8 +22,22 @@ _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 # letters have a composed form where the capital has none: words with a mark are left as they are.
 _MARK = re.compile("[\u0300-\u036f]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+# Signs, as above, that follow a letter are cut off, so that a word is known whatever follows it.
+_CUT = r"([a-z])([!-&(-/:-@\[-`{-~])"
 CACHED_WORDS = 1_000_000
 RUN = 512
+RUN_BYTES = 1 << 22
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows with about RUN_BYTES of text: one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+        yield at, to - at
+        at = to
 
 
 class WordTokenizer:
@@ -32,27 +53,42 @@ class WordTokenizer:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.plain = self._for_plain_units()
         self._reset()
 
+    def _for_plain_units(self):
+        """The library's tokenizer with the same merges, but cutting at spaces alone and changing no
+        letter: all that is left to do for units of lower-case letters or of signs."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        parts = json.loads(self.tokenizer.to_str())
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1].get("use_regex", True):
+            return self.tokenizer
+        plain = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        return plain
+
     def _reset(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places: dict[bytes, int] = {}
         self.flat, self.bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Adds words to the cache."""
         plain, units, rest = [], [], []
         match = _PLAIN.fullmatch
         for w in words:
-            found = match(w)
+            found = match(w.decode("utf-8", "surrogatepass"))
             if found is None or not w:
                 rest.append(w)
             else:
                 plain.append(w)
                 units.append(found.groups())
         ids, sizes, names = [], [], []
-        runs = range(0, len(plain), RUN)
-        joined = [" ".join([f"{a} {b}" if a and b else a or b for a, b in units[i : i + RUN]]) for i in runs]
-        for i, got in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        firsts = range(0, len(plain), RUN)
+        joined = [" ".join([f"{a} {b}" if a and b else a or b for a, b in units[i : i + RUN]]) for i in firsts]
+        for i, got in zip(firsts, self.plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             found = np.array(got.ids, np.int32)
             ends = np.flatnonzero(self.ends[found])
             last = np.cumsum([2 if a and b else 1 for a, b in units[i : i + RUN]])
@@ -62,7 +98,8 @@ class WordTokenizer:
                 names += plain[i : i + RUN]
             else:
                 rest += plain[i : i + RUN]
-        for w, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        texts = [w.decode("utf-8", "surrogatepass") for w in rest]
+        for w, got in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids.append(np.array(got.ids, np.int32))
             sizes.append(np.array([len(got.ids)]))
             names.append(w)
@@ -75,26 +112,34 @@ class WordTokenizer:
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """(places in the cache of all words, number of words of each text, ids of texts that only
         the library can encode, by number)."""
-        words, counts, whole = [], [], {}
+        given, whole = [], {}
         for n, text in enumerate(texts):
             if any(s[:2].lower() in text for s in self.specials):
                 whole[n] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                counts.append(0)
+                given.append(None)
                 continue
             # Only A-Z is lowered here, and only \n and space split: the tokenizer sees to the rest.
-            raw = text.encode("utf-8", "surrogatepass")
-            own = raw.translate(_LOWER).decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+            raw = text.encode("utf-8", "surrogatepass").replace(b"\n", b" ")
+            low = raw.translate(_LOWER)
             if b"\xcc" in raw or b"\xcd" in raw:  # lead bytes of all combining marks that may follow A-Z
-                own = [w if _MARK.search(w) else low for w, low in zip(text.replace("\n", " ").split(" "), own, strict=True)]
-            words += own
-            counts.append(len(own))
+                both = zip(raw.split(b" "), low.split(b" "), strict=True)
+                low = b" ".join([w if _MARK.search(w.decode("utf-8", "surrogatepass")) else own for w, own in both])
+            given.append(low)
+        words = pc.split_pattern(pc.replace_substring_regex(pa.array(given, pa.large_binary()), _CUT, r"\1 \2"), " ")
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.places) > CACHED_WORDS:
             self._reset()
-        new = [w for w in set(words) if w not in self.places]
+        found = list(map(self.places.get, names))
+        new = [n for n, place in enumerate(found) if place is None]
         if new:
-            self._learn(new)
+            self._learn([names[n] for n in new])
             self.flat, self.bounds = [np.concatenate(self.flat)], [np.concatenate(self.bounds)]
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)), np.array(counts, np.int64), whole
+            for n in new:
+                found[n] = self.places[names[n]]
+        places = np.array(found, np.int64)
+        return places[coded.indices.to_numpy(zero_copy_only=False)], counts, whole
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""

@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from curioshelf.llm import token_files as tf
-from curioshelf.llm.tokens import WordTokenizer, tokenizer
+from curioshelf.llm.tokens import WordTokenizer, runs, tokenizer
 from curioshelf.session import scratch
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -114,3 +115,19 @@ def test_files(spark, odd_docs, monkeypatch):
     assert sorted(map(tuple, tf.read_tokens(spark, folder).collect()), key=lambda x: x[1]) == want
     assert sorted(map(tuple, tf.read_tokens(spark, folder, ids=False).collect()), key=lambda x: x[1]) == [w[:4] for w in want]
     assert tf.token_file(odd_docs.limit(0), PATH).count() == 0
+
+
+def test_words_are_known_whatever_signs_follow_them():
+    own = WordTokenizer(PATH)
+    texts = ["Word word, word... (word) word's wörd, wörd", "a,b a≮b á, Á≮ o'.'s x.'s don't! …!? 1,2 a1,", "", "\n,\n", "<|endoftext|> word,"]
+    ids, counts = own.encode(texts)
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert own.lengths(texts).tolist() == counts.tolist()
+    assert b"word" in own.places and not {b"word,", b"word...", b"word)"} & own.places.keys()
+
+
+def test_runs_of_texts_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr("curioshelf.llm.tokens.RUN_BYTES", 4)
+    assert list(runs(pa.array(["ab", "é", None, "abcdefgh", "", "x"]))) == [(0, 3), (3, 1), (4, 2)]
+    assert list(runs(pa.array([], pa.string()))) == []
