@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curioshelf.llm.fingerprints import in_ranges
-from curioshelf.llm.tokens import tokenizer
+from curioshelf.llm.tokens import runs, tokenizer
 from curioshelf.session import scratch
 
 MAGIC = b"CMT2"
@@ -272,8 +272,8 @@ def _blocks(path: str, end_id: int | None):
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names)
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                ids, texts, buckets = (c.slice(at, 256).to_pylist() for c in batch.columns)
+            for at, n in runs(batch.column(1)):
+                ids, texts, buckets = (c.slice(at, n).to_pylist() for c in batch.columns)
                 flat, counts = encoder.encode(texts)
                 bounds = np.concatenate(([0], np.cumsum(counts)))
                 for k, (doc, to) in enumerate(zip(ids, buckets, strict=True)):
