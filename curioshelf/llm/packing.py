@@ -185,7 +185,7 @@ def _measured(documents: DataFrame, path: str | None, sets: bool) -> DataFrame:
         encoder = tokenizer(path)
         for batch in batches:
             doc, text, source, cluster = batch.columns
-            lengths = [encoder.lengths(text.slice(at, n).to_pylist()) + 1 for at, n in runs(text)]
+            lengths = [encoder.lengths(text.slice(at, n)) + 1 for at, n in runs(text)]
             length = pa.array(np.concatenate(lengths) if lengths else [], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, length, source, cluster, *(sets_of(text) if sets else [])], names)
 

@@ -9,8 +9,9 @@ The model has three predictions of the next id: counts of the ids that followed
 frequencies of the block so far (order 0).  The probability of an id is the weighted sum of what the
 three give it, and ids have disjoint intervals in ascending order, so one step of 30 bits codes any
 id.  The weights are learned for each class of confidence of orders 2 and 1, by the part that each
-order had in the probability of the ids seen.  All of it is whole-number arithmetic, the same on
-every machine.  Where lanes share a context the last counts.
+order had in the probability of the ids seen: of all of the first 64 steps, and of each fourth step
+after them.  All numbers are whole, and quotients are floors of exact ones, the same on every machine.
+Where lanes share a context the last counts.
 
 Block format, little endian: magic, checksum of all that follows (crc32), then five counts
 (documents, ids, size of the vocabulary, lanes, words), document ids, ids per document, words per
@@ -32,7 +33,7 @@ from curioshelf.llm.fingerprints import in_ranges
 from curioshelf.llm.tokens import runs, tokenizer
 from curioshelf.session import scratch
 
-MAGIC = b"CMT2"
+MAGIC = b"CMT3"
 HEADER = struct.Struct("<4sIqqqqq")
 BLOCK_IDS = 1 << 20
 LANES = 4096
@@ -44,43 +45,53 @@ _GATE = 11  # bits of the weights
 _KEPT = (1, 4)  # followers counted in a context of order 2 and of order 1
 _PLACES = 17  # bits of contexts of order 2
 _MOST = 250  # count at which the counts of a context are halved
-_LEVEL = np.array([0, 1, 1, *[2] * 6, *[3] * (_MOST * 4)])  # class of a context's total
+_LEVEL = np.array([0, 1, 1, *[2] * 6, *[3] * (_MOST * 5)], np.int8)  # class of a context's total
+_SHARE = ((1 << _SLOTS) // np.maximum(np.arange(len(_LEVEL)), 1)).astype(np.int32)  # of a count of one in a total
+_ORDER = [(0, 3), (1, 4), (0, 2), (1, 3), (0, 1), (2, 4), (1, 2), (3, 4), (2, 3)]  # exchanges that sort five
 _U = np.uint64
 _STATE, _LOW = _U((1 << 56) - 1), _U(1 << 40)
 _UNIT, _WHOLE = _U(_SLOTS + _GATE), _U(1 << (_SLOTS + _GATE))
 
 
+def _total(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the counts of each lane, and the greatest."""
+    total = most = count[0]
+    for row in count[1:]:
+        total, most = total + row, np.maximum(most, row)
+    return total, most
+
+
 class _Followers:
     """For every context the ids that followed it most, each in one number with its count."""
 
     def __init__(self, contexts: int, kept: int):
-        self.contexts, self.kept = contexts, kept
-        self.table = np.zeros((kept, contexts), np.int32)
+        self.kept, self.table = kept, np.zeros((contexts, kept), np.int32)
+        self.each = np.arange(kept, dtype=np.int32)[:, None]
 
-    def look(self, at: np.ndarray) -> None:
-        """Ids and counts kept in the contexts, the sums of the counts, and the greatest."""
-        self.at, both = at, self.table.take(at, axis=1)
-        self.found, self.count = both >> 8, both & 255
-        self.total, self.top = np.add.reduce(self.count, 0, np.int32), np.maximum.reduce(self.count, 0)
+    def look(self, at: np.ndarray, out: np.ndarray) -> None:
+        """What is kept in the contexts, a row for each follower."""
+        self.at, self.both = at, out
+        out[:] = self.table.take(at, axis=0).T
 
-    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, hit: np.ndarray, count: np.ndarray) -> None:
         """A follower that is kept gains; another one wears the rarest down and then takes its place.
         Of lanes that share a context and a place in it the last counts."""
-        had, held, slot = self.count[0], self.found[0], np.zeros(len(ids), np.int32)
-        for k in range(1, self.kept):
-            rarer = self.count[k] < had
-            had, held, slot = np.minimum(self.count[k], had), np.where(rarer, self.found[k], held), np.where(rarer, k, slot)
-        known = np.logical_or.reduce(hit, 0)
-        held = np.where(known, ids, held)
-        for k in range(self.kept):
-            had, slot = np.where(hit[k], self.count[k], had), np.where(hit[k], k, slot)
-        new = np.where(known | (had > 2), (held << 8) + had + np.where(known, 2, -1), (ids << 8) + 2)
-        self.table.reshape(-1)[slot * self.contexts + self.at] = new
-        full = self.at[known & (had >= _MOST)]
-        if len(full):
-            full = np.unique(full)
-            both = self.table[:, full]
-            self.table[:, full] = (both & ~255) | ((both & 255) >> 1)
+        had, known, at, new = count[0], hit[0], self.at, self.both[0]
+        flat = self.table.reshape(-1)
+        if self.kept > 1:
+            # Count and place of each, with what is known far below all counts.
+            rarest = np.minimum.reduce((count << 3) + self.each - hit * np.int32(1 << 12))
+            known, had = rarest < 0, (rarest >> 3) & 255
+            at = at * np.int64(self.kept) + (rarest & 7)
+            new = flat.take(at)
+        new = new + (known * np.int32(3) - np.int32(1))
+        np.copyto(new, (ids << 8) + 2, where=~known & (had <= 2))
+        flat[at] = new
+        full = known & (had >= _MOST)
+        if full.any():
+            full = np.unique(self.at[full])
+            both = self.table[full]
+            self.table[full] = (both & ~255) | ((both & 255) >> 1)
 
 
 class _Model:
@@ -91,14 +102,14 @@ class _Model:
         self.one, self.two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.second, self.first = _Followers(1 << _PLACES, _KEPT[0]), _Followers(vocabulary, _KEPT[1])
         self.votes = np.full((3, 64), 256, np.int64)
-        self.counts, self.recent, self.seen, self.due = np.zeros(vocabulary, np.int64), [], 0, 0
+        self.counts, self.recent, self.seen, self.due, self.turn = np.zeros(vocabulary, np.int64), [], 0, 0, 0
         self._weigh()
         self._rank()
 
     def _weigh(self) -> None:
         """Weights of orders 0, 1 and 2 by gate; none is zero, so every id can be coded."""
         w1, w2 = self.votes[1:] * ((1 << _GATE) - 3) // self.votes.sum(0) + 1
-        self.weights = np.stack(((1 << _GATE) - w1 - w2, w1, w2)).astype(np.int32)
+        self.weights = (w2 << 16 | w1).astype(np.int32)
 
     def _rank(self) -> None:
         """Order-0 frequencies from all ids so far; each id keeps at least one slot."""
@@ -110,19 +121,26 @@ class _Model:
         if total:
             slots += self.counts * ((1 << _SLOTS) - self.vocabulary) // total
         slots[int(slots.argmax())] += (1 << _SLOTS) - int(slots.sum())
-        self.before, self.slots = (np.cumsum(slots) - slots).astype(np.int32), slots.astype(np.int32)
+        self.before = np.concatenate(([0], np.cumsum(slots))).astype(np.int32)
+        self.slots = slots.astype(np.int32)
         self.slot_id = np.repeat(np.arange(self.vocabulary, dtype=np.int32), slots)
         self.due = self.seen + max(LANES, self.seen // 4)
 
     def predict(self) -> None:
         """The ids that orders 2 and 1 know for each lane, and what they add to order 0 for each."""
-        two, one = self.second, self.first
-        two.look((self.one.astype(np.int64) * 40503 + self.two.astype(np.int64) * 60493) & ((1 << _PLACES) - 1))
-        one.look(self.one)
-        self.gate = (_LEVEL.take(two.total) * 4 + _LEVEL.take(one.total)) * 4 + (one.top * 2 > one.total) * 2 + (two.top > 6)
-        self.w0, w1, w2 = self.weights.take(self.gate, axis=1)
-        self.found = np.concatenate((two.found, one.found))
-        self.mass = np.concatenate((two.count * ((w2 << _SLOTS) // np.maximum(two.total, 1)), one.count * ((w1 << _SLOTS) // np.maximum(one.total, 1))))
+        kept, both = _KEPT[0], np.empty((sum(_KEPT), len(self.one)), np.int32)
+        self.second.look((self.one * np.int64(40503) + self.two * np.int64(60493)) & ((1 << _PLACES) - 1), both[:kept])
+        self.first.look(self.one, both[kept:])
+        self.found, self.count = both >> 8, both & 255
+        (two, most_two), (one, most_one) = _total(self.count[:kept]), _total(self.count[kept:])
+        gate = _LEVEL.take(two) * np.int8(4) + _LEVEL.take(one)
+        self.gate = (gate * np.int8(4) + (most_one * 2 > one) * np.int8(2) + (most_two > 6)).astype(np.int64)
+        weights = self.weights.take(self.gate)
+        w1, w2 = weights & 0xFFFF, weights >> 16
+        self.w0 = (1 << _GATE) - w1 - w2
+        self.mass = np.empty_like(both)
+        np.multiply(self.count[:kept], w2 * _SHARE.take(two), out=self.mass[:kept])
+        np.multiply(self.count[kept:], w1 * _SHARE.take(one), out=self.mass[kept:])
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each lane's id, of 2**30: what the three orders give to the ids below
@@ -135,33 +153,48 @@ class _Model:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id of each lane whose interval holds the value."""
-        found, mass, w0 = self.found, self.mass, self.w0
-        upto = np.add.reduce((found[:, None] <= found[None]) * mass[:, None], 0, np.int32)
-        later = w0 * (self.before.take(found) + self.slots.take(found)) + upto > value
+        # Known ids in ascending order, each in one number with what is added to it.
+        both = list((self.found.astype(np.int64) << 32) | self.mass)
+        for i, j in _ORDER:
+            both[i], both[j] = np.minimum(both[i], both[j]), np.maximum(both[i], both[j])
+        both, w0 = np.stack(both), self.w0
+        found, mass = both >> 32, both.astype(np.int32)
         # Without what known ids below have added, the value is a place in order 0, unless it lies in
         # the first known id that ends behind it.
-        rest = value - np.add.reduce(~later * mass, 0, np.int32)
-        first = np.where(later, found, self.vocabulary).min(0)
-        known = np.minimum(first, self.vocabulary - 1)
-        inside = (first < self.vocabulary) & (rest >= w0 * self.before.take(known))
-        return np.where(inside, known, self.slot_id.take(rest // w0, mode="clip"))
+        rest, passed = value, np.zeros(len(value), np.int64)
+        below, ends = 0, w0 * self.before.take(found + 1)
+        for k in range(len(found)):
+            below = below + mass[k]
+            over = value >= ends[k] + below
+            rest = rest - over * mass[k]
+            passed += over
+        lanes = len(value)
+        first = found.reshape(-1).take(np.minimum(passed, len(found) - 1) * lanes + np.arange(lanes))
+        inside = (passed < len(found)) & (rest >= w0 * self.before.take(first))
+        out = self.slot_id.take((rest / w0).astype(np.int64), mode="clip")
+        np.copyto(out, first, where=inside, casting="same_kind")
+        return out
 
     def learn(self, ids: np.ndarray) -> None:
         """Learns the ids of the last :meth:`interval`."""
         kept = _KEPT[0]
-        two, one = np.add.reduce(self.part[:kept], 0, np.int64), np.add.reduce(self.part[kept:], 0, np.int64)
-        all_three = self.own + one + two
-        two, one = (two << 8) // all_three, (one << 8) // all_three
-        for order, part in enumerate((256 - one - two, one, two)):
-            self.votes[order] += np.bincount(self.gate, part, 64).astype(np.int64)
-        high = self.votes.sum(0) > 1 << 24
-        self.votes[:, high] = self.votes[:, high] // 2 + 1
-        self.second.learn(ids, self.hit[:kept])
-        self.first.learn(ids, self.hit[kept:])
+        if self.turn < 64 or not self.turn % 4:
+            two, one = self.part[0].astype(np.float64), np.add.reduce(self.part[kept:], 0, np.float64)
+            for part in self.part[1:kept]:
+                two += part
+            all_three = self.own + one + two
+            two, one = np.floor(two * 256 / all_three), np.floor(one * 256 / all_three)
+            for order, part in enumerate((256 - one - two, one, two)):
+                self.votes[order] += np.bincount(self.gate, part, 64).astype(np.int64)
+            high = self.votes.sum(0) > 1 << 24
+            self.votes[:, high] = self.votes[:, high] // 2 + 1
+            self._weigh()
+        self.second.learn(ids, self.hit[:kept], self.count[:kept])
+        self.first.learn(ids, self.hit[kept:], self.count[kept:])
+        self.turn += 1
         self.two, self.one = self.one, ids
         self.recent.append(ids)
         self.seen += len(ids)
-        self._weigh()
         if self.seen >= self.due:
             self._rank()
 
@@ -170,13 +203,14 @@ def _normal(low: np.ndarray, size: np.ndarray, shift) -> None:
     """Moves 16 bits out of every lane whose interval has become small; ``shift`` deals with them."""
     at = np.flatnonzero(size < _LOW)
     while len(at):
-        a, s = low[at], size[at]
-        split = ((a ^ (a + s - _U(1))) >> _U(40)) != 0
-        s = np.where(split, _LOW - (a & (_LOW - _U(1))), s)
+        a, s = low.take(at), size.take(at)
+        split = (a ^ (a + s - _U(1))) >= _LOW
+        if split.any():
+            np.copyto(s, _LOW - (a & (_LOW - _U(1))), where=split)
         shift(at, a)
         low[at] = (a << _U(16)) & _STATE
         size[at] = s << _U(16)
-        at = at[size[at] < _LOW]
+        at = at[s < _U(1 << 24)]
 
 
 def _ends(steps: int) -> str:
@@ -200,7 +234,7 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> by
     words, ends = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
 
     def shift(at, a):
-        words[at, ends[at]] = (a >> _U(40)).astype(np.uint16)
+        words.reshape(-1)[at * words.shape[1] + ends[at]] = a >> _U(40)
         ends[at] += 1
 
     for now in laid:
@@ -273,8 +307,8 @@ def _blocks(path: str, end_id: int | None):
 
         for batch in batches:
             for at, n in runs(batch.column(1)):
-                ids, texts, buckets = (c.slice(at, n).to_pylist() for c in batch.columns)
-                flat, counts = encoder.encode(texts)
+                ids, buckets = (batch.column(c).slice(at, n).to_pylist() for c in (0, 2))
+                flat, counts = encoder.encode(batch.column(1).slice(at, n))
                 bounds = np.concatenate(([0], np.cumsum(counts)))
                 for k, (doc, to) in enumerate(zip(ids, buckets, strict=True)):
                     if docs and (to != bucket or total >= BLOCK_IDS):

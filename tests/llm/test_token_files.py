@@ -131,3 +131,31 @@ def test_runs_of_texts_are_cut_by_bytes(monkeypatch):
     monkeypatch.setattr("curioshelf.llm.tokens.RUN_BYTES", 4)
     assert list(runs(pa.array(["ab", "é", None, "abcdefgh", "", "x"]))) == [(0, 3), (3, 1), (4, 2)]
     assert list(runs(pa.array([], pa.string()))) == []
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    own = WordTokenizer(PATH)
+    long = ["a" * n for n in (7, 8, 9, 15, 16, 23, 24, 30, 31, 32, 33)]
+    texts = [" ".join(long), "a a\0 a\0\0 \0", "ß à í ÿ straße voilà aquí", " ".join(f"{w[:-1]}b {w}c" for w in long)]
+    for given in (texts, pa.array([*texts, None]).slice(1), pa.array(texts, pa.large_binary())):
+        ids, counts = own.encode(given)
+        rows = given if isinstance(given, list) else [(t or "") if isinstance(t, (str, type(None))) else t.decode() for t in given.to_pylist()]
+        want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        assert own.lengths(given).tolist() == counts.tolist()
+    assert own.places.keys() >= {w.encode() for w in long} | {b"a\0", b"a\0\0", b"\0"}
+
+
+def test_the_cache_of_words_grows():
+    own = WordTokenizer(PATH)
+    for start in range(0, 9000, 1500):
+        texts = [f"w{n} v{n * 7919}" for n in range(start, start + 3000)]
+        want = [len(e.ids) for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert own.lengths(texts).tolist() == want
+    assert len(own.places) == own.known == 2 * 10_500
+
+
+def test_id_zero_is_a_follower_like_others():
+    r = np.random.default_rng(5)
+    ids = np.where(r.random(40_000) < 0.6, 0, r.integers(0, 6, 40_000))
+    assert np.array_equal(tf.decode_block(tf.encode_block(np.array([1]), np.array([len(ids)]), ids))[2], ids)
