@@ -20,6 +20,8 @@ No link is lost: a pair in one list either is in one component or is counted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,18 +41,36 @@ STARS = 2
 LEADERS = 4
 
 
-def _set_id(found: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(found).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """The hash of each set; none may be empty."""
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1]
+    return mix(np.add.reduceat(mix(np.concatenate(sets)), starts)).view(np.int64)
+
+
+def _groups(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The sets of the texts, in lists with about ``size`` shingles."""
+    held, n = [], 0
+    for found in shingle_sets(texts):
+        held.append(found)
+        n += len(found)
+        if n > size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def sets_of(texts: pa.Array) -> list[pa.Array]:
     """Number of shingles of each text, and the hash of its set, null if the set is empty."""
-    sizes, nodes = [], []
-    for found in shingle_sets(texts):
-        sizes.append(len(found))
-        nodes.append(_set_id(found) if len(found) else None)
-    return [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
+    sizes, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for sets in _groups(texts, 1 << 16):
+        sizes.append(np.array([len(s) for s in sets]))
+        nodes.append(np.zeros(len(sets), np.int64))
+        full = np.flatnonzero(sizes[-1])
+        if len(full):
+            nodes[-1][full] = _set_ids([sets[i] for i in full])
+    size = np.concatenate(sizes)
+    return [pa.array(size, pa.int64()), pa.array(np.concatenate(nodes), pa.int64(), mask=size == 0)]
 
 
 def set_ids(documents: DataFrame) -> DataFrame:
@@ -66,17 +86,20 @@ def set_ids(documents: DataFrame) -> DataFrame:
 
 def _cut(documents: DataFrame, fragments: int) -> DataFrame:
     """One row per fragment and run of documents: nodes, shingles of each node, shingles."""
-    edges = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
+    kind = np.uint8 if fragments <= 1 << 8 else np.uint16 if fragments <= 1 << 16 else np.uint32
 
     def run(batches):
         for batch in batches:
-            seen, nodes, sets, held = set(), [], [], 0  # a set is sent once per batch
-            for found in shingle_sets(batch.column(0)):
-                if len(found) and (node := _set_id(found)) not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(found)
-                    held += len(found)
+            seen: set[int] = set()  # a set is sent once per batch
+            nodes, sets, held = [], [], 0
+            for group in _groups(batch.column(0), 1 << 16):
+                group = [s for s in group if len(s)]
+                for node, found in zip(_set_ids(group).tolist() if group else [], group, strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(found)
+                        held += len(found)
                 if held > 1 << 20:
                     yield packed(nodes, sets)
                     nodes, sets, held = [], [], 0
@@ -84,14 +107,19 @@ def _cut(documents: DataFrame, fragments: int) -> DataFrame:
                 yield packed(nodes, sets)
 
     def packed(nodes, sets):
-        cuts = np.array([np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets])
-        counts = np.diff(cuts, axis=1)
-        nodes, sizes, rows = np.array(nodes, np.int64), counts.sum(1).astype(np.int32), []
-        for f in range(fragments):
-            own = np.flatnonzero(counts[:, f])
-            if len(own):
-                tokens = np.concatenate([sets[i][cuts[i, f] : cuts[i, f + 1]] for i in own])
-                rows.append((f, nodes[own].tobytes(), sizes[own].tobytes(), counts[own, f].astype(np.int32).tobytes(), tokens.tobytes()))
+        # A fragment is a range of hashes, so a sorted set has what is in it in a row.
+        sizes, tokens = np.array([len(s) for s in sets], np.int32), np.concatenate(sets)
+        place = ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(kind)
+        order = np.argsort(place, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+        ends = np.cumsum(np.bincount(place, minlength=fragments))
+        nodes, rows, start = np.array(nodes, np.int64), [], 0
+        for f, end in enumerate(ends.tolist()):
+            if end > start:
+                at = np.flatnonzero(np.diff(owner[start:end], prepend=-1))
+                own, counts = owner[start + at], np.diff(at, append=end - start).astype(np.int32)
+                rows.append((f, nodes[own].tobytes(), sizes[own].tobytes(), counts.tobytes(), tokens[start:end].tobytes()))
+            start = end
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))],
             ["frag", "nodes", "sizes", "counts", "tokens"],

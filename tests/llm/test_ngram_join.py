@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from curioshelf.llm import ngram_join as join
@@ -76,3 +78,19 @@ def test_odd_rows(odd_docs):
 def test_empty_table(docs_of, spark):
     assert join.ngram_join(docs_of([(1, "a")]).limit(0)).count() == 0
     assert sorted(map(tuple, join.ngram_join(docs_of([None, ""])).collect())) == [(0, 0, 0), (1, 0, 1)]
+
+
+def test_fragments_are_ranges_of_whole_sets(docs_of):
+    """Each distinct set is sent once, and its parts by fragment are the set in order."""
+    texts = [None, "", "one", "One", "a b c d e f", *(" ".join(f"w{k * i % 97}" for k in range(90)) for i in range(1, 40))]
+    want = {join._set_ids([s])[0]: s for s in join.shingle_sets(pa.array(texts)) if len(s)}
+    for fragments in (1, 8, 300):
+        got = {}
+        for row in sorted(join._cut(docs_of(list(enumerate(texts))).coalesce(1), fragments).collect(), key=lambda r: r["frag"]):
+            tokens, at = np.frombuffer(row["tokens"], np.uint64), 0
+            for node, size, count in zip(*(np.frombuffer(row[c], k) for c, k in (("nodes", np.int64), ("sizes", np.int32), ("counts", np.int32))), strict=True):
+                assert size == len(want[node]) and count > 0
+                got.setdefault(node, []).extend(tokens[at : at + count].tolist())
+                at += count
+            assert at == len(tokens)
+        assert got == {node: s.tolist() for node, s in want.items()}
