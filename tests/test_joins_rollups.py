@@ -211,3 +211,9 @@ def test_no_lookup_collects_a_group(cards, copies, collections, decks):
     for df in (detailed, rollups.group_copies(copies, cards, decks), rollups.location_totals(copies, cards)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "collect_" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_details_without_names_join_cards_alone(cards, copies):
+    detailed = joins.detail_copies(copies, cards)
+    assert {"card", "is_ephemeral"} <= set(detailed.columns) and not {"collection_name", "deck_name"} & set(detailed.columns)
+    assert detailed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

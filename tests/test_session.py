@@ -28,3 +28,12 @@ def test_a_tuned_session_starts_with_many_partitions(spark):
     assert int(spark.conf.get(key)) >= 200 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Small tables are few tasks all the same.
     assert spark.range(1000).repartition("id").rdd.getNumPartitions() < 10
+
+
+def test_broadcasts_fit_in_the_driver(spark):
+    """Four tables of the size, at six times the bytes measured each, leave a quarter of the heap."""
+    for heap in (750 << 20, 2 << 30, 64 << 30):
+        assert 4 * 6 * session.broadcast_size(heap) <= 0.75 * heap
+    session.tune(spark)
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(session.broadcast_size(heap))
